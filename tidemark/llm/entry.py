@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import decontaminate, mixing, sharding, simhash
 
 QUERIES = {
+    "op5_simhash_components": simhash.op5,
+    "op6_decontaminate": decontaminate.op6,
     "op8_mix_sources": mixing.op8,
     "op9_shard_documents": sharding.op9,
 }
