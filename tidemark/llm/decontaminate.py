@@ -2,8 +2,10 @@
 
 An item may occur in a text with up to ``k`` edits, a fixed share of its length. Cut into
 k + 1 pieces, at least one of them occurs unchanged. An Aho-Corasick automaton over all
-pieces reads every whole text once; the places a piece points to are merged along the
-item's diagonal and verified by Myers' bit-parallel edit distance.
+pieces reads every whole text once. A hit climbs a tree of pieces: a stretch of p pieces
+may hold p - 1 edits, and if it holds no more, so does one of its halves. Each stretch is
+verified by Myers' bit-parallel edit distance, so chance hits end at short stretches and
+the whole item, with its k edits, is verified for few.
 
 Texts and items are compared in lower case with runs of white space as one blank. The
 items travel to the executors in passes of at most ``PASS_CHARS`` characters, so the size
@@ -76,16 +78,45 @@ def least_distance(mask: dict[str, int], length: int, text: str) -> tuple[int, i
     return best, at
 
 
+def ladders(item: str) -> tuple[list[tuple[int, str]], list[list[tuple[int, int, dict[str, int], int]]]]:
+    """Pieces of an item, and for each the stretches above it, smallest first: start, length, masks, edits allowed."""
+    cut = pieces(item)
+    above: list[list[tuple[int, int, dict[str, int], int]]] = [[] for _ in cut]
+
+    def climb(a: int, b: int) -> None:
+        if b - a < 2:
+            return
+        middle = (a + b) // 2
+        climb(a, middle)
+        climb(middle, b)
+        start, end = cut[a][0], cut[b - 1][0] + len(cut[b - 1][1])
+        step = (start, end - start, masks(item[start:end]), b - a - 1)
+        for i in range(a, b):
+            above[i].append(step)
+
+    climb(0, len(cut))
+    return cut, above
+
+
+def holds(read: str, diagonal: int, steps: list[tuple[int, int, dict[str, int], int]]) -> bool:
+    """Whether every stretch but the whole item occurs about the diagonal within its edits."""
+    for start, length, mask, edits in steps[:-1]:
+        a = diagonal + start - edits
+        if least_distance(mask, length, read[max(0, a) : a + length + 2 * edits])[0] > edits:
+            return False
+    return True
+
+
 def matcher(items: list[tuple[int | None, str]]) -> Callable[[str | None], list[dict]]:
     """A function that lists the items which occur in a text."""
     import ahocorasick
 
     automaton, known = ahocorasick.Automaton(), []
     for item_id, text in items:
-        for start, piece in pieces(text):
+        for (start, piece), steps in zip(*ladders(text)):
             if piece not in automaton:
                 automaton.add_word(piece, (len(piece), []))
-            automaton.get(piece)[1].append((len(known), start))
+            automaton.get(piece)[1].append((len(known), start, steps))
         known.append((item_id, text, masks(text)))
     if known:
         automaton.make_automaton()
@@ -96,8 +127,10 @@ def matcher(items: list[tuple[int | None, str]]) -> Callable[[str | None], list[
             return []
         diagonals: dict[int, set[int]] = {}
         for end, (size, owners) in automaton.iter(read):
-            for item, start in owners:
-                diagonals.setdefault(item, set()).add(end + 1 - size - start)
+            for item, start, steps in owners:
+                diagonal = end + 1 - size - start
+                if diagonal not in diagonals.setdefault(item, set()) and holds(read, diagonal, steps):
+                    diagonals[item].add(diagonal)
         out = []
         for item, found in sorted(diagonals.items()):
             item_id, pattern, mask = known[item]
