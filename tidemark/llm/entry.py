@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, sharding, simhash
+from . import decontaminate, mixing, sharding, simhash, toxicity
 
 QUERIES = {
+    "op3_toxicity": toxicity.op3,
     "op5_simhash_components": simhash.op5,
     "op6_decontaminate": decontaminate.op6,
     "op8_mix_sources": mixing.op8,
