@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, sharding, simhash, toxicity
+from . import decontaminate, media, mixing, sharding, simhash, tokens, toxicity, urls
 
 QUERIES = {
+    "op1_mpeg_audio": media.op1,
     "op3_toxicity": toxicity.op3,
+    "op4_url_trust": urls.op4,
     "op5_simhash_components": simhash.op5,
     "op6_decontaminate": decontaminate.op6,
+    "op7_token_counts": tokens.op7,
     "op8_mix_sources": mixing.op8,
     "op9_shard_documents": sharding.op9,
 }

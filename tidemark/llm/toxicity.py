@@ -6,7 +6,7 @@ vector with the word it spells. A document is the mean of its words' vectors, we
 the square root of their numbers and drawn to zero by ``PAD`` empty words, under a linear
 softmax over clean and toxic. Embeddings and softmax are trained together in numpy
 with Adam on a bounded sample of labelled rows: the ``TRAIN_ROWS`` rows of smallest seeded
-hash, of which at most ``TRAIN_CHARS`` characters each.
+hash, texts of at most ``TRAIN_CHARS`` characters.
 
 The model is linear in the bags, so scoring needs one number per bucket: the embedding
 times the difference of the softmax rows. That table of fixed size is what executors get.
@@ -186,7 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int
     """
     known = labels.where(F.col("toxic").isin(0, 1) & (fold() != HELD_OUT)).select("doc_id", "toxic").dropDuplicates(["doc_id"])
     sample = known.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(rows)
-    read = docs.select("doc_id", F.substring(whole_text(), 1, chars).alias("text"))
+    read = docs.select("doc_id", whole_text().alias("text")).where(F.length("text") <= chars)
     found = read.join(F.broadcast(sample), "doc_id").orderBy("doc_id", "text").limit(rows).toPandas()
     return fit(found["text"].tolist(), found["toxic"].tolist())
 
