@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, media, mixing, sharding, simhash, tokens, toxicity, urls
+from . import decontaminate, licenses, media, mixing, sharding, simhash, tokens, toxicity, urls
 
 QUERIES = {
     "op1_mpeg_audio": media.op1,
+    "op2_license_rules": licenses.op2,
     "op3_toxicity": toxicity.op3,
     "op4_url_trust": urls.op4,
     "op5_simhash_components": simhash.op5,
