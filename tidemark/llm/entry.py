@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, media, mixing, sharding, simhash, tokens, toxicity, urls
+from . import decontaminate, licenses, media, mixing, pii, sharding, simhash, tokens, toxicity, urls
 
 QUERIES = {
     "op1_mpeg_audio": media.op1,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_token_counts": tokens.op7,
     "op8_mix_sources": mixing.op8,
     "op9_shard_documents": sharding.op9,
+    "op10_personal_data": pii.op10,
 }
 
 ORACLES: dict[str, str] = {}
