@@ -1 +1,6 @@
-"""Plans of the package."""
+"""Queries by name and their SQL twins."""
+
+from . import basic, graphs
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "basic", "graphs"]
