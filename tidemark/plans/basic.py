@@ -85,7 +85,7 @@ def p15(t: Tables) -> DataFrame:
     return S.aligned(test, test, train, "stddev_pop").select("node_id", "dim", r6("val"))
 
 
-_AUC = "(sum(CASE WHEN y = 1 THEN r END) - n1 * (n1 + 1) / 2) / (n1 * n0)"
+_AUC = "(sum(CASE WHEN y = 1 THEN r END) - n1 * (n1 + 1) / 2) / nullif(n1 * n0, 0)"
 
 
 @query("p16_score_flip", "scored", f"""
@@ -183,7 +183,7 @@ def a10(t: Tables) -> DataFrame:
 @query("a11_auroc_ap", "judged", f"""
 WITH g AS (SELECT lang, s, count(*) AS k, sum(y) AS p FROM judged GROUP BY 1, 2), c AS (SELECT lang, p, sum(p) OVER w / sum(k) OVER w AS pr, sum(p) OVER (PARTITION BY lang) AS ap_n FROM g WINDOW w AS (PARTITION BY lang ORDER BY s DESC)),
 r AS (SELECT lang, y, rank() OVER (PARTITION BY lang ORDER BY s) + (count(*) OVER (PARTITION BY lang, s) - 1) / 2 AS r, count(*) FILTER (y = 1) OVER (PARTITION BY lang) AS n1, count(*) FILTER (y = 0) OVER (PARTITION BY lang) AS n0 FROM judged)
-SELECT lang, round(auroc, 6) AS auroc, round(ap, 6) AS ap FROM (SELECT lang, {_AUC} AS auroc FROM r GROUP BY lang, n1, n0) JOIN (SELECT lang, sum(p / ap_n * pr) AS ap FROM c GROUP BY 1) USING (lang)""".replace("WITH g", ", g", 1))
+SELECT lang, round(auroc, 6) AS auroc, round(ap, 6) AS ap FROM (SELECT lang, {_AUC} AS auroc FROM r GROUP BY lang, n1, n0) JOIN (SELECT lang, sum(p / nullif(ap_n, 0) * pr) AS ap FROM c GROUP BY 1) USING (lang)""".replace("WITH g", ", g", 1))
 def a11(t: Tables) -> DataFrame:
     return all_r6(M.ranking_metrics(t.judged, by=("lang",)))
 
