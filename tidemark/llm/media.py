@@ -138,18 +138,18 @@ def read_audio(data: bytes | None) -> dict:
     start, found = tags(data)
     end = len(data) - (128 if data[-128:-125] == b"TAG" else 0)
     out = {"version": None, "layer": None, "rate": None, "channels": None, "samples": 0, "bad_checksums": 0, "skipped": 0, "table_frames": None, "table_bytes": None}
-    offsets, parts, kind, p, checked = [], [], None, start, {}
+    offsets, parts, kind, p, checked, locked = [], [], None, start, {}, False
     while p + 4 <= end:
         h = header(int.from_bytes(data[p : p + 4], "big"))
         fits = h and (kind is None or (h[0], h[1], h[4]) == kind) and p + h[2] <= end
-        if fits and p + h[2] + 4 <= end:  # the frame behind must be of the same kind
+        if fits and not locked and p + h[2] + 4 <= end:  # out of step, the frame behind must be of the same kind
             after = header(int.from_bytes(data[p + h[2] : p + h[2] + 4], "big"))
             fits = after is not None and (after[0], after[1], after[4]) == (h[0], h[1], h[4])
         if not fits:
             q = data.find(b"\xff", p + 1, end)
             q = end if q < 0 else q
             out["skipped"] += q - p
-            p = q
+            p, locked = q, False
             continue
         version, layer, size, samples, rate, side, protected = h
         first, kind = kind is None, (version, layer, rate)
@@ -169,7 +169,7 @@ def read_audio(data: bytes | None) -> dict:
             if layer == 3:
                 body = p + 4 + 2 * protected + side
                 parts.append(data[body : min(body + BLOCK, p + size)])
-        p += size
+        p, locked = p + size, True
     payload = b"".join(parts)
     private = found.get(b"PRIV", b"")
     intact = private.startswith(OWNER) and private[len(OWNER) :] == struct.pack(">QI", len(payload), zlib.crc32(payload))
@@ -185,14 +185,24 @@ def payload_of(text: str | None) -> bytes:
     return raw + PAD * (-len(raw) % BLOCK or (0 if raw else BLOCK))
 
 
-@F.pandas_udf("binary")
-def encoded(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: write_audio(payload_of(t)))
+def encoded(text: Column) -> Column:
+    """The stream that carries each text."""
 
+    @F.pandas_udf("binary")
+    def write(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: write_audio(payload_of(t)))
 
-@F.pandas_udf(READ)
-def decoded(media: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([read_audio(m) for m in media]) if len(media) else pd.DataFrame({k: [] for k in read_audio(None)})
+    return write(text)
+
+
+def decoded(media: Column) -> Column:
+    """What each stream holds, as the struct ``READ``."""
+
+    @F.pandas_udf(READ)
+    def read(streams: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([read_audio(m) for m in streams]) if len(streams) else pd.DataFrame({k: [] for k in read_audio(None)})
+
+    return read(media)
 
 
 def audio_column(docs: DataFrame, text: Column) -> DataFrame:
@@ -203,7 +213,7 @@ def audio_column(docs: DataFrame, text: Column) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as an audio stream, read back."""
     docs = documents(spark, sf_dir).select("doc_id", F.octet_length(whole_text()).cast("long").alias("n_bytes"), whole_text().alias("text"))
-    read = audio_column(docs, F.col("text")).withColumn("read", decoded("media"))
+    read = audio_column(docs, F.col("text")).withColumn("read", decoded(F.col("media")))
     feature = F.concat_ws(
         ";",
         F.concat(F.lit("mpeg"), F.col("read.version")),
