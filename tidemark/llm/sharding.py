@@ -85,8 +85,8 @@ def text_size(text: Column) -> Column:
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """The documents with ``shard`` and ``slot``; the whole rows travel along."""
-    rows = packed(docs).select("row", F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"))
+    """The documents with ``shard`` and ``slot``, in place of columns of these names; the whole rows travel along."""
+    rows = packed(docs.drop("shard", "slot")).select("row", F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"))
     return interleave(rows, shards, seed).select("row.*", "shard", "slot")
 
 
