@@ -54,7 +54,7 @@ def test_without_both_labels_the_score_is_the_share():
 
 
 def test_query_and_stage(spark, tmp_path):
-    _, texts, labels = sample()
+    _, texts, labels = sample(900)
     texts += [None, "", "word " * 50_000]
     df = docs(spark, texts)
     table = spark.createDataFrame([(i, 1, y) for i, y in enumerate(labels)] + [(9999, 1, 1), (None, 0, 1)], "doc_id long, quality int, toxic int")

@@ -35,7 +35,7 @@ TRAIN_CHARS = 20_000
 BUCKETS = 1 << 18
 GRAMS = (3, 4, 5)
 DIM = 4
-EPOCHS = 16
+EPOCHS, LEAST_STEPS = 16, 80
 BATCH = 500
 RATE = 0.1
 PENALTY = 3e-4
@@ -140,13 +140,14 @@ def descend(y: np.ndarray, bias: float, doc: np.ndarray, word: np.ndarray, share
     first, size = np.searchsorted(doc, np.arange(len(y))), np.bincount(doc, minlength=len(y))
     bag = np.cumsum(count) - count
     batches = max(1, round(len(y) / BATCH))
-    steps = EPOCHS * batches
+    epochs = max(EPOCHS, -(-LEAST_STEPS // batches))
+    steps = epochs * batches
 
     def summed(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
         return np.stack([np.bincount(at, values[:, k], n) for k in range(values.shape[1])], 1)
 
     step = 0
-    for _ in range(EPOCHS):
+    for _ in range(epochs):
         for chosen in np.array_split(rng.permutation(len(y)), batches):
             step += 1
             pairs = _spans(first[chosen], size[chosen])
@@ -198,13 +199,23 @@ def fold(doc_id: str | Column = "doc_id") -> Column:
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> tuple[np.ndarray, float]:
     """Fit on the ``rows`` labelled documents outside the held-out fold that hash lowest.
 
-    The sample is chosen by ids alone, before any text is read.
+    The sample is chosen by ids alone, before any text is read. Of an id's repeated rows the
+    least text and the larger label count. One task fits; the driver gets the finished table.
     """
-    known = labels.where(F.col("toxic").isin(0, 1) & (fold() != HELD_OUT)).select("doc_id", "toxic").dropDuplicates(["doc_id"])
+    known = labels.where(F.col("toxic").isin(0, 1) & (fold() != HELD_OUT)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = known.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(rows)
     read = docs.select("doc_id", whole_text().alias("text")).where(F.length("text") <= chars)
-    found = read.join(F.broadcast(sample), "doc_id").orderBy("doc_id", "text").limit(rows).toPandas()
-    return fit(found["text"].tolist(), found["toxic"].tolist())
+    found = read.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [b for b in batches if len(b)]
+        if parts:
+            table = pd.concat(parts).sort_values("doc_id")
+            scores, bias = fit(table["text"].tolist(), table["toxic"].tolist())
+            yield pd.DataFrame({"scores": [scores.tobytes()], "bias": [bias]})
+
+    learnt = found.repartition(1).mapInPandas(learn, "scores binary, bias double").first()
+    return (np.frombuffer(learnt["scores"], np.float32), learnt["bias"]) if learnt else fit([], [])
 
 
 def toxicity(text: Column, model: tuple[np.ndarray, float], spark: SparkSession) -> Column:
