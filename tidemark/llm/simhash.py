@@ -12,8 +12,9 @@ bits run out after a few levels, so every node ends below the cap and no link is
 Within a node the fingerprints stand in Gray order. Leaves of ``LEAF`` neighbours and the
 nodes above them hold their shared bits as mask and pattern; a pair of nodes is pruned
 when the differences in bits that both share exceed r already, or when both lie in one
-component. A node gives its spanning links only, so a group of near copies costs a row
-per member and not one per pair.
+component. A node gives one link from each member of a component to the smallest id in it,
+so a group of near copies costs a row per member and not one per pair, and nodes that hold
+the same group give the same links.
 
 Defined cases: a null text is empty; fewer words than a shingle make one shingle of them
 all; no words give the fingerprint zero, linked like any other; a null doc_id is ignored
@@ -148,11 +149,11 @@ class _Grouped:
         """Differences that every pair of members of nodes a and b has."""
         return np.bitwise_count((pattern[a] ^ pattern[b]) & ~loose[a] & ~loose[b]).sum(-1)
 
-    def links(self) -> list[tuple[int, int]]:
+    def links(self) -> np.ndarray:
+        """Pairs of ids: each member of a component with the component's smallest id."""
         n_upper, n_leaf = len(self.upper_pattern), len(self.first)
         ua, ub = np.triu_indices(n_upper)
         near = self._least(self.upper_pattern, self.upper_loose, ua, ub) <= self.radius
-        out: list[tuple[int, int]] = []
         # Neighbours in Gray order first: they join components, which later pairs then skip.
         todo = sorted(zip(ua[near].tolist(), ub[near].tolist()), key=lambda p: p[1] - p[0])
         for a, b in todo:
@@ -161,10 +162,14 @@ class _Grouped:
             x, y = (m.ravel() for m in np.meshgrid(la, lb, indexing="ij"))
             keep = (x <= y) & (self._least(self.pattern, self.loose, x, y) <= self.radius)
             for i, j in sorted(zip(x[keep].tolist(), y[keep].tolist()), key=lambda p: p[1] - p[0]):
-                self._leaves(i, j, out)
-        return out
-
-    def _leaves(self, i: int, j: int, out: list[tuple[int, int]]) -> None:
+                self._leaves(i, j)
+        smallest = np.full(len(self.ids), np.iinfo(np.int64).max)
+        np.minimum.at(smallest, self.component, self.ids)
+        hub = smallest[self.component]
+        other = hub != self.ids
+        return np.stack([hub[other], self.ids[other]], 1)
+
+    def _leaves(self, i: int, j: int) -> None:
         a, b = slice(i * LEAF, (i + 1) * LEAF), slice(j * LEAF, (j + 1) * LEAF)
         one = self.component[a.start]
         if (self.component[a] == one).all() and (self.component[b] == one).all():
@@ -176,11 +181,10 @@ class _Grouped:
             x, y = x[apart], y[apart]
             if len(x):
                 self.component[self.component == self.component[y[0]]] = self.component[x[0]]
-                out.append((int(self.ids[x[0]]), int(self.ids[y[0]])))
 
 
 def _node_links(batches: Iterator[pa.RecordBatch], radius: int, words: int) -> Iterator[pa.RecordBatch]:
-    """Spanning links of every node; rows come sorted by node and Gray rank."""
+    """Links of every node; rows come sorted by node and Gray rank."""
 
     def found(node: np.ndarray, ids: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
         begin = np.append(0, np.flatnonzero(node[1:] != node[:-1]) + 1)
@@ -194,7 +198,7 @@ def _node_links(batches: Iterator[pa.RecordBatch], radius: int, words: int) -> I
             a.append(ids[i])
             b.append(ids[i + gap])
         for at, size in zip(begin[sizes > FAN_OUT].tolist(), sizes[sizes > FAN_OUT].tolist()):
-            pairs = np.array(_Grouped(ids[at : at + size], prints[at : at + size], radius).links(), np.int64).reshape(-1, 2)
+            pairs = _Grouped(ids[at : at + size], prints[at : at + size], radius).links()
             a.append(pairs[:, 0])
             b.append(pairs[:, 1])
         both = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b)]
@@ -220,7 +224,7 @@ def _node_links(batches: Iterator[pa.RecordBatch], radius: int, words: int) -> I
 
 
 def links(prints: DataFrame, radius: int = RADIUS, words: int = 1, node_cap: int = NODE_CAP) -> DataFrame:
-    """Spanning links ``(a, b)`` between distinct fingerprints ``prints(id, prints)``.
+    """Links ``(a, b)`` that connect distinct fingerprints ``prints(id, prints)``.
 
     One word: exact for the radius. Several words: pairs within the radius that share a
     16-bit band.
