@@ -2,7 +2,8 @@
 
 A sample is first summed per distinct value, so ties cost one row. Values are then dealt
 to ranges between approximate quantiles; running sums are a range's offset plus a running
-sum within the range. Every statistic here is built on that.
+sum within the range. Every statistic here is built on that. Cuts and statistics, a row or
+a row per group, are stored once, so that plans which use them stay flat.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import durable
+
 RANGES = 32
 
 
@@ -24,7 +27,7 @@ def distribution(rows: DataFrame, value: str | Column, weight: str | Column | No
 
 def running(rows: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] = (), ranges: int = RANGES) -> DataFrame:
     """Add ``cum_<s>`` (up to and with the row) and ``all_<s>`` for rows of distinct ``order`` within ``by``."""
-    cuts = rows.agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 2000).alias("_cuts"))
+    cuts = durable(rows.agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 2000).alias("_cuts")))
     dealt = rows.crossJoin(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts")
     per_range = dealt.groupBy(*by, "_range").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     group = Window.partitionBy(*by)
@@ -52,19 +55,19 @@ def quantiles(rows: DataFrame, value: str | Column, qs: dict[str, float], by: Se
     for name, q in qs.items():
         place = (F.col("_n") - 1) * F.lit(float(q))
         out.append((F.col(f"{name}_lo") + (F.col(f"{name}_hi") - F.col(f"{name}_lo")) * (place - F.floor(place))).alias(name))
-    return found.select(*by, *out)
+    return durable(found.select(*by, *out))
 
 
 def lower_quantiles(rows: DataFrame, value: str | Column, qs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
     """The smallest value whose share of rows reaches q; for 0.5 the lower of two middle values."""
     seen = running(distribution(rows, value, by=by), "v", ["n"], by)
-    return seen.groupBy(*by).agg(*[F.min(F.when(F.col("cum_n") >= F.col("all_n") * F.lit(float(q)), F.col("v"))).alias(k) for k, q in qs.items()])
+    return durable(seen.groupBy(*by).agg(*[F.min(F.when(F.col("cum_n") >= F.col("all_n") * F.lit(float(q)), F.col("v"))).alias(k) for k, q in qs.items()]))
 
 
 def order_statistic(rows: DataFrame, value: str | Column, rank: Column, name: str, by: Sequence[str] = ()) -> DataFrame:
     """The value of a 1-based rank that may depend on ``n``, the number of rows."""
     seen = running(distribution(rows, value, by=by), "v", ["n"], by).withColumnsRenamed({"n": "here", "all_n": "n"})
-    return seen.groupBy(*by).agg(F.min(F.when(F.col("cum_n") >= rank, F.col("v"))).alias(name), F.max("n").alias("n"))
+    return durable(seen.groupBy(*by).agg(F.min(F.when(F.col("cum_n") >= rank, F.col("v"))).alias(name), F.max("n").alias("n")))
 
 
 def weighted_quantile(rows: DataFrame, value: str | Column, weight: str | Column, level: Column, name: str = "threshold", by: Sequence[str] = ()) -> DataFrame:
@@ -72,7 +75,7 @@ def weighted_quantile(rows: DataFrame, value: str | Column, weight: str | Column
     w = F.col(weight) if isinstance(weight, str) else weight
     seen = running(distribution(rows, value, F.greatest(w, F.lit(1e-12)), by), "v", ["n", "w"], by).withColumnsRenamed({"n": "here", "all_n": "n"})
     hit = F.min(F.when(F.col("cum_w") / F.col("all_w") >= level, F.col("v")))
-    return seen.groupBy(*by).agg(F.coalesce(hit, F.max("v")).alias(name), F.max("n").alias("n"), F.max("all_w").alias("weight"))
+    return durable(seen.groupBy(*by).agg(F.coalesce(hit, F.max("v")).alias(name), F.max("n").alias("n"), F.max("all_w").alias("weight")))
 
 
 def average_ranks(rows: DataFrame, value: str, name: str) -> DataFrame:
@@ -95,7 +98,8 @@ def wasserstein(a: DataFrame, b: DataFrame, value: str, weight: str | None = Non
     The gap to the next value is a range's own within it, and across ranges the next range's least value.
     """
     grid = ecdf_gap(a, b, value, weight)
-    cuts = grid.agg(F.percentile_approx("v", [i / RANGES for i in range(1, RANGES)], 2000).alias("cuts"))
+    grid = durable(grid)
+    cuts = durable(grid.agg(F.percentile_approx("v", [i / RANGES for i in range(1, RANGES)], 2000).alias("cuts")))
     dealt = grid.crossJoin(F.broadcast(cuts)).withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("v"))))
     firsts = dealt.groupBy("range").agg(F.min("v").alias("first"))
     nexts = firsts.select("range", F.lead("first").over(Window.orderBy("range")).alias("next_first"))

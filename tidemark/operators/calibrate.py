@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distribution import distribution, lower_quantiles, order_statistic, quantiles, running, weighted_quantile
+from ..functions.lineage import durable
 from ..functions.metrics import effective_size
 
 WEIGHT_MODES = ("struct", "contrastive", "uniform")
@@ -77,7 +78,8 @@ def admit(rows: DataFrame, p: Calibration) -> DataFrame:
     """Pool of calibration and pseudo-normal test rows: ``(node_id, s, c, y, is_pseudo)``.
 
     Admission limits come from calibration rows only. The cap keeps the most consistent
-    admitted rows; the few rows at the cap's edge are ranked by id.
+    admitted rows; the few rows at the cap's edge are ranked by id. The pool is stored, as
+    weights, quantile and summary all read it.
     """
     cal = cal_rows(rows, p.robust)
     gamma = 1.0 if p.score_quantile is None else 4 * (1 - p.score_quantile)
@@ -93,7 +95,7 @@ def admit(rows: DataFrame, p: Calibration) -> DataFrame:
     edge = placed.where("upto > cap").withColumn("rn", F.row_number().over(Window.partitionBy("c").orderBy("node_id"))).where("rn <= left").drop("rn")
     kept = placed.where("upto <= cap").unionByName(edge)
     cols = ["node_id", "s", "c", "y"]
-    return cal.select(*cols, F.lit(False).alias("is_pseudo")).unionByName(kept.select(*cols, F.lit(True).alias("is_pseudo")))
+    return durable(cal.select(*cols, F.lit(False).alias("is_pseudo")).unionByName(kept.select(*cols, F.lit(True).alias("is_pseudo"))))
 
 
 def consistency_weights(pool: DataFrame, reference: DataFrame, p: Calibration) -> DataFrame:
@@ -202,7 +204,7 @@ def generic_weighted_threshold(rows: DataFrame, p: Calibration = Calibration(),
     pseudo = placed.where("upto <= cap").unionByName(edge)
     pool = cal.select("node_id", "s", proxy, F.lit(False).alias("is_pseudo")).unionByName(pseudo.select("node_id", "s", proxy, F.lit(True).alias("is_pseudo")))
     w = F.greatest(F.lit(0.05), F.least(F.lit(20.0), F.col("ratio"))) * F.when(F.col("is_pseudo"), p.pseudo_discount).otherwise(1.0)
-    weighted = density_ratio(pool, pool, cal, proxy).withColumn("w", w)
+    weighted = durable(density_ratio(pool, pool, cal, proxy).withColumn("w", w))
     return weighted_quantile(weighted, "s", "w", level(F.lit(p.alpha))).select("threshold").crossJoin(pool_summary(weighted))
 
 

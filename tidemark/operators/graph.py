@@ -2,24 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distribution import lower_quantiles, quantiles, running
+from ..functions.lineage import durable
 from ..functions.vectors import cosine, dot, long_form, mean_vector, norm, sigmoid, wide_form
 from .neighbours import both_ways
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that ``spark.checkpoint.dir`` names, or a temporary one where it is unset."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
-    return df.checkpoint()
-
-
 # Degrees and sets of edges
 
 
@@ -236,7 +227,7 @@ def pagerank(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, restart: floa
 def rank01(rows: DataFrame, value: str, key: str = "node_id", name: str = "r") -> DataFrame:
     """Add the rank of ``value`` over the number of rows, in (0, 1]; ties by key."""
     ordered = rows.withColumn("_o", F.struct(F.col(value), F.col(key)))
-    cuts = rows.agg(F.percentile_approx(value, [i / 32 for i in range(1, 32)], 2000).alias("_cuts"))
+    cuts = durable(rows.agg(F.percentile_approx(value, [i / 32 for i in range(1, 32)], 2000).alias("_cuts")))
     dealt = ordered.crossJoin(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
     per = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     offsets = per.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
