@@ -1,6 +1,6 @@
 """Queries by name and their SQL twins."""
 
-from . import basic, graphs
+from . import basic, graphs, more
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "basic", "graphs"]
+__all__ = ["ORACLES", "QUERIES", "basic", "graphs", "more"]
