@@ -89,8 +89,9 @@ def admit(rows: DataFrame, p: Calibration) -> DataFrame:
         pseudo = one_row(pseudo, quantiles(pseudo, "ppr", {"tau_ppr": p.ppr_quantile})).where("ppr >= tau_ppr")
     if p.clean_pool:
         pseudo = pseudo.where("y = 0")
+    pseudo = durable(pseudo.select("node_id", "s", "c", "y", "cap"))
     # Rows above the consistency at which the cap is reached stay; those at it fill what is left.
-    levels = running(distribution(pseudo, F.negative("c")), "v", ["n"]).select((-F.col("v")).alias("lc"), F.col("cum_n").alias("upto"), F.col("n").alias("at"))
+    levels = running(durable(distribution(pseudo, F.negative("c"))), "v", ["n"]).select((-F.col("v")).alias("lc"), F.col("cum_n").alias("upto"), F.col("n").alias("at"))
     placed = pseudo.join(levels, F.col("c") == F.col("lc")).withColumn("left", F.col("cap") - (F.col("upto") - F.col("at"))).where("left > 0")
     edge = placed.where("upto > cap").withColumn("rn", F.row_number().over(Window.partitionBy("c").orderBy("node_id"))).where("rn <= left").drop("rn")
     kept = placed.where("upto <= cap").unionByName(edge)
@@ -197,8 +198,8 @@ def generic_weighted_threshold(rows: DataFrame, p: Calibration = Calibration(),
     gamma = 1.0 if p.score_quantile is None else 4 * (1 - p.score_quantile)
     tau = quantiles(density_ratio(cal, cal, test, proxy), "ratio", {"tau": p.tau_quantile})
     stats = tau.crossJoin(cal.agg((F.max("s") + gamma * F.greatest(F.stddev_samp("s"), F.lit(1e-6))).alias("s_upper"), F.floor(F.count(F.lit(1)) * p.max_pseudo_ratio).alias("cap")))
-    admitted = one_row(density_ratio(test, test, cal, proxy), stats).where("ratio >= tau AND s <= s_upper")
-    levels = running(distribution(admitted, F.negative("ratio")), "v", ["n"]).select((-F.col("v")).alias("lr"), F.col("cum_n").alias("upto"), F.col("n").alias("at"))
+    admitted = durable(one_row(density_ratio(test, test, cal, proxy), stats).where("ratio >= tau AND s <= s_upper"))
+    levels = running(durable(distribution(admitted, F.negative("ratio"))), "v", ["n"]).select((-F.col("v")).alias("lr"), F.col("cum_n").alias("upto"), F.col("n").alias("at"))
     placed = admitted.join(levels, F.col("ratio") == F.col("lr")).withColumn("left", F.col("cap") - (F.col("upto") - F.col("at"))).where("left > 0")
     edge = placed.where("upto > cap").withColumn("rn", F.row_number().over(Window.partitionBy("ratio").orderBy("node_id"))).where("rn <= left").drop("rn")
     pseudo = placed.where("upto <= cap").unionByName(edge)
