@@ -14,10 +14,8 @@ def con(sf_dir):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_twin(spark, sf_dir, con, name):
     assert difference(QUERIES[name](spark, sf_dir), con, ORACLES[name]) == ""
-    spark.catalog.clearCache()
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
-    spark.catalog.clearCache()

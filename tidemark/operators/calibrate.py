@@ -138,14 +138,14 @@ def level(alpha: Column) -> Column:
 
 def weighted_threshold(rows: DataFrame, p: Calibration = Calibration()) -> DataFrame:
     """The weighted quantile of the admitted pool, with the pool's summary."""
-    pool = weigh(admit(rows, p), rows, p)
+    pool = durable(weigh(admit(rows, p), rows, p))
     t = weighted_quantile(pool, "s", "w", level(F.lit(p.alpha))).select("threshold")
     return t.crossJoin(pool_summary(pool))
 
 
 def adaptive_threshold(rows: DataFrame, p: Calibration = Calibration(score_quantile=0.75)) -> DataFrame:
     """The same at a level that grows to ``alpha_max`` as weights concentrate."""
-    pool = weigh(admit(rows, p), rows, p)
+    pool = durable(weigh(admit(rows, p), rows, p))
     summary = pool_summary(pool).withColumn("alpha_eff", F.least(F.lit(p.alpha_max), p.alpha + (p.alpha_max - p.alpha) * F.col("decay")))
     rated = one_row(pool, summary.select("alpha_eff"))
     by_level = weighted_quantile(rated, "s", "w", level(F.col("alpha_eff")), by=("alpha_eff",)).select("threshold")
@@ -159,10 +159,10 @@ def soft_threshold(rows: DataFrame, p: Calibration = Calibration()) -> DataFrame
         weighted = [d.withColumn("w", F.col("c") + 1e-8) for d in (cal, test)]
     else:
         weighted = [consistency_weights(d, test, p) for d in (cal, test)]
-    loose = weighted[1].withColumn("w", F.col("w") * p.soft_discount)
+    loose = durable(weighted[1].withColumn("w", F.col("w") * p.soft_discount))
     kept = one_row(loose, quantiles(loose, "w", {"least": 0.3})).where("w >= least")
     cols = ["node_id", "s", "w"]
-    pool = weighted[0].select(*cols, F.lit(False).alias("is_pseudo")).unionByName(kept.select(*cols, F.lit(True).alias("is_pseudo")))
+    pool = durable(weighted[0].select(*cols, F.lit(False).alias("is_pseudo")).unionByName(kept.select(*cols, F.lit(True).alias("is_pseudo"))))
     return weighted_quantile(pool, "s", "w", level(F.lit(p.alpha))).select("threshold").crossJoin(pool_summary(pool))
 
 

@@ -11,13 +11,22 @@ from .tables import Tables, with_ctes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+_LATEST: dict[str, object] = {}
+
+
+def tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """The tables of a folder; queries that follow one another on it share what is persisted."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if _LATEST.get("key") != key:
+        _LATEST.update(key=key, tables=Tables(spark, sf_dir))
+    return _LATEST["tables"]
 
 
 def query(name: str, ctes: str = "", sql: str | None = None) -> Callable:
     """Register ``f(tables)``; ``sql`` is its twin over the named CTEs."""
 
     def add(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
-        QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: f(tables(spark, sf_dir))
         if sql is not None:
             ORACLES[name] = with_ctes(ctes, sql) if ctes else sql
         return f
