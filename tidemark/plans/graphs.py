@@ -270,7 +270,7 @@ pool AS (SELECT node_id, s, c, y, false AS is_pseudo FROM cal UNION ALL SELECT n
 """
 _WEIGH = {
     "contrastive": ", wp AS (SELECT *, (c + 1e-8) * CASE WHEN is_pseudo THEN 0.5 ELSE 1 END AS w FROM pool)",
-    "uniform": ", wp AS (SELECT *, CASE WHEN is_pseudo THEN 0.5 ELSE 1.0 END AS w FROM pool)",
+    "uniform": ", wp AS (SELECT *, (CASE WHEN is_pseudo THEN 0.5 ELSE 1.0 END)::DOUBLE AS w FROM pool)",
     "struct": """, raw AS (SELECT pool.*, greatest(0.05, least(20.0, exp((c - ref) / (sd + 1e-8)))) AS w0 FROM pool, (SELECT quantile_disc(c, 0.5) AS ref, stddev_samp(c) AS sd FROM test)),
 wp AS (SELECT *, w0 / avg(w0) OVER () * CASE WHEN is_pseudo THEN 0.5 ELSE 1 END AS w FROM raw)""",
 }
