@@ -183,6 +183,21 @@ class _Grouped:
                 self.component[self.component == self.component[y[0]]] = self.component[x[0]]
 
 
+def _hubs(ids: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Links (x, y) between small nodes' rows as pairs of each member with its component's smallest id."""
+    label = np.arange(len(ids))
+    while len(x):
+        before = label.copy()
+        np.minimum.at(label, x, label[y])
+        np.minimum.at(label, y, label[x])
+        if (label == before).all():
+            break
+    smallest = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(smallest, label, ids)
+    hub = smallest[label]
+    return np.stack([hub, ids], 1)[hub != ids]
+
+
 def _node_links(batches: Iterator[pa.RecordBatch], radius: int, words: int) -> Iterator[pa.RecordBatch]:
     """Links of every node; rows come sorted by node and Gray rank."""
 
@@ -190,19 +205,20 @@ def _node_links(batches: Iterator[pa.RecordBatch], radius: int, words: int) -> I
         begin = np.append(0, np.flatnonzero(node[1:] != node[:-1]) + 1)
         sizes = np.diff(np.append(begin, len(node)))
         size_of = np.repeat(sizes, sizes)
-        a: list[np.ndarray] = []
-        b: list[np.ndarray] = []
+        x: list[np.ndarray] = []
+        y: list[np.ndarray] = []
         for gap in range(1, min(FAN_OUT, sizes.max(initial=1))):
             i = np.flatnonzero((node[:-gap] == node[gap:]) & (size_of[:-gap] <= FAN_OUT))
             i = i[np.bitwise_count(prints[i] ^ prints[i + gap]).sum(-1) <= radius]
-            a.append(ids[i])
-            b.append(ids[i + gap])
+            x.append(i)
+            y.append(i + gap)
+        hubs = _hubs(ids, *(np.concatenate(z) if z else np.empty(0, np.int64) for z in (x, y)))
+        a, b = [hubs[:, 0]], [hubs[:, 1]]
         for at, size in zip(begin[sizes > FAN_OUT].tolist(), sizes[sizes > FAN_OUT].tolist()):
             pairs = _Grouped(ids[at : at + size], prints[at : at + size], radius).links()
             a.append(pairs[:, 0])
             b.append(pairs[:, 1])
-        both = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b)]
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in both], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(z), pa.int64()) for z in (a, b)], ["a", "b"])
 
     held: tuple[np.ndarray, ...] | None = None
     for batch in batches:
