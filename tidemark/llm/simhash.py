@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, durable, packed, whole_text
+from .common import SPACE_CHARS, documents, durable, packed, whole_text
 
 SHINGLE = 3
 RADIUS = 3
@@ -62,13 +62,13 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, words: int = 1) -> np.ndarray:
-    """The fingerprint as ``words`` unsigned 64-bit numbers."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of every shingle as unsigned 64-bit numbers, in the order of the text."""
     from xxhash import xxh64_intdigest
 
     tokens = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not tokens:
-        return np.zeros(words, np.uint64)
+        return np.empty(0, np.uint64)
     joined = b" ".join(tokens)
     sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
     ends = np.cumsum(sizes + 1) - 1
@@ -76,12 +76,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, words: int = 1) -> np.
     width = min(shingle, len(tokens))
     n = len(tokens) - width + 1
     a, b = starts[:n].tolist(), ends[width - 1 :].tolist()
+    return np.fromiter((xxh64_intdigest(joined[x:y], HASH_SEED) for x, y in zip(a, b)), np.uint64, n)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, words: int = 1) -> np.ndarray:
+    """The fingerprint as ``words`` unsigned 64-bit numbers."""
+    hashes = shingle_hashes(text, shingle)
     ones = np.zeros((words, 64), np.int64)
-    for at in range(0, n, _CHUNK):
-        hashes = np.fromiter((xxh64_intdigest(joined[x:y], HASH_SEED) for x, y in zip(a[at : at + _CHUNK], b[at : at + _CHUNK])), np.uint64)
+    for at in range(0, len(hashes), _CHUNK):
         for k in range(words):
-            ones[k] += np.unpackbits(_mixed(hashes, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(2 * ones > n, axis=1, bitorder="little").view(np.uint64)[:, 0]
+            ones[k] += np.unpackbits(_mixed(hashes[at : at + _CHUNK], k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
 def fingerprints(text: Column, shingle: int = SHINGLE, words: int = 1) -> Column:
@@ -313,14 +318,24 @@ def op5(spark: SparkSession, sf_dir: str, node_cap: int = NODE_CAP) -> DataFrame
     return rows.join(by_print, "id").select("doc_id", F.lpad(F.lower(F.hex("id")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = STAGE_SHINGLE, words: int = STAGE_WORDS, radius: int = STAGE_RADIUS) -> DataFrame:
-    """The documents with one of each group of near-duplicates, that of the smallest doc_id (null last)."""
+def drop_near_duplicates(docs: DataFrame, shingle: int = STAGE_SHINGLE, **blocks: int) -> DataFrame:
+    """The documents with one of each group of near-duplicates, that of the smallest doc_id (null last).
+
+    Near-duplicates have sets of ``shingle`` words with a Jaccard similarity of 0.8 or more;
+    ``blocks`` are the sizes of blocks in a task, which change no result.
+    """
+    from .jaccard import shingle_sets, similar_roots
+
     keys = [F.col("row.doc_id").alias("doc_id"), F.xxhash64("row.text").alias("text_key")]
     rows = packed(docs)
-    narrow = durable(rows.select(*keys, fingerprints(whole_text("row.text"), shingle, words).alias("prints")).withColumn("id", F.xxhash64("prints")))
-    roots = component_roots(narrow.select("id", "prints"), radius, words)
+    trimmed = F.btrim(whole_text("row.text"), F.lit(SPACE_CHARS))
+    narrow = durable(rows.select(*keys, F.xxhash64(trimmed).alias("id")))
+    texts = rows.select(F.xxhash64(trimmed).alias("id"), trimmed.alias("text")).dropDuplicates(["id"])
+    sets = texts.select("id", shingle_sets(F.col("text"), shingle).alias("shingles"))
+    roots = similar_roots(durable(sets.select("id", F.size("shingles").cast("long").alias("n"), "shingles")), **blocks)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("kept")
-    kept = narrow.join(roots, "id").groupBy("root").agg(first).select(F.col("kept.doc_id").alias("k_id"), F.col("kept.text_key").alias("k_key"))
+    rooted = narrow.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    kept = rooted.groupBy("root").agg(first).select(F.col("kept.doc_id").alias("k_id"), F.col("kept.text_key").alias("k_key"))
     stays = rows.select("row", *keys).join(kept, F.expr("doc_id <=> k_id AND text_key = k_key"), "left_semi")
     # Repeated rows are copies too: one of them is left.
     one = F.row_number().over(Window.partitionBy("doc_id", "text_key").orderBy("doc_id"))
