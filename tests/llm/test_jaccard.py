@@ -51,3 +51,27 @@ def test_repeated_boilerplate_links_nothing(spark):
     line = fresh(rnd, 12)
     texts = [fresh(rnd, 300) + (" " + line) * 30 for _ in range(12)]
     assert kept(docs(spark, texts)) == list(range(12)) == brute(dict(enumerate(texts)))
+
+
+def test_blocks_change_nothing(spark):
+    """Near copies, chains of them, template texts and short texts, in blocks of any size."""
+    rnd = random.Random(9)
+    texts = [None, "", " \n", "one", "One", "one two", "one two three four five six"]
+    for n in (30, 200):
+        base = fresh(rnd, n)
+        for _ in range(25):
+            base = edited(rnd, base, max(1, n // 60))
+            texts.append(base)
+        template = fresh(rnd, n)
+        texts += [edited(rnd, template, rnd.randint(0, max(1, n // 30))) for _ in range(40)]
+    want = brute(dict(enumerate(texts)))
+    df = docs(spark, texts)
+    assert kept(df) == want and 10 < len(want) < len(texts) - 10
+    assert kept(df, block_sets=3) == want
+    assert kept(df, block_shingles=500) == want
+
+
+@pytest.mark.parametrize("n", range(1, 60))
+def test_prefix_holds_a_shared_shingle(n):
+    least = next(k for k in range(n + 1) if 5 * k >= 4 * n)
+    assert J.prefix_length(n) == n - least + 1 == J.prefix_length(np.int64(n))

@@ -40,11 +40,9 @@ HASH_SEED = 42
 NODE_CAP = 16_384
 LEAF = 64
 FAN_OUT = 16
-#: Near-duplicate stage: five words, 512 bits. Shingle sets of Jaccard similarity 0.8 differ in
-#: 512 * acos(2 * 0.8 / 1.8) / pi = 77.4 bits on average, with a standard deviation of 8.1; the
-#: radius stands a little above. Those pairs share one of 32 bands with probability 0.91, pairs
-#: of similarity 0.85 with 0.97; members of a group also meet through one another.
+#: Near-duplicate stage: sets of five words, compared exactly (jaccard.py).
 STAGE_SHINGLE = 5
+#: Wide fingerprints that estimate the same similarity; the stage doesn't use them.
 STAGE_WORDS = 8
 STAGE_RADIUS = 86
 
@@ -121,17 +119,6 @@ def _pigeonholes(node: Column, rest: Column, bits: int, pieces: int) -> tuple[Co
     return F.array(*children), bits - min(width, bits - (len(children) - 1) * width)
 
 
-def _bands(node: Column, prints: Column, used: Column, words: int) -> Column:
-    """Child nodes of a wide fingerprint by each 16-bit band that is not used on the way down."""
-    children = []
-    for j in range(4 * words):
-        band = F.shiftrightunsigned(prints[j // 4], 16 * (j % 4)).bitwiseAND(F.lit(0xFFFF))
-        marked = used.bitwiseOR(F.lit(1 << j))
-        # The order in which bands were fixed must not tell two paths to one node apart.
-        children.append(F.when(used.bitwiseAND(F.lit(1 << j)) == 0, F.struct((node + F.xxhash64(F.lit(j), band)).alias("node"), marked.alias("rest"))))
-    return F.filter(F.array(*children), lambda c: c.isNotNull())
-
-
 class _Grouped:
     """Links within one node, whose fingerprints stand in Gray order."""
 
@@ -203,7 +190,7 @@ def _hubs(ids: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.stack([hub, ids], 1)[hub != ids]
 
 
-def _node_links(batches: Iterator[pa.RecordBatch], radius: int, words: int) -> Iterator[pa.RecordBatch]:
+def _node_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """Links of every node; rows come sorted by node and Gray rank."""
 
     def found(node: np.ndarray, ids: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
@@ -232,7 +219,7 @@ def _node_links(batches: Iterator[pa.RecordBatch], radius: int, words: int) -> I
         parts = (
             batch.column("node").to_numpy(zero_copy_only=False),
             batch.column("id").to_numpy(zero_copy_only=False),
-            batch.column("prints").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, words),
+            batch.column("prints").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, 1),
         )
         if held is not None:
             parts = tuple(np.concatenate(x) for x in zip(held, parts))
@@ -244,18 +231,11 @@ def _node_links(batches: Iterator[pa.RecordBatch], radius: int, words: int) -> I
         yield found(*held)
 
 
-def links(prints: DataFrame, radius: int = RADIUS, words: int = 1, node_cap: int = NODE_CAP) -> DataFrame:
-    """Links ``(a, b)`` that connect distinct fingerprints ``prints(id, prints)``.
-
-    One word: exact for the radius. Several words: pairs within the radius that share a
-    16-bit band.
-    """
+def links(prints: DataFrame, radius: int = RADIUS, node_cap: int = NODE_CAP) -> DataFrame:
+    """Links ``(a, b)`` that connect distinct one-word fingerprints ``prints(id, prints)``, exact for the radius."""
     root = F.lit(0).cast("long")
     bits, found = 64, None
-    if words == 1:
-        children, free = _pigeonholes(root, F.col("prints")[0], bits, radius + 1)
-    else:
-        children, free = _bands(root, F.col("prints"), root, words), 64
+    children, free = _pigeonholes(root, F.col("prints")[0], bits, radius + 1)
     while True:
         level = prints_below(prints, children)
         hot = level.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > node_cap).select("node")
@@ -266,16 +246,13 @@ def links(prints: DataFrame, radius: int = RADIUS, words: int = 1, node_cap: int
             here.repartition("node")
             .sortWithinPartitions("node", gray_rank(F.col("prints")[0]))
             .select("node", "id", "prints")
-            .mapInArrow(lambda it: _node_links(it, radius, words), "a long, b long")
+            .mapInArrow(lambda it: _node_links(it, radius), "a long, b long")
         )
         found = pairs if found is None else found.unionByName(pairs)
         if not deeper:
             return found
-        prints = level.join(hot, "node", "left_semi").distinct() if words > 1 else level.join(hot, "node", "left_semi")
-        if words == 1:
-            children, free = _pigeonholes(F.col("node"), F.col("rest"), free, radius + 1)
-        else:
-            children, free = _bands(F.col("node"), F.col("prints"), F.col("rest"), words), free - 16
+        prints = level.join(hot, "node", "left_semi")
+        children, free = _pigeonholes(F.col("node"), F.col("rest"), free, radius + 1)
 
 
 def prints_below(prints: DataFrame, children: Column) -> DataFrame:
@@ -300,10 +277,10 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
-def component_roots(rows: DataFrame, radius: int = RADIUS, words: int = 1, node_cap: int = NODE_CAP) -> DataFrame:
+def component_roots(rows: DataFrame, radius: int = RADIUS, node_cap: int = NODE_CAP) -> DataFrame:
     """``(id, root)`` for every distinct id of durable ``rows(id, prints)``."""
     distinct = rows.groupBy("id").agg(F.first("prints").alias("prints"))
-    roots = components(links(durable(distinct), radius, words, node_cap))
+    roots = components(links(durable(distinct), radius, node_cap))
     return distinct.select("id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
@@ -311,7 +288,7 @@ def op5(spark: SparkSession, sf_dir: str, node_cap: int = NODE_CAP) -> DataFrame
     """Fingerprint and component of every document."""
     prints = fingerprints(whole_text(), SHINGLE)
     rows = durable(documents(spark, sf_dir).select("doc_id", prints.alias("prints")).withColumn("id", F.col("prints")[0]))
-    roots = durable(component_roots(rows, RADIUS, 1, node_cap))
+    roots = durable(component_roots(rows, RADIUS, node_cap))
     smallest = rows.groupBy("id").agg(F.min("doc_id").alias("least"))
     named = roots.join(smallest, "id").groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = roots.join(named, "root").select("id", "component_id")
