@@ -53,6 +53,22 @@ def test_repeated_boilerplate_links_nothing(spark):
     assert kept(docs(spark, texts)) == list(range(12)) == brute(dict(enumerate(texts)))
 
 
+def test_pairs_at_the_threshold(spark):
+    """Every pair of similarity 0.80 is found, and none below it."""
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choices("abcdefghij", k=8))
+    texts = []
+    for _ in range(60):
+        # 400 shingles in common and 50 in each text alone: 400 / 500; with one more alone 400 / 501.
+        common = [word() for _ in range(404)]
+        for more in (50, 50), (50, 51):
+            texts += [" ".join([f"{c}{len(texts)}" for c in common] + [word() for _ in range(m)]) for m in more]
+            texts[-1] = " ".join(texts[-2].split()[:404] + texts[-1].split()[404:])
+    same = {i: len(shingles(texts[i]) & shingles(texts[i + 1])) for i in range(0, len(texts), 2)}
+    assert set(same.values()) == {400}
+    assert kept(docs(spark, texts)) == sorted([*range(0, len(texts), 2), *range(3, len(texts), 4)])
+
+
 def test_blocks_change_nothing(spark):
     """Near copies, chains of them, template texts and short texts, in blocks of any size."""
     rnd = random.Random(9)

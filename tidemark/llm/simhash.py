@@ -306,10 +306,11 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = STAGE_SHINGLE, **blocks
     keys = [F.col("row.doc_id").alias("doc_id"), F.xxhash64("row.text").alias("text_key")]
     rows = packed(docs)
     trimmed = F.btrim(whole_text("row.text"), F.lit(SPACE_CHARS))
-    narrow = durable(rows.select(*keys, F.xxhash64(trimmed).alias("id")))
-    texts = rows.select(F.xxhash64(trimmed).alias("id"), trimmed.alias("text")).dropDuplicates(["id"])
-    sets = texts.select("id", shingle_sets(F.col("text"), shingle).alias("shingles"))
-    roots = similar_roots(durable(sets.select("id", F.size("shingles").cast("long").alias("n"), "shingles")), **blocks)
+    texts = rows.select(F.xxhash64(trimmed).alias("id"), trimmed.alias("text"))
+    # Sets are computed again where they are needed: stored they would be larger than the texts.
+    narrow = durable(rows.select(*keys, F.xxhash64(trimmed).alias("id"), F.size(shingle_sets(trimmed, shingle)).cast("long").alias("n")))
+    sizes = durable(narrow.groupBy("id").agg(F.first("n").alias("n")))
+    roots = similar_roots(texts, sizes, shingle, **blocks)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("kept")
     rooted = narrow.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     kept = rooted.groupBy("root").agg(first).select(F.col("kept.doc_id").alias("k_id"), F.col("kept.text_key").alias("k_key"))
