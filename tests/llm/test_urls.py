@@ -82,3 +82,10 @@ def test_edges_are_summed_per_pair(spark):
     pages = U.with_host_path(page_table(spark, ["http://A.com/"] * 3, ['<a href="//b.com/x"><img src=http://b.com>'] * 3)).withColumn("extra", F.lit(1))
     found = {(r.src, r.dst): r.weight for r in U.host_edges(pages).collect()}
     assert found[("a.com", "b.com")] == 6.0
+
+
+def test_distrust_reaches_hosts_far_away(spark):
+    # h40 links to h39 and so on to a blocked host: every one of them is suspect.
+    link = lambda h: f'<a href="http://{h}/">x</a>'
+    pages = page_table(spark, ["http://spam.net/", *(f"http://h{i}/" for i in range(1, 41))], [None, link("spam.net"), *(link(f"h{i}") for i in range(1, 40))])
+    assert {r.verdict for r in U.judge(pages).collect()} == {"block"}

@@ -14,6 +14,8 @@ and no edge concerns (allow); null HTML has no links; repeated pages are judged
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +23,8 @@ from .common import ascii_lower, documents, durable, whole_text
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 DAMPING = 0.85
-ROUNDS, STRIDE = 20, 5
+STRIDE = 5
+#: Largest change of a host's rank within a stride, as part of that rank, at which walks end.
 TOLERANCE = 1e-3
 BLOCK_SHARE = 0.5
 
@@ -60,26 +63,29 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.unionAll(both).where("src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def walk(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def walk(edges: DataFrame, seeds: DataFrame, rounds: int | None = None) -> DataFrame:
     """Personalised PageRank ``(kind, host, rank)`` of several walks at once.
 
     ``edges(kind, src, dst, weight)`` and ``seeds(kind, host, seed)`` name the walk they
-    belong to; a walk's seeds sum to 1.
+    belong to; a walk's seeds sum to 1. Walks end when no host is new and each host's rank
+    has settled relative to itself, whatever the size of the graph, or after ``rounds``.
     """
     out = edges.groupBy("kind", "src").agg(F.sum("weight").alias("all"))
     steps = durable(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("weight") / F.col("all")).alias("p")))
     home = durable(seeds).select("kind", "host", (F.col("seed") * (1 - DAMPING)).alias("part"))
     rank = before = seeds.select("kind", "host", F.col("seed").alias("rank"))
-    for i in range(1, rounds + 1):
+    for i in itertools.count(1):
         moved = steps.join(rank, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("p") * DAMPING).alias("part"))
         rank = moved.unionByName(home).groupBy("kind", "host").agg(F.sum("part").alias("rank"))
         if i % STRIDE == 0:
             rank = durable(rank)
-            gap = rank.withColumnRenamed("rank", "now").join(before, ["kind", "host"], "full").agg(F.sum(F.abs(F.coalesce("now", F.lit(0.0)) - F.coalesce("rank", F.lit(0.0)))))
-            if (gap.first()[0] or 0.0) < TOLERANCE:
-                break
+            # Seeds and all that they reach keep a rank, so a host is never lost, only new.
+            both = rank.withColumnRenamed("rank", "now").join(before, ["kind", "host"], "left")
+            if both.where(F.col("rank").isNull() | (F.abs(F.col("now") - F.col("rank")) > TOLERANCE * F.col("now"))).isEmpty():
+                return rank
             before = rank
-    return rank
+        if i == rounds:
+            return rank
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
