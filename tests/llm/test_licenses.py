@@ -59,3 +59,42 @@ def test_rules():
     assert len(listed) >= 300
     for r in listed:
         assert re.compile(r.pattern) and r.gate.isalnum() and 0 < r.confidence <= 1
+
+
+def alternatives(pattern):
+    """All strings that a pattern of words, optional parts and alternatives matches, in part or whole."""
+    from itertools import product
+    from re import _parser
+
+    def expand(items):
+        parts = []
+        for op, arg in items:
+            op = str(op)
+            if op == "LITERAL":
+                parts.append([chr(arg)])
+            elif op == "SUBPATTERN":
+                parts.append(expand(arg[3]))
+            elif op == "BRANCH":
+                parts.append([x for b in arg[1] for x in expand(b)])
+            elif op == "MAX_REPEAT":
+                parts.append([""] * (arg[0] == 0) + expand(arg[2]))
+            elif op == "IN":
+                parts.append(["0"] if str(arg[0][0]) != "LITERAL" else [chr(c) for _, c in arg])
+            else:
+                parts.append([""])
+        return ["".join(p) for p in product(*parts)]
+
+    return expand(_parser.parse(pattern))
+
+
+def test_every_alternative_passes_its_own_hint():
+    for r in rules():
+        assert not [a for a in alternatives(r.pattern) if r.hint not in a], r
+
+
+def test_expat_and_x11(spark, tmp_path):
+    from helpers import store as stored
+
+    texts = ["This is the Expat License", "X11 License", "licensed under the Expat license"]
+    rows = L.op2(spark, stored(tmp_path, documents=docs(spark, texts))).collect()
+    assert {r.labels for r in rows} == {"mit"}

@@ -59,7 +59,9 @@ _VERSIONED = [
 
 #: label, the license's name in front of "license" or "licence", hint word
 _NAMED = [
-    ("mit", "(?:mit|expat|x11)", "mit"),
+    ("mit", "mit", "mit"),
+    ("mit", "expat", "expat"),
+    ("mit", "x11", "x11"),
     ("isc", "isc", "isc"),
     ("zlib", "(?:zlib|zlib libpng)", "zlib"),
     ("bsd-2-clause", "(?:simplified bsd|bsd 2 clause|2 clause bsd|two clause bsd|freebsd)", "bsd"),
