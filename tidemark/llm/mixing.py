@@ -2,10 +2,11 @@
 
 The mix is cut into at most ``BLOCKS`` blocks of equal word counts. Seats for blocks go
 to sources by the highest quotients target / (2k + 1); the order in which they are won
-deals them to the mix's shards, so that each shard has an integer quota per source. A
-source's words, in seeded document order, form its own blocks. A seeded bijection picks
-which of them fill the quota; whole passes come first when a quota is above the source's
-size, and the closing block is fitted to the source's target.
+deals them to the mix's shards, so that each shard has an integer quota per source. Seats
+are reported only: plain rounding replaced them, and the words taken are the source's
+rounded target. A source's words, in seeded document order, form its own blocks. A seeded
+bijection picks which of them are taken; whole passes come first when the target is above
+the source's size, and the closing block is cut to the target.
 
 Word positions within a source come from offsets of hash ranges plus a running sum in a
 range, so a source with a third of all rows is never summed up in one task.
