@@ -51,7 +51,7 @@ def test_matcher_finds_exactly_what_brute_force_finds():
     rnd = random.Random(9)
     word = lambda: "".join(rnd.choices("abcdefgh", k=rnd.randint(2, 7)))
     items = [(i, D.normal(" ".join(word() for _ in range(rnd.randint(6, 25))))) for i in range(12)]
-    items = [(i, t) for i, t in items if len(t) >= D.MIN_CHARS]
+    items = [(i, t) for i, t in items if len(t) >= D.SHORT]
     match = D.matcher(items)
     for _ in range(150):
         parts = []
@@ -66,19 +66,30 @@ def test_matcher_finds_exactly_what_brute_force_finds():
 
 def test_query_and_stage(spark, tmp_path):
     item = "The quick brown fox jumps over the lazy dog again and again."
-    texts = [None, "", "unrelated text", item, "intro " + item.upper().replace(" ", "\n  ") + " outro", item.replace("quick", "quack"), "filler " * 40_000 + item, "the quick brown fox", item]
-    bench = spark.createDataFrame([(1, item), (2, "short"), (3, None), (4, item), (5, "")], "item_id long, text string")
+    texts = [None, "", "unrelated text", item, "intro " + item.upper().replace(" ", "\n  ") + " outro", item.replace("quick", "quack"), "filler " * 40_000 + item, "the quick brown fox", item, "cut Short, it is", "shortage and resort"]
+    bench = spark.createDataFrame([(1, item), (2, "short"), (3, None), (4, item), (5, ""), (6, " \n")], "item_id long, text string")
     sf = store(tmp_path, documents=docs(spark, texts), benchmark=bench)
     found = sorted((r.doc_id, r.item_id, r.distance) for r in D.op6(spark, sf).collect())
-    assert found == [(i, j, d) for i, d in ((3, 0), (4, 0), (5, 1), (6, 0), (8, 0)) for j in (1, 4)]
+    assert found == sorted([(i, j, d) for i, d in ((3, 0), (4, 0), (5, 1), (6, 0), (8, 0)) for j in (1, 4)] + [(9, 2, 0)])
     clash = docs(spark, texts).withColumn("item_id", F.lit(1)).withColumn("row", F.lit("r")).withColumn("m", F.lit(0))
     kept = D.drop_contaminated(clash, bench)
-    assert kept.columns == clash.columns and sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 7]
+    assert kept.columns == clash.columns and sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 7, 10]
+    assert sorted(r.doc_id for r in D.drop_contaminated(clash, bench, 70).collect()) == [0, 1, 2, 7, 10]
+    many = D.contaminations(docs(spark, texts), bench, 70)
+    assert sorted((r.doc_id, r.item_id, r.distance) for r in many.collect()) == found
     assert D.drop_contaminated(clash, bench.limit(0)).count() == len(texts)
     assert D.op6(spark, store(tmp_path / "none", documents=docs(spark, []), benchmark=bench)).count() == 0
 
 
+def test_short_items_stand_as_whole_words():
+    match = D.matcher([(1, "b c"), (2, "ab"), (3, "(x)")])
+    got = lambda text: [(m["item_id"], m["places"]) for m in match(text)]
+    assert got("ab c") == [] or got("ab c") == [(2, 1)]
+    assert got("a b c d") == [(1, 1)] and got("ab,ab cab") == [(2, 2)] and got("f(x)y") == [(3, 1)] and got("abb cc") == []
+
+
 def test_passes_hold_every_item_once(spark, sf_dir):
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    one, many = D.passes(bench), D.passes(bench, 3000)
-    assert len(one) == 1 and len(many) > 1 and sorted(x for p in many for x in p) == sorted(one[0])
+    (a, one), (b, many) = D.passes(bench), D.passes(bench, 3000)
+    one, many = list(one), list(many)
+    assert a == len(one) == 1 and b == len(many) > 1 and sorted(x for p in many for x in p) == sorted(one[0])

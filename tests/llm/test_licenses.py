@@ -54,6 +54,40 @@ def test_all_documents(spark, sf_dir):
     check({r.doc_id: r for r in L.op2(spark, sf_dir).collect()}, texts)
 
 
+def test_suppression_by_priority(spark):
+    """A detection that only overlaps suppressed ones stays; brute force on random intervals."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    def best(found):
+        kept = []
+        for d in sorted(found, key=lambda d: (d[2], d[0] - d[1], d[0], d[3])):
+            if all(d[1] <= k[0] or k[1] <= d[0] for k in kept):
+                kept.append(d)
+        return sorted(kept)
+
+    rnd = random.Random(3)
+    cases = [[(0, 5, 1, "a", 1.0), (3, 10, 5, "b", 1.0), (6, 9, 1, "c", 1.0)], [], [(0, 9, 2, "a", 1.0), (1, 3, 1, "b", 1.0), (4, 6, 1, "c", 1.0)]]
+    for _ in range(60):
+        starts = [(rnd.randrange(60), rnd.randint(1, 9), rnd.randint(1, 4), rnd.choice("abc")) for _ in range(rnd.randint(1, 200))]
+        cases.append([(a, a + n, p, x, 1.0) for a, n, p, x in starts])
+    cases.append([(i * 3, i * 3 + 2, 1 + i % 3, "x", 1.0) for i in range(20_000)])
+    df = spark.createDataFrame([(i, [*c, *c[:3]]) for i, c in enumerate(cases)], f"i int, found array<{L._DETECTION}>")
+    rows = {r.i: [tuple(d) for d in r.kept] for r in df.select("i", L.surviving(L.distinct_sorted(F.col("found"))).alias("kept")).collect()}
+    for i, c in enumerate(cases):
+        assert rows[i] == best(set(c)), i
+
+
+def test_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    df = docs(spark, ["MIT License", None]).withColumn("words", F.lit(1)).withColumn("found", F.lit("f")).withColumn("labels", F.lit(0)).withColumn("whole", F.lit(2))
+    rows = L.scan(df).collect()
+    assert [r.labels for r in rows] == ["mit", ""] and {(r.words, r.found, r.whole) for r in rows} == {(1, "f", 2)}
+    assert L.scan(df).columns == ["doc_id", "text", "lang", "source", "n_chars", "words", "found", "whole", *L.RESULTS]
+
+
 def test_rules():
     listed = rules()
     assert len(listed) >= 300
@@ -92,6 +126,16 @@ def test_every_alternative_passes_its_own_hint():
         assert not [a for a in alternatives(r.pattern) if r.hint not in a], r
 
 
+def test_every_rule_finds_a_text_of_its_own(spark):
+    """For each rule the shortest text of its pattern: its label is found, or one of a better rule that covers it."""
+    listed = rules()
+    texts = [min((a for a in alternatives(r.pattern)), key=len).replace("@", " ") for r in listed]
+    rows = {r.doc_id: r for r in L.scan(docs(spark, texts)).collect()}
+    for i, r in enumerate(listed):
+        assert rows[i].labels and rows[i].n_detections >= 1, (r, texts[i])
+    assert sum(r.label in rows[i].labels.split(",") for i, r in enumerate(listed)) >= 0.9 * len(listed)
+
+
 def test_expat_and_x11(spark, tmp_path):
     from helpers import store as stored
 

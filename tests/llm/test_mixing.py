@@ -35,11 +35,24 @@ def check(rows, texts):
         assert 0 <= r.taken <= 3 * r.size
         taken[r.source] += r.taken
     assert len(rows) == len(texts)
+    block = max(1, -(-sum(sizes.values()) // M.BLOCKS))
+    won = apportioned(want, sum(sizes.values()), block)
     for s, t in want.items():
-        assert abs(taken[s] - t) <= 0.5 + 1e-6
+        assert taken[s] == min(won[s] * block, 3 * sizes[s])
+        assert abs(taken[s] - t) <= 1.5 * block
     return want
 
 
+def apportioned(goals, words, block):
+    """Blocks won by each source, one after the other by the highest quotient."""
+    won = dict.fromkeys(goals, 0)
+    order = sorted((s for s in goals if s is not None)) + [None] * (None in goals)
+    for _ in range((2 * words + block) // (2 * block)):
+        best = max((s for s in order if goals[s] > 0), key=lambda s: (goals[s] / (2 * won[s] + 1), -order.index(s)))
+        won[best] += 1
+    return won
+
+
 def test_query(spark, tmp_path):
     rnd = random.Random(3)
     names = ["a", "b", "Z", "é", None, "empty", "tiny"]
@@ -67,10 +80,11 @@ def test_quotas_are_those_of_highest_quotients(spark):
     rnd = random.Random(8)
     sources = rnd.choices("abcd", [5, 3, 1, 1], k=300)
     df = docs(spark, ["w " * rnd.randint(1, 90) for _ in sources], sources)
-    got = {(r["shard"], r["source"]): r["blocks"] for r in M.quotas(df).collect()}
-    goals = {r.source: r for r in M.targets(df.select("source", M.count_words().alias("size"))).collect()}
+    targets = M.targets(df.select("source", M.count_words().alias("size")))
+    got = {(r["shard"], r["source"]): r["blocks"] for r in M.quotas(targets).collect()}
+    goals = {r.source: r for r in targets.collect()}
     one = next(iter(goals.values()))
-    seats = -(-one.all_words // one.block)
+    seats = (2 * one.all_words + one.block) // (2 * one.block)
     best = sorted(((-g.target / (2 * k + 1), s, k) for s, g in goals.items() for k in range(seats)))[:seats]
     want = defaultdict(int)
     for i, (_, s, _) in enumerate(best):
@@ -78,6 +92,23 @@ def test_quotas_are_those_of_highest_quotients(spark):
     assert got == dict(want)
 
 
+def test_larger_blocks_decide_what_is_taken(spark):
+    """With twenty blocks for all words, the words taken are whole blocks and differ from the targets."""
+    rnd = random.Random(12)
+    sources = rnd.choices("abcde", [9, 4, 3, 2, 2], k=200)
+    df = docs(spark, ["w " * rnd.randint(1, 90) for _ in sources], sources)
+    rows = M.durable(df.select("doc_id", "source", M.count_words().alias("size")))
+    taken, goals, words = defaultdict(int), {}, 0
+    for r in M.mix(rows, blocks=20).collect():
+        taken[r.source] += r.taken
+        goals[r.source] = r.target
+        words += r.size
+        assert 0 <= r.taken <= 3 * r.size
+    block = -(-words // 20)
+    assert dict(taken) == {s: n * block for s, n in apportioned(goals, words, block).items()}
+    assert any(abs(taken[s] - goals[s]) > 1 for s in goals)
+
+
 def test_stage_keeps_columns_and_comes_near_the_targets(spark):
     rnd = random.Random(5)
     sources = rnd.choices(["a", "b", None], [6, 3, 1], k=500)

@@ -2,7 +2,6 @@ import random
 from collections import defaultdict
 
 import numpy as np
-import pytest
 from helpers import docs, store
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -60,7 +59,7 @@ def test_query(spark, tmp_path):
     want = brute(dict(zip(ids, texts)))
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in S.op5(spark, sf).collect()} == want
     # With a small cap, nodes are split level by level and no link is lost.
-    assert {r.doc_id: (r.fingerprint, r.component_id) for r in S.op5(spark, sf, node_cap=2).collect()} == want
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in S.op5(spark, sf, node_cap=6).collect()} == want
     assert S.op5(spark, store(tmp_path / "none", documents=docs(spark, []))).count() == 0
 
 
@@ -70,22 +69,68 @@ def test_links_of_a_chain(spark):
     for i in range(20):
         prints.append(value)
         value ^= 7 << (3 * i)
-    rows = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p, [p - (1 << 64) if p >> 63 else p]) for p in prints], "id long, prints array<long>")
+    rows = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "id long")
     roots = {r.root for r in S.component_roots(rows).collect()}
     assert len(roots) == 1
 
 
-def test_grouped_links_connect_what_brute_force_connects():
+def rank(print_):
+    """Place in Gray order."""
+    for shift in (1, 2, 4, 8, 16, 32):
+        print_ ^= print_ >> shift
+    return print_
+
+
+def near_prints(rng, centres, n):
+    return {int(c) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 4), replace=False)) for c in rng.choice(centres, n)}
+
+
+def test_index_connects_what_brute_force_connects():
+    """Nodes of 1 to 900 rows in one batch; all links go through the index."""
     rng = np.random.default_rng(3)
-    centres = rng.integers(0, 2**63, 40, dtype=np.uint64)
-    prints = np.array([c ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 4), replace=False))) for c in rng.choice(centres, 900)])
-    order = np.argsort(prints)
-    prints = np.unique(prints[order])
-    ids = np.arange(len(prints))
-    pairs = S._Grouped(ids, prints.reshape(-1, 1), 3).links()
-    groups = lambda edges: {frozenset(g) for g in _groups(len(ids), edges)}
-    every = [(a, b) for a in range(len(ids)) for b in range(a) if int(prints[a] ^ prints[b]).bit_count() <= 3]
-    assert groups(pairs.tolist()) == groups(every) and len(pairs) < len(ids)
+    rows = []
+    for node, (centres, n) in enumerate([(1, 1), (1, 2), (3, 9), (2, 17), (10, 100), (40, 900), (1, 300), (900, 900)]):
+        rows += [(node, p) for p in sorted(near_prints(rng, rng.integers(0, 2**63, centres), n), key=rank)]
+    node, prints = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.uint64)
+    hub, other = S._hubs(node, prints.view(np.int64), prints, 3)
+    for k in range(8):
+        mine = prints[node == k].tolist()
+        every = [(a, b) for a in range(len(mine)) for b in range(a) if (mine[a] ^ mine[b]).bit_count() <= 3]
+        known = set(np.array(mine, np.uint64).view(np.int64).tolist())
+        place = {int(np.uint64(p).view(np.int64)): i for i, p in enumerate(mine)}
+        got = [(place[a], place[b]) for a, b in zip(hub.tolist(), other.tolist()) if a in known and b in known]
+        groups = lambda edges: {frozenset(g) for g in _groups(len(mine), edges)}
+        assert groups(got) == groups(every)
+
+
+def test_index_accumulates_differences_and_prunes(monkeypatch):
+    """Far apart rows are dropped at upper nodes: few pairs of rows are ever compared."""
+    rng = np.random.default_rng(5)
+    prints = np.array(sorted(map(int, rng.integers(0, 2**63, 4000, dtype=np.uint64)), key=rank), np.uint64)
+    compared = []
+    children = S._Index._children
+
+    def counting(self, level, a, b, known, counts):
+        if level == 1:
+            compared.append(int(counts.sum()))
+        i, j, seen = children(self, level, a, b, known, counts)
+        if level == 1:
+            assert (seen == np.bitwise_count(self.prints[i] ^ self.prints[j])).all()
+        return i, j, seen
+
+    monkeypatch.setattr(S._Index, "_children", counting)
+    S._Index(np.zeros(len(prints), np.int64), prints, 3).components()
+    assert sum(compared) < 0.65 * len(prints) * (len(prints) - 1) / 2
+
+
+def test_large_group_of_near_copies_above_the_cap(spark):
+    """50,000 distinct near copies of one fingerprint are one component, whatever the cap."""
+    rng = np.random.default_rng(6)
+    centre = int(rng.integers(0, 2**62))
+    flips = [(a, b, c) for a in range(64) for b in range(a) for c in range(b)]
+    prints = {centre, *(centre ^ 1 << a ^ 1 << b ^ 1 << c for a, b, c in flips[:50_000])}
+    rows = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "id long")
+    assert len({r.root for r in S.component_roots(rows, node_cap=4000).collect()}) == 1
 
 
 def _groups(n, edges):
@@ -124,19 +169,3 @@ def test_drops_near_copies_only(spark):
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3, 4, 5]
     assert S.drop_near_duplicates(docs(spark, [])).count() == 0
-
-
-@pytest.mark.parametrize("similarity, least", [(0.83, 0.85), (0.9, 0.97)])
-def test_stage_recall(similarity, least):
-    """Share of pairs at a Jaccard similarity that the stage's bands and radius find."""
-    rng = np.random.default_rng(11)
-    found = 0
-    for _ in range(150):
-        n = 400
-        own = round(n * (1 - similarity) / (1 + similarity))
-        common = rng.integers(0, 2**63, n - own, dtype=np.uint64)
-        both = [np.concatenate([common, rng.integers(0, 2**63, own, dtype=np.uint64)]) for _ in range(2)]
-        a, b = (np.array([np.packbits(2 * np.unpackbits(S._mixed(h, k).view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=int) > n).view(np.uint64)[0] for k in range(S.STAGE_WORDS)]) for h in both)
-        apart = a ^ b
-        found += np.bitwise_count(apart).sum() <= S.STAGE_RADIUS and (apart.view(np.uint16) == 0).any()
-    assert found / 150 >= least

@@ -51,18 +51,26 @@ def test_ties_and_unknown_characters():
 def test_same_as_the_tokenizers_library():
     from tokenizers import Tokenizer, models, pre_tokenizers
 
-    pieces = [p for p in T.vocabulary() if p[0] not in ("<unk>", "<s>", "</s>") and not (p[0].startswith("<0x") and p[0].endswith(">"))]
-    model = models.Unigram([("<unk>", 0.0), *pieces], unk_id=0, byte_fallback=False)
-    tokenizer = Tokenizer(model)
+    pieces = T.vocabulary()
+    # The library spells unknown characters by byte pieces, as the file's own do.
+    spelt = [(f"<0x{b:02X}>", 0.0) for b in range(256)]
+    tokenizer = Tokenizer(models.Unigram([("<unk>", 0.0), *pieces, *spelt], unk_id=0, byte_fallback=True))
     tokenizer.pre_tokenizer = pre_tokenizers.Metaspace(replacement=T.BLANK, prepend_scheme="always")
     counts = T.SegmentCounts(pieces)
     rnd = random.Random(4)
-    letters = "etaoinshrdlucmfwyp"
+    letters = "etaoinshrdlucmfwypéß漢🙂\n"
     for _ in range(300):
         text = " ".join("".join(rnd.choices(letters, k=rnd.randint(1, 12))) for _ in range(rnd.randint(1, 12)))
         assert counts.tokens(text) == len(tokenizer.encode(text, add_special_tokens=False).ids), text
 
 
+def test_control_and_byte_pieces_never_match():
+    pieces = dict(T.vocabulary())
+    assert not {"<unk>", "<s>", "</s>", "<0x0A>"} & set(pieces) and len(pieces) > 30_000
+    counts = T.SegmentCounts(T.vocabulary())
+    assert counts.tokens("<s>") > 1 and counts.tokens("<0x0A>") > 1
+
+
 def test_query(spark, tmp_path, sf_dir):
     pieces = T.vocabulary()
     texts = [None, "", " ", "word", "word word", "  two  blanks ", "naïve café 漢字 🙂", "line\nbreak\ttab", "x" * 3000, "word"]

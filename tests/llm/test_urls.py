@@ -63,25 +63,40 @@ def test_distrust_runs_against_links_and_trust_along_them(spark):
 
 
 def test_walk_is_personalised_pagerank(spark):
-    edges = [(0, 1, 2.0), (1, 2, 1.0), (2, 0, 1.0), (0, 2, 1.0), (3, 0, 1.0)]
+    edges = [(0, 1, 2.0), (1, 2, 1.0), (2, 0, 1.0), (0, 2, 1.0), (3, 0, 1.0), (2, 4, 3.0)]
     df = spark.createDataFrame([("trust", str(a), str(b), w) for a, b, w in edges], "kind string, src string, dst string, weight double")
     seeds = spark.createDataFrame([("trust", "0", 0.5), ("trust", "3", 0.5)], "kind string, host string, seed double")
-    got = {int(r["host"]): r["rank"] for r in U.walk(df, seeds, 20).collect()}
-    m = np.zeros((4, 4))
+    got = {int(r["host"]): r["rank"] for r in U.walk(df, seeds).collect()}
+    m = np.zeros((5, 5))
     for a, b, w in edges:
         m[b, a] = w
-    m /= m.sum(0)
-    seed = np.array([0.5, 0, 0, 0.5])
+    m /= np.maximum(m.sum(0), 1e-300)
+    seed = np.array([0.5, 0, 0, 0.5, 0])
     x = seed.copy()
-    for _ in range(20):
-        x = U.DAMPING * m @ x + (1 - U.DAMPING) * seed
-    assert [got.get(i, 0.0) for i in range(4)] == pytest.approx(x.tolist(), abs=5e-3)
+    for _ in range(200):  # what a host without links holds goes back to the seeds
+        lost = x[m.sum(0) == 0].sum()
+        x = U.DAMPING * (m @ x + lost * seed) + (1 - U.DAMPING) * seed
+    assert [got.get(i, 0.0) for i in range(5)] == pytest.approx(x.tolist(), rel=2e-3)
 
 
 def test_edges_are_summed_per_pair(spark):
-    pages = U.with_host_path(page_table(spark, ["http://A.com/"] * 3, ['<a href="//b.com/x"><img src=http://b.com>'] * 3)).withColumn("extra", F.lit(1))
-    found = {(r.src, r.dst): r.weight for r in U.host_edges(pages).collect()}
-    assert found[("a.com", "b.com")] == 6.0
+    pages = spark.createDataFrame([("a.com", '<a href="//B.com/x"><img src=http://b.com><a href="/own"><a href="https://a.com/">')] * 3, "host string, html string")
+    assert [tuple(r) for r in U.host_edges(pages).collect()] == [("a.com", "b.com", 6.0)]
+
+
+def test_tenants_of_one_domain_are_strangers(spark):
+    pages = page_table(spark, ["http://spam.example.com/de/", "http://other.example.com/", "http://example.com/"])
+    assert {r.host: r.verdict for r in U.judge(pages).collect()} == {"spam.example.com": "block", "other.example.com": "allow", "example.com": "allow"}
+
+
+def test_clashing_columns_hot_hosts_and_repeated_pages(spark):
+    pages = page_table(spark, ["http://spam.net/"] * 50 + ["http://a.com/"] * 50 + [None] * 50, ["<a href=http://spam.net>"] * 150)
+    pages = pages.withColumn("host", F.lit(1)).withColumn("h", F.lit("h")).withColumn("rest", F.lit(2)).withColumn("hot", F.lit(3)).withColumn("salt", F.lit(4))
+    out = U.judge(pages)
+    assert out.columns == ["page_id", "url", "html", "h", "rest", "hot", "salt", *U.RESULTS]
+    rows = out.collect()
+    assert sorted(r.page_id for r in rows) == list(range(150))
+    assert {(r.host, r.verdict) for r in rows} == {("spam.net", "block"), ("a.com", "block"), ("", "allow")}
 
 
 def test_distrust_reaches_hosts_far_away(spark):

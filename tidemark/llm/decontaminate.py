@@ -7,14 +7,18 @@ may hold p - 1 edits, and if it holds no more, so does one of its halves. Each s
 verified by Myers' bit-parallel edit distance, so chance hits end at short stretches and
 the whole item, with its k edits, is verified for few.
 
-Texts and items are compared in lower case with runs of white space as one blank. The
-items travel to the executors in passes of at most ``PASS_CHARS`` characters, so the size
-of the automaton is bounded whatever the benchmark holds; each pass reads the documents
-again.
-
-Defined cases: null and empty texts match nothing; items under ``MIN_CHARS`` characters
-are too short to tell and match nothing; equal items are reported each; repeated
-documents are reported each; an empty benchmark or no documents give no matches.
+Texts and items are compared in lower case with runs of white space as one blank. Items
+under ``SHORT`` characters have no budget and must stand as whole words: a few letters
+with an edit or within words would be found everywhere.
+
+The items travel to the executors in passes of at most about ``PASS_CHARS`` characters, one
+pass after the other: each collects its items, reads the documents, stores what it finds
+and leaves before the next begins. So one automaton is alive at a time and its size is
+bounded whatever the benchmark holds. A benchmark of one pass is streamed without storing.
+
+Defined cases: null and empty texts match nothing; null items and items of white space
+match nothing; equal items are reported each; repeated documents are reported each; an
+empty benchmark or no documents give no matches; other columns are kept.
 """
 
 from __future__ import annotations
@@ -26,10 +30,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, packed, whole_text
+from .common import documents, durable, packed, whole_text
 
 ERROR_SHARE = 0.1
-MIN_CHARS = 25
+SHORT = 25
 PASS_CHARS = 2_000_000
 MATCHES = "array<struct<item_id:long,distance:int,places:int,first_end:int>>"
 
@@ -39,7 +43,13 @@ def normal(text: str | None) -> str:
 
 
 def budget(length: int) -> int:
-    return int(length * ERROR_SHARE)
+    """Edits that an item of this length may have."""
+    return int(length * ERROR_SHARE) if length >= SHORT else 0
+
+
+def stands_alone(read: str, a: int, b: int) -> bool:
+    """Whether no letter or digit touches ``read[a:b]``."""
+    return not (a > 0 and read[a - 1].isalnum() and read[a].isalnum()) and not (b < len(read) and read[b].isalnum() and read[b - 1].isalnum())
 
 
 def pieces(item: str) -> list[tuple[int, str]]:
@@ -128,6 +138,8 @@ def matcher(items: list[tuple[int | None, str]]) -> Callable[[str | None], list[
         diagonals: dict[int, set[int]] = {}
         for end, (size, owners) in automaton.iter(read):
             for item, start, steps in owners:
+                if len(known[item][1]) < SHORT and not stands_alone(read, end + 1 - size, end + 1):
+                    continue
                 diagonal = end + 1 - size - start
                 if diagonal not in diagonals.setdefault(item, set()) and holds(read, diagonal, steps):
                     diagonals[item].add(diagonal)
@@ -167,16 +179,18 @@ def _stretches(diagonals: list[int], m: int, k: int) -> list[tuple[int, int]]:
     return out
 
 
-def passes(benchmark: DataFrame, pass_chars: int = PASS_CHARS) -> list[list[tuple[int | None, str]]]:
-    """Items in lists of bounded size, one list collected at a time."""
-    usable = benchmark.where(F.length("text") >= MIN_CHARS).select(F.col("item_id").cast("long").alias("item_id"), "text")
-    total = usable.agg(F.sum(F.length("text"))).first()[0] or 0
+def passes(benchmark: DataFrame, pass_chars: int = PASS_CHARS) -> tuple[int, Iterator[list[tuple[int | None, str]]]]:
+    """The number of passes, and their items; a pass is collected when its turn comes."""
+    items = benchmark.where(F.length(F.trim("text")) > 0).select(F.col("item_id").cast("long").alias("item_id"), "text")
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-total // pass_chars)
-    out = []
-    for i in range(n):
-        part = usable.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect() if n > 1 else usable.collect()
-        out.append([(r.item_id, t) for r in part if len(t := normal(r.text)) >= MIN_CHARS])
-    return out
+
+    def collected() -> Iterator[list[tuple[int | None, str]]]:
+        for i in range(n):
+            part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) if n > 1 else items
+            yield [(r.item_id, t) for r in part.collect() if (t := normal(r.text))]
+
+    return n, collected()
 
 
 def matches(text: Column, items: list[tuple[int | None, str]], spark: SparkSession) -> Column:
@@ -192,20 +206,27 @@ def matches(text: Column, items: list[tuple[int | None, str]], spark: SparkSessi
     return found(text)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, pass_chars: int = PASS_CHARS) -> DataFrame:
     """The documents in which no benchmark item occurs."""
     rows = packed(docs)
-    for items in passes(benchmark):
+    n, each = passes(benchmark, pass_chars)
+    for items in each:
         rows = rows.where(F.size(matches(whole_text("row.text"), items, docs.sparkSession)) == 0)
+        rows = durable(rows) if n > 1 else rows
     return rows.select("row.*")
 
 
+def contaminations(docs: DataFrame, benchmark: DataFrame, pass_chars: int = PASS_CHARS) -> DataFrame:
+    """``(doc_id, item_id, distance, places, first_end)``: every benchmark item in every document."""
+    n, each = passes(benchmark, pass_chars)
+    parts = []
+    for items in each:
+        found = docs.select("doc_id", F.explode(matches(whole_text(), items, docs.sparkSession)).alias("m")).select("doc_id", "m.item_id", "m.distance", "m.places", "m.first_end")
+        parts.append(durable(found) if n > 1 else found)
+    empty = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, distance int, places int, first_end int")
+    return reduce(DataFrame.unionByName, parts) if parts else empty
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with every benchmark item that occurs in it."""
-    docs = documents(spark, sf_dir)
-    parts = [
-        docs.select("doc_id", F.explode(matches(whole_text(), items, spark)).alias("m")).select("doc_id", "m.item_id", "m.distance", "m.places", "m.first_end")
-        for items in passes(documents(spark, sf_dir, "benchmark"))
-    ]
-    empty = spark.createDataFrame([], "doc_id long, item_id long, distance int, places int, first_end int")
-    return reduce(DataFrame.unionByName, parts) if parts else empty
+    return contaminations(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))

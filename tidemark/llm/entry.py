@@ -17,4 +17,10 @@ QUERIES = {
     "op10_personal_data": pii.op10,
 }
 
-ORACLES: dict[str, str] = {}
+#: The others train models, hash by XXH64, measure edits or write audio, which SQL can't.
+ORACLES: dict[str, str] = {
+    "op2_license_rules": licenses.oracle_sql(),
+    "op4_url_trust": urls.ORACLE_SQL,
+    "op8_mix_sources": mixing.ORACLE_SQL,
+    "op9_shard_documents": sharding.ORACLE_SQL,
+}

@@ -68,7 +68,6 @@ _NAMED = [
     ("bsd-3-clause", "(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd)", "bsd"),
     ("bsd-4-clause", "(?:original bsd|bsd 4 clause|4 clause bsd|four clause bsd)", "bsd"),
     ("bsd", "bsd(?: style)?", "bsd"),
-    ("unlicense", "the un", "un"),
     ("ms-pl", "microsoft public", "microsoft"),
     ("ms-rl", "microsoft reciprocal", "microsoft"),
     ("postgresql", "postgresql", "postgresql"),
@@ -80,7 +79,9 @@ _NAMED = [
     ("beerware", "beer ?ware", "ware"),
     ("curl", "curl", "curl"),
     ("ncsa", "(?:university of illinois )?ncsa(?: open source)?", "ncsa"),
-    ("proprietary", "(?:commercial|proprietary|end user)", "r"),
+    ("proprietary", "commercial", "commercial"),
+    ("proprietary", "proprietary", "proprietary"),
+    ("proprietary", "end user", "user"),
 ]
 
 #: Identifiers as written behind "SPDX-License-Identifier", with a hyphen or point as a blank.
@@ -110,6 +111,8 @@ _PHRASES = [
     ("this work is @licensed under", "work", "licensed-work", 0.3),
     ("licensed under the same terms as perl @itself", "perl", "perl", 0.8),
     ("terms of the @license agreement", "terms", "license-agreement", 0.3),
+    ("(?:under|released into|see) the @unlicense", "unlicense", "unlicense", 0.9),
+    ("@unlicense org", "unlicense", "unlicense", 0.9),
 ]
 
 

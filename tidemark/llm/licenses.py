@@ -3,27 +3,34 @@
 A document is a candidate if it contains a gate word's letters at all; only then are its
 words laid out. Each gate word there opens the rules behind it, which see the words within
 ``REACH`` of the gate. A rule whose hint is absent from them is not tried. Detections are
-intervals of words. One sweep in order of start, longest first, suppresses detections that
-another contains; of two that overlap, the better priority stays, and the first if equal.
+intervals of words. Overlaps are resolved by priority first, then length, then place: a
+detection that overlaps a better one which stays is suppressed, contained or not, and one
+that only overlaps suppressed ones stays.
 
 Base phrases are reported wherever they stand and are never suppressed.
 
-Everything happens within the row: no shuffle and no join. Defined cases: a null text is
-empty; no gate word gives no labels, null positions and score 0; repeated rows are scanned
-each; extra columns are of no concern.
+Everything happens within the row: no shuffle and no join. Detections are sorted once and
+cut into runs that don't overlap, so the work grows with their number and not its square.
+Defined cases: a null text is empty; no gate word gives no labels, null positions and score
+0; detections that are equal in every respect count once; repeated rows are scanned each;
+an empty table gives an empty result; columns named like a result are replaced, all others
+kept.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, documents, whole_text
+from .common import ascii_lower, best_apart, distinct_sorted, documents, let, packed, record, unpacked, whole_text
 from .license_rules import Rule, base_rules, rules
 
 REACH = 16
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-_DETECTION = "struct<start:int,back:int,priority:int,label:string,confidence:double>"
+_DETECTION = "struct<start:int,end:int,priority:int,label:string,confidence:double>"
+RESULTS = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "n_detections"]
 
 
 def word_array(text: Column) -> Column:
@@ -33,12 +40,8 @@ def word_array(text: Column) -> Column:
 
 def _table(listed: list[Rule]) -> Column:
     """Gate word to its rules, as one constant."""
-    entries: list[Column] = []
-    for gate in sorted({r.gate for r in listed}):
-        own = [r for r in listed if r.gate == gate]
-        values = [F.struct(F.lit(r.pattern).alias("pattern"), F.lit(r.hint).alias("hint"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.confidence).alias("confidence")) for r in own]
-        entries += [F.lit(gate), F.array(*values)]
-    return F.create_map(*entries)
+    gates = {g: [r._asdict() for r in listed if r.gate == g] for g in sorted({r.gate for r in listed})}
+    return F.from_json(F.lit(json.dumps(gates)), "map<string,array<struct<pattern:string,hint:string,label:string,priority:int,confidence:double>>>")
 
 
 def candidate(text: Column, listed: list[Rule]) -> Column:
@@ -61,60 +64,45 @@ def _blanks(text: Column) -> Column:
 
 
 def detections(words: Column, listed: list[Rule]) -> Column:
-    """All detections of the rules, sorted by start, then longest, then priority. ``words`` has its empty ends."""
-    table = _table(listed)
+    """All detections of the rules, each once, sorted by start and end. ``words`` has its empty ends."""
     gates = F.array(*[F.lit(g) for g in sorted({r.gate for r in listed})])
-    anchors = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(gates, w), F.struct(i.alias("i"), w.alias("w")))), lambda a: a.isNotNull())
+    anchors = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(gates, w), record(i=i, w=w))), lambda a: a.isNotNull())
 
     def around(anchor: Column) -> Column:
         first = F.greatest(F.lit(1), anchor["i"] - REACH)  # the first word stands behind the empty end
         left = F.array_join(F.slice(words, first + 1, anchor["i"] - first), " ")
-        right = F.array_join(F.slice(words, anchor["i"] + 1, REACH), " ")
+        right = F.array_join(F.slice(words, anchor["i"] + 1, F.lit(REACH)), " ")
         return F.concat(F.lit(" "), left, F.lit("@"), right, F.lit(" "))
 
-    def by_rule(anchor: Column, seen: Column) -> Column:
+    def by_rule(anchor: Column, seen: Column, table: Column) -> Column:
         def tried(rule: Column) -> Column:
             m = F.when(F.contains(seen, rule["hint"]), F.call_function("regexp_extract", seen, rule["pattern"], F.lit(0))).otherwise(F.lit(""))
-            return F.struct(m.alias("m"), rule.alias("rule"))
+            return record(m=m, rule=rule)
 
         hits = F.filter(F.transform(F.element_at(table, anchor["w"]), tried), lambda x: x["m"] != "")
         return F.transform(
             hits,
-            lambda x: F.struct(
-                (anchor["i"] - 1 - _blanks(F.substring_index(x["m"], "@", 1))).cast("int").alias("start"),
-                (-(anchor["i"] + _blanks(F.substring_index(x["m"], "@", -1)))).cast("int").alias("back"),
-                x["rule"]["priority"].alias("priority"), x["rule"]["label"].alias("label"), x["rule"]["confidence"].alias("confidence"),
+            lambda x: record(
+                start=(anchor["i"] - 1 - _blanks(F.substring_index(x["m"], "@", 1))).cast("int"),
+                end=(anchor["i"] + _blanks(F.substring_index(x["m"], "@", -1))).cast("int"),
+                priority=x["rule"]["priority"], label=x["rule"]["label"], confidence=x["rule"]["confidence"],
             ),
         )
 
-    found = F.flatten(F.transform(anchors, lambda a: F.flatten(F.transform(F.array(around(a)), lambda seen: by_rule(a, seen)))))
-    return F.array_sort(F.array_distinct(found))
+    found = let(_table(listed), lambda t: F.flatten(F.transform(anchors, lambda a: let(around(a), lambda seen: by_rule(a, seen, t)))))
+    return distinct_sorted(found)
 
 
 def surviving(found: Column) -> Column:
-    """Sorted detections without those that are contained or overlapped by a better one. ``back`` is minus the end."""
-    start = F.struct(F.array().cast(f"array<{_DETECTION}>").alias("kept"), F.lit(0).alias("far"))
-
-    def step(acc: Column, d: Column) -> Column:
-        kept, far = acc["kept"], acc["far"]
-        last = F.get(kept, F.size(kept) - 1)
-        overlaps = F.coalesce(d["start"] < -last["back"], F.lit(False))
-        contained = -d["back"] <= far
-        better = d["priority"] < last["priority"]
-        grown = (
-            F.when(contained | (overlaps & ~better), kept)
-            .when(overlaps, F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(d)))
-            .otherwise(F.concat(kept, F.array(d)))
-        )
-        return F.struct(grown.alias("kept"), F.greatest(far, -d["back"]).alias("far"))
-
-    return F.aggregate(found, start, step, lambda acc: acc["kept"])
-
-
-def scan(docs: DataFrame, text: Column) -> DataFrame:
+    """Sorted detections without those that overlap a better one which stays."""
+    return best_apart(found, lambda d: record(priority=d["priority"], shorter=d["start"] - d["end"], start=d["start"], label=d["label"]))
+
+
+def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows with n_words, n_base, first_word, last_word, base_labels, labels, score and n_detections."""
     base, listed = base_rules(), rules()
-    rows = docs.withColumn("whole", text).withColumn("n_words", (F.size(word_array(F.col("whole"))) - 2).cast("long"))
+    rows = packed(docs).withColumn("whole", whole_text(F.col(f"row.`{text}`")))
+    rows = rows.withColumn("n_words", (F.size(word_array(F.col("whole"))) - 2).cast("long"))
     words = F.when(candidate(F.col("whole"), base + listed), word_array(ascii_lower(F.col("whole"))))
     rows = rows.withColumn("words", words)
     rows = rows.withColumn("base", F.when(F.col("words").isNotNull(), detections(F.col("words"), base)))
@@ -127,20 +115,50 @@ def scan(docs: DataFrame, text: Column) -> DataFrame:
 
     starts = F.transform(base_found, lambda d: d["start"])
     every = F.concat(base_found, own)
-    return rows.withColumns(
-        {
-            "n_base": F.size(base_found).cast("long"),
-            "first_word": F.array_min(starts).cast("long"),
-            "last_word": F.array_max(starts).cast("long"),
-            "base_labels": names(base_found),
-            "labels": names(every),
-            "score": F.coalesce(F.array_max(F.transform(every, lambda d: d["confidence"])), F.lit(0.0)),
-            "n_detections": F.size(own).cast("long"),
-        }
-    ).drop("whole", "words", "base", "found")
+    results = {
+        "n_words": F.col("n_words"),
+        "n_base": F.size(base_found).cast("long"),
+        "first_word": F.array_min(starts).cast("long"),
+        "last_word": F.array_max(starts).cast("long"),
+        "base_labels": names(base_found),
+        "labels": names(every),
+        "score": F.coalesce(F.array_max(F.transform(every, lambda d: d["confidence"])), F.lit(0.0)),
+        "n_detections": F.size(own).cast("long"),
+    }
+    return rows.select(*unpacked("row", docs.columns, RESULTS), *[results[k].alias(k) for k in RESULTS])
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License labels of every document."""
-    docs = documents(spark, sf_dir).select("doc_id", "text")
-    return scan(docs, whole_text()).drop("text")
+    return scan(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+
+
+def _values(listed: list[Rule]) -> str:
+    """Rules as SQL rows; the blank that must follow a match is matched and not looked ahead at."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return ", ".join(f"({quoted(r.gate)}, {quoted(r.hint)}, {quoted(r.pattern.replace('(?= )', ' '))}, {quoted(r.label)}, {r.priority}, {r.confidence})" for r in listed)
+
+
+def oracle_sql() -> str:
+    """The same in DuckDB: rules joined to gate words, and suppression by recursion over the ranked detections of a text."""
+    base, listed = base_rules(), rules()
+    gates = ", ".join(f"'{g}'" for g in sorted({r.gate for r in base + listed}))
+    blanks = lambda x: f"(length({x}) - length(replace({x}, ' ', '')))"
+    left, right = "split_part(m, '@', 1)", "split_part(m, '@', 2)"
+    return f"""
+WITH RECURSIVE rule(gate, hint, pattern, label, priority, confidence) AS (VALUES {_values(base + listed)}),
+d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+a AS (SELECT rid, ws, unnest(list_filter(range(0, len(ws)), lambda k: list_contains([{gates}], ws[k + 1]))) AS k FROM d),
+s AS (SELECT rid, k, ws[k + 1] AS gate, ' ' || array_to_string(ws[greatest(1, k - {REACH - 1}):k], ' ') || '@' || array_to_string(ws[k + 1:k + {REACH}], ' ') || ' ' AS seen FROM a),
+h AS (SELECT rid, k, label, priority, confidence, regexp_extract(seen, pattern) AS m FROM s JOIN rule USING (gate) WHERE contains(seen, hint)),
+f AS MATERIALIZED (SELECT DISTINCT rid, k - {blanks(left)} AS start, k + {blanks(right)} AS stop, priority, label, confidence::DOUBLE AS confidence FROM h WHERE m <> ''),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY priority, start - stop, start, label, confidence) AS rk FROM f WHERE priority > 0),
+g AS (SELECT DISTINCT rid, 0::BIGINT AS rk, []::STRUCT(a BIGINT, b BIGINT, l VARCHAR, c DOUBLE)[] AS kept FROM o
+ UNION ALL SELECT o.rid, o.rk, CASE WHEN len(list_filter(kept, lambda x: x.a < stop AND start < x.b)) > 0 THEN kept ELSE list_append(kept, {{'a': start, 'b': stop, 'l': label, 'c': confidence}}) END FROM g JOIN o ON o.rid = g.rid AND o.rk = g.rk + 1),
+own AS (SELECT rid, unnest(kept) AS x FROM (SELECT rid, arg_max(kept, rk) AS kept FROM g GROUP BY 1)),
+every AS (SELECT rid, x.l AS label, x.c AS c, true AS own, NULL::BIGINT AS start FROM own UNION ALL SELECT rid, label, confidence, false, start FROM f WHERE priority = 0),
+t AS (SELECT rid, count(*) FILTER (NOT own) AS n_base, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (NOT own) AS base_labels,
+ string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(c) AS score, count(*) FILTER (own) AS n_detections FROM every GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score,
+ coalesce(n_detections, 0)::BIGINT AS n_detections FROM d LEFT JOIN t USING (rid)
+"""

@@ -1,30 +1,36 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal blocks.
 
-The mix is cut into at most ``BLOCKS`` blocks of equal word counts. Seats for blocks go
-to sources by the highest quotients target / (2k + 1); the order in which they are won
-deals them to the mix's shards, so that each shard has an integer quota per source. Seats
-are reported only: plain rounding replaced them, and the words taken are the source's
-rounded target. A source's words, in seeded document order, form its own blocks. A seeded
-bijection picks which of them are taken; whole passes come first when the target is above
-the source's size, and the closing block is cut to the target.
+The mix is cut into about ``BLOCKS`` blocks of equal word counts. Blocks go to sources by
+the highest quotients target / (2k + 1); the order in which they are won deals them to the
+mix's shards, so that each shard has an integer quota per source. A source takes as many
+words as its quotas hold blocks, and no more than ``CAP`` times its own. Its words, in
+seeded document order, form blocks too, and a seeded order of these says which are taken:
+whole passes over all of them first, then the blocks of lowest seeded rank, the last one
+cut where the quota ends. So a source's words differ from its target by about half a
+block, a share of 1 / ``2 BLOCKS`` of the mix; a source whose target is under half a block
+wins none.
 
 Word positions within a source come from offsets of hash ranges plus a running sum in a
-range, so a source with a third of all rows is never summed up in one task.
+range, so a source with a third of all rows is never summed up in one task. Windows over
+all sources see a row a source, the ranking of quotients at most ``BLOCKS`` and two a
+source.
 
 Defined cases: a null source is a source of its own, last in order; a null or empty text
-has size 0 and is not taken; repeated rows are separate rows; an empty table gives an
-empty result. Targets of sources without words are 0.
+has size 0 and is not taken; a null doc_id hashes like an empty one; repeated rows are
+separate rows, and rows of one doc_id and size are interchangeable (``mix_documents`` tells
+them apart by their whole contents); an empty table gives an empty result; targets of
+sources without words are 0.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import count_words, documents, durable, packed
 from .sharding import hash_range, seeded_hash
 
-BLOCKS = 16_384
+BLOCKS = 1 << 17
 SEED = 977
 CAP = 3
 SHARDS = 24
@@ -33,7 +39,7 @@ STRIDE = 1_000_003
 
 
 def targets(sizes: DataFrame, cap: int = CAP, blocks: int = BLOCKS) -> DataFrame:
-    """Per source of ``sizes(source, size)``: words, weight and target.
+    """Per source of ``sizes(source, size)``: words, weight, target and the mix's block.
 
     Sources by code point, null last, weigh 1, 2, 3 repeating. Targets share all words by
     weight but stop at ``cap`` times the source; what is above goes to the others by
@@ -60,39 +66,37 @@ def targets(sizes: DataFrame, cap: int = CAP, blocks: int = BLOCKS) -> DataFrame
 def seats(goals: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Blocks won by each source, and the shard each goes to: highest quotients first.
 
-    At most ``BLOCKS`` seats and two candidates a source more are ranked, whatever the
-    corpus holds.
+    The mix has as many seats as whole blocks fit into all words, to the nearest.
     """
     won = Window.orderBy(F.col("quotient").desc(), F.col("source").asc_nulls_last(), "k")
     return (
         goals.where("target > 0")
-        .withColumn("seats", F.expr("(all_words + block - 1) div block"))
+        .withColumn("seats", F.expr("(2 * all_words + block) div (2 * block)"))
         .withColumn("k", F.explode(F.expr("sequence(0L, CAST(floor(seats * target / all_words) AS BIGINT) + 1)")))
         .withColumn("quotient", F.col("target") / (2 * F.col("k") + 1))
         .withColumn("seat", F.row_number().over(won).cast("long"))
         .where("seat <= seats")
-        .select("source", "k", "seat", F.expr(f"CAST(((seat - 1) * {shards}) div seats AS INT)").alias("shard"))
+        .select("source", "block", "k", "seat", F.expr(f"CAST(((seat - 1) * {shards}) div seats AS INT)").alias("shard"))
     )
 
 
-def quotas(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """Integer block quotas ``(shard, source, blocks)`` of the mix of ``docs``."""
-    sizes = docs.select("source", count_words().alias("size"))
-    return seats(targets(sizes), shards).groupBy("shard", "source").agg(F.count(F.lit(1)).alias("blocks"))
+def quotas(goals: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """Integer quotas ``(shard, source, blocks, words)`` of the mix."""
+    return seats(goals, shards).groupBy("shard", "source").agg(F.count(F.lit(1)).alias("blocks"), F.sum("block").alias("words"))
 
 
-def plan(sizes: DataFrame, seed: int = SEED) -> DataFrame:
-    """Per source: target, seats won, words to take, whole passes, rest, number of blocks and seeded shift."""
-    goals = targets(sizes)
-    won = seats(goals).groupBy(F.col("source").alias("w_source")).agg(F.count(F.lit(1)).alias("source_blocks"))
+def plan(sizes: DataFrame, seed: int = SEED, shards: int = SHARDS, cap: int = CAP, blocks: int = BLOCKS) -> DataFrame:
+    """Per source: target, blocks won over all shards, whole passes, rest, number of its blocks and seeded shift."""
+    goals = targets(sizes, cap, blocks)
+    won = quotas(goals, shards).groupBy(F.col("source").alias("w_source")).agg(F.sum("blocks").alias("source_blocks"), F.sum("words").alias("quota"))
     return (
         goals.join(won, F.expr("source <=> w_source"), "left")
         .withColumn("source_blocks", F.coalesce("source_blocks", F.lit(0)).cast("long"))
-        .withColumn("words", F.round("target").cast("long"))
+        .withColumn("words", F.least(F.coalesce("quota", F.lit(0)), F.col("source_size") * cap).cast("long"))
         .withColumn("passes", F.when(F.col("source_size") > 0, F.expr("words div source_size")).otherwise(F.lit(0)).cast("long"))
         .withColumn("rest", F.col("words") - F.col("passes") * F.col("source_size"))
         .withColumn("n", F.greatest(F.lit(1), F.expr("(source_size + block - 1) div block")).cast("long"))
-        .withColumn("shift", F.pmod(seeded_hash(seed, F.col("source")), F.col("n")))
+        .withColumn("shift", F.expr(f"CAST(conv(substring(md5(concat('{seed}:', coalesce(source, ''))), 1, 8), 16, 10) AS BIGINT) % n"))
         .withColumn("last_rank", F.expr(f"({STRIDE} * (n - 1) + shift) % n"))
         .withColumn("last_gap", F.expr("n * block - source_size"))
         .select(F.col("source").alias("p_source"), "source_size", "target", "source_blocks", "block", "passes", "rest", "n", "shift", "last_rank", "last_gap")
@@ -104,17 +108,20 @@ _CHOSEN = f"""least(greatest(rest - ((({STRIDE} * j + shift) % n) * block
     - IF((({STRIDE} * j + shift) % n) > last_rank, last_gap, 0L)), 0L), IF(j = n - 1, block - last_gap, block))"""
 
 
-def mix(rows: DataFrame, seed: int = SEED) -> DataFrame:
-    """Add ``source_size``, ``target``, ``source_blocks`` and ``taken`` to durable ``rows`` with doc_id, source and size."""
+def mix(rows: DataFrame, seed: int = SEED, ties: tuple[str, ...] = (), cap: int = CAP, blocks: int = BLOCKS) -> DataFrame:
+    """Add ``source_size``, ``target``, ``source_blocks`` and ``taken`` to durable ``rows`` with doc_id, source and size.
+
+    ``ties`` are further columns that order rows of one doc_id and size.
+    """
     keyed = rows.withColumn("h", seeded_hash(seed, F.col("doc_id"))).withColumn("hb", hash_range(F.col("h")))
     per_range = keyed.groupBy("source", "hb").agg(F.sum("size").alias("w"))
     offsets = per_range.select(
         F.col("source").alias("o_source"), F.col("hb").alias("o_hb"),
         (F.sum("w").over(Window.partitionBy("source").orderBy("hb")) - F.col("w")).alias("before"),
     )
-    chosen = plan(rows.select("source", "size"), seed)
+    chosen = plan(rows.select("source", "size"), seed, cap=cap, blocks=blocks)
     prepared = offsets.join(chosen, F.expr("o_source <=> p_source"))
-    running = Window.partitionBy("source", "hb").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    running = Window.partitionBy("source", "hb").orderBy("h", "doc_id", "size", *ties).rowsBetween(Window.unboundedPreceding, 0)
     overlap = f"""aggregate(sequence(p div block, (p + size - 1) div block), 0L,
         (s, j) -> s + greatest(0L, least(p + size, j * block + {_CHOSEN}) - greatest(p, j * block)))"""
     return (
@@ -126,20 +133,51 @@ def mix(rows: DataFrame, seed: int = SEED) -> DataFrame:
     )
 
 
+def copies_of(taken: Column, size: Column, chance: Column) -> Column:
+    """How often a document stands in the mix; one without words weighs nothing and stays once."""
+    return F.when(size > 0, F.floor(taken / size + chance)).otherwise(F.lit(1)).cast("int")
+
+
 def mix_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The documents of the mix: each as often as its taken words make up its size.
 
     A part of a document is rounded up as often as it is large, by a seeded hash, so that a
-    source's words stay near its target. A document without words weighs nothing and stays
-    once.
+    source's words stay near its target. Only keys and sizes are ranked; the texts are read
+    a second time and joined by a hash of id, source and text. Rows that share all three
+    take the same number of copies each, that of their words together.
     """
-    rows = durable(packed(docs).select("row", F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), count_words("row.text").alias("size")))
-    chance = F.pmod(seeded_hash(seed + 1, F.col("doc_id")), F.lit(1 << 30)) / (1 << 30)
-    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + chance)).otherwise(F.lit(1)).cast("int")
-    return mix(rows, seed).withColumn("copies", copies).where("copies > 0").select("row", F.explode(F.expr("sequence(1, copies)")).alias("copy")).select("row.*")
+    rows = packed(docs).select("row", F.xxhash64("row.doc_id", "row.source", "row.text").alias("key"))
+    narrow = rows.select("key", F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), count_words("row.text").alias("size"))
+    mixed = mix(durable(narrow), seed, ("key",))
+    per_key = mixed.groupBy(F.col("key").alias("c_key")).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    chance = F.pmod(F.xxhash64(F.lit(seed + 1), "c_key"), F.lit(1 << 30)) / (1 << 30)
+    counts = per_key.select("c_key", copies_of(F.col("taken"), F.col("size"), chance).alias("copies")).where("copies > 0")
+    return rows.join(counts, F.col("key") == F.col("c_key")).select("row", F.explode(F.expr("sequence(1, copies)")).alias("copy")).select("row.*")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words the mix takes of every document."""
     rows = durable(documents(spark, sf_dir).select("doc_id", "source", count_words().alias("size")))
     return mix(rows).select("doc_id", "size", "source_size", "target", "taken", "source", "source_blocks")
+
+
+#: The same in DuckDB: positions by one running sum a source, blocks by one sorted list of quotients.
+ORACLE_SQL = f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
+src AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM d GROUP BY 1),
+lev AS (SELECT *, sum(source_size) OVER ()::BIGINT AS all_words, (sum(source_size) OVER o - source_size) * {CAP} AS before, sum(weight) OVER () - sum(weight) OVER o + weight AS left_over
+ FROM src WINDOW o AS (ORDER BY source_size / weight, source NULLS LAST)),
+rat AS (SELECT *, source_size * {CAP} <= weight * ((all_words - before) / left_over) AS capped, (all_words - before) / left_over AS rate FROM lev),
+goal AS (SELECT source, source_size, all_words, CASE WHEN capped THEN (source_size * {CAP})::DOUBLE ELSE weight * max(rate) FILTER (NOT capped) OVER () END AS target, greatest(1, (all_words + {BLOCKS - 1}) // {BLOCKS})::BIGINT AS block FROM rat),
+bid AS (SELECT source, block, (2 * all_words + block) // (2 * block) AS seats, unnest(range(0, floor((2 * all_words + block) // (2 * block) * target / all_words)::BIGINT + 2)) AS k, target FROM goal WHERE target > 0),
+won AS (SELECT source, count(*) AS source_blocks, sum(block) AS quota FROM (SELECT *, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, source NULLS LAST, k) AS seat FROM bid) WHERE seat <= seats GROUP BY 1),
+pl AS (SELECT g.*, coalesce(source_blocks, 0)::BIGINT AS source_blocks, least(coalesce(quota, 0), g.source_size * {CAP})::BIGINT AS words FROM goal g LEFT JOIN won ON g.source IS NOT DISTINCT FROM won.source),
+p2 AS (SELECT *, CASE WHEN source_size > 0 THEN words // source_size ELSE 0 END AS passes, greatest(1, (source_size + block - 1) // block) AS n FROM pl),
+p3 AS (SELECT *, words - passes * source_size AS rest, ('0x' || substr(md5(concat('{SEED}:', coalesce(source, ''))), 1, 8))::BIGINT % n AS shift, n * block - source_size AS last_gap FROM p2),
+p4 AS (SELECT *, ({STRIDE} * (n - 1) + shift) % n AS last_rank FROM p3),
+pos AS (SELECT *, (sum(size) OVER (PARTITION BY source ORDER BY substr(md5(concat('{SEED}:', coalesce(doc_id::VARCHAR, ''))), 1, 16), doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT - size AS p FROM d),
+cell AS (SELECT pos.doc_id, pos.source, pos.size, pos.p, p4.* EXCLUDE (source), unnest(CASE WHEN size > 0 THEN range(p // block, (p + size - 1) // block + 1) ELSE [-1] END) AS j FROM pos JOIN p4 ON pos.source IS NOT DISTINCT FROM p4.source),
+cut AS (SELECT *, ({STRIDE} * j + shift) % n AS r FROM cell),
+got AS (SELECT *, CASE WHEN size = 0 THEN 0 ELSE greatest(0, least(p + size, j * block + least(greatest(rest - (r * block - CASE WHEN r > last_rank THEN last_gap ELSE 0 END), 0), CASE WHEN j = n - 1 THEN block - last_gap ELSE block END)) - greatest(p, j * block)) END AS part FROM cut)
+SELECT doc_id, size, source_size, target, (any_value(passes) * size + sum(part))::BIGINT AS taken, source, any_value(source_blocks) AS source_blocks FROM got GROUP BY doc_id, source, size, source_size, target, p
+"""

@@ -1,20 +1,24 @@
 """SimHash near-duplicates over a Gray-order hierarchical index.
 
 Fingerprints. A text's shingles are hashed with XXH64; a fingerprint bit is 1 if it is
-set in over half of the hashes. Wide fingerprints mix each hash with further constants
-and so hold several 64-bit words.
-
-Index. Upper nodes fix a bit pattern that all fingerprints below share: two fingerprints
-within r bits agree on at least one of r + 1 pieces, so each fingerprint goes below r + 1
-nodes. A node above ``NODE_CAP`` fingerprints is not searched in one task; its members go
-one level down, where the bits that are still free are cut into r + 1 pieces again. Free
-bits run out after a few levels, so every node ends below the cap and no link is lost.
-Within a node the fingerprints stand in Gray order. Leaves of ``LEAF`` neighbours and the
-nodes above them hold their shared bits as mask and pattern; a pair of nodes is pruned
-when the differences in bits that both share exceed r already, or when both lie in one
-component. A node gives one link from each member of a component to the smallest id in it,
-so a group of near copies costs a row per member and not one per pair, and nodes that hold
-the same group give the same links.
+set in over half of the hashes.
+
+Distribution. Two fingerprints within r bits agree on at least one of r + 1 pieces, so each
+fingerprint goes to r + 1 nodes, one a piece. A node above ``NODE_CAP`` fingerprints is not
+searched in one task; its members go one level down, where the bits that are still free
+are cut into r + 1 pieces again. Fingerprints are distinct, and after four levels no more
+than 14 bits are free, so every node ends at or below the cap and no link is lost.
+
+Index. Within a node the fingerprints stand in Gray order. Runs of ``FAN_OUT`` neighbours,
+and runs of runs, have an index node each, up to one root: it holds the bits that all below
+it share, as mask and pattern. A search goes down from the root paired with itself. A pair
+of index nodes carries the differences that its shared bits show; a pair of children adds
+those of the bits that are shared by them and were not by their parents. A pair above r is
+dropped with all that is below it, and so is a pair that lies in one component already.
+Rows that are next to each other in Gray order are linked first, which makes components
+early. A node gives one link from each member of a component to the smallest id in it, so a
+group of near copies costs a row per member and not one per pair, and nodes that hold the
+same group give the same links.
 
 Defined cases: a null text is empty; fewer words than a shingle make one shingle of them
 all; no words give the fingerprint zero, linked like any other; a null doc_id is ignored
@@ -38,28 +42,17 @@ SHINGLE = 3
 RADIUS = 3
 HASH_SEED = 42
 NODE_CAP = 16_384
-LEAF = 64
 FAN_OUT = 16
+#: Rows to each side that are compared before the search, and pairs that a search expands at once.
+GAPS = 4
+PAIRS = 1 << 19
 #: Near-duplicate stage: sets of five words, compared exactly (jaccard.py).
 STAGE_SHINGLE = 5
-#: Wide fingerprints that estimate the same similarity; the stage doesn't use them.
-STAGE_WORDS = 8
-STAGE_RADIUS = 86
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _CHUNK = 1 << 16
 
 
-def _mixed(h: np.ndarray, k: int) -> np.ndarray:
-    """The hash itself for the first word of a fingerprint, an independent mix of it for each other."""
-    if k == 0:
-        return h
-    z = h + np.uint64((0x9E3779B97F4A7C15 * k) & 0xFFFFFFFFFFFFFFFF)
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
-
-
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     """XXH64 of every shingle as unsigned 64-bit numbers, in the order of the text."""
     from xxhash import xxh64_intdigest
@@ -77,22 +70,21 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.fromiter((xxh64_intdigest(joined[x:y], HASH_SEED) for x, y in zip(a, b)), np.uint64, n)
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, words: int = 1) -> np.ndarray:
-    """The fingerprint as ``words`` unsigned 64-bit numbers."""
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The fingerprint as an unsigned 64-bit number."""
     hashes = shingle_hashes(text, shingle)
-    ones = np.zeros((words, 64), np.int64)
+    ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), _CHUNK):
-        for k in range(words):
-            ones[k] += np.unpackbits(_mixed(hashes[at : at + _CHUNK], k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").view(np.uint64)[:, 0]
+        ones += np.unpackbits(hashes[at : at + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(text: Column, shingle: int = SHINGLE, words: int = 1) -> Column:
-    """Array of the fingerprint's words as signed longs."""
+def fingerprints(text: Column, shingle: int = SHINGLE) -> Column:
+    """The fingerprint as a signed long."""
 
-    @F.pandas_udf("array<long>")
+    @F.pandas_udf("long")
     def prints(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(t, shingle, words).view(np.int64) for t in texts], dtype=object)
+        return pd.Series(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
 
     return prints(text)
 
@@ -119,108 +111,114 @@ def _pigeonholes(node: Column, rest: Column, bits: int, pieces: int) -> tuple[Co
     return F.array(*children), bits - min(width, bits - (len(children) - 1) * width)
 
 
-class _Grouped:
-    """Links within one node, whose fingerprints stand in Gray order."""
+class _Index:
+    """Index nodes over rows that are sorted by node and Gray rank, level by level; links by a search from the roots."""
 
-    def __init__(self, ids: np.ndarray, prints: np.ndarray, radius: int):
-        self.ids, self.prints, self.radius = ids, prints, radius
-        self.component = np.arange(len(ids))
-        self.first = np.arange(0, len(ids), LEAF)
-        self.pattern, self.loose = self._summary(prints, np.zeros_like(prints), LEAF)
-        self.upper_pattern, self.upper_loose = self._summary(self.pattern, self.loose, FAN_OUT)
-
-    @staticmethod
-    def _summary(pattern: np.ndarray, loose: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pattern of each run of ``size`` rows, and the bits in which the run isn't of one mind."""
-        first = np.arange(0, len(pattern), size)
-        own = np.repeat(pattern[first], np.diff(np.append(first, len(pattern))), axis=0)
-        return pattern[first], np.bitwise_or.reduceat(loose | (pattern ^ own), first, axis=0)
+    def __init__(self, node: np.ndarray, prints: np.ndarray, radius: int):
+        self.prints, self.radius, self.parent = prints, radius, np.arange(len(prints))
+        #: Of each level: pattern, bits that are not of one mind below, first child, owner.
+        self.levels = [(prints, np.zeros_like(prints), np.arange(len(prints) + 1), node)]
+        while (owner := self.levels[-1][3]).size and (owner[1:] == owner[:-1]).any():
+            self.levels.append(self._above(*self.levels[-1]))
+        for gap in range(1, GAPS + 1):
+            x = np.flatnonzero((node[:-gap] == node[gap:]) & (np.bitwise_count(prints[:-gap] ^ prints[gap:]) <= radius))
+            self._join(x, x + gap)
 
     @staticmethod
-    def _least(pattern: np.ndarray, loose: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Differences that every pair of members of nodes a and b has."""
-        return np.bitwise_count((pattern[a] ^ pattern[b]) & ~loose[a] & ~loose[b]).sum(-1)
-
-    def links(self) -> np.ndarray:
-        """Pairs of ids: each member of a component with the component's smallest id."""
-        n_upper, n_leaf = len(self.upper_pattern), len(self.first)
-        ua, ub = np.triu_indices(n_upper)
-        near = self._least(self.upper_pattern, self.upper_loose, ua, ub) <= self.radius
-        # Neighbours in Gray order first: they join components, which later pairs then skip.
-        todo = sorted(zip(ua[near].tolist(), ub[near].tolist()), key=lambda p: p[1] - p[0])
-        for a, b in todo:
-            la = np.arange(a * FAN_OUT, min(n_leaf, (a + 1) * FAN_OUT))
-            lb = np.arange(b * FAN_OUT, min(n_leaf, (b + 1) * FAN_OUT))
-            x, y = (m.ravel() for m in np.meshgrid(la, lb, indexing="ij"))
-            keep = (x <= y) & (self._least(self.pattern, self.loose, x, y) <= self.radius)
-            for i, j in sorted(zip(x[keep].tolist(), y[keep].tolist()), key=lambda p: p[1] - p[0]):
-                self._leaves(i, j)
-        smallest = np.full(len(self.ids), np.iinfo(np.int64).max)
-        np.minimum.at(smallest, self.component, self.ids)
-        hub = smallest[self.component]
-        other = hub != self.ids
-        return np.stack([hub[other], self.ids[other]], 1)
-
-    def _leaves(self, i: int, j: int) -> None:
-        a, b = slice(i * LEAF, (i + 1) * LEAF), slice(j * LEAF, (j + 1) * LEAF)
-        one = self.component[a.start]
-        if (self.component[a] == one).all() and (self.component[b] == one).all():
-            return
-        x, y = np.nonzero(np.bitwise_count(self.prints[a][:, None] ^ self.prints[b][None]).sum(-1) <= self.radius)
-        x, y = x + a.start, y + b.start
+    def _above(pattern: np.ndarray, loose: np.ndarray, _: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
+        begin = np.append(True, owner[1:] != owner[:-1])
+        place = np.arange(len(owner)) - np.maximum.accumulate(np.where(begin, np.arange(len(owner)), 0))
+        first = np.flatnonzero(place % FAN_OUT == 0)
+        own = np.repeat(pattern[first], np.diff(np.append(first, len(pattern))))
+        return pattern[first], np.bitwise_or.reduceat(loose | (pattern ^ own), first), np.append(first, len(pattern)), owner[first]
+
+    def roots(self) -> np.ndarray:
+        """Each row's component, after shortening the ways there."""
+        while (self.parent != (up := self.parent[self.parent])).any():
+            self.parent = up
+        return self.parent
+
+    def _join(self, x: np.ndarray, y: np.ndarray) -> None:
         while len(x):
-            apart = self.component[x] != self.component[y]
-            x, y = x[apart], y[apart]
-            if len(x):
-                self.component[self.component == self.component[y[0]]] = self.component[x[0]]
-
-
-def _hubs(ids: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Links (x, y) between small nodes' rows as pairs of each member with its component's smallest id."""
-    label = np.arange(len(ids))
-    while len(x):
-        before = label.copy()
-        np.minimum.at(label, x, label[y])
-        np.minimum.at(label, y, label[x])
-        if (label == before).all():
-            break
+            root = self.roots()
+            a, b = root[x], root[y]
+            apart = a != b
+            x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+            np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
+
+    def _labels(self) -> list[np.ndarray]:
+        """Of each index node the component that all rows below it are in, or -1."""
+        labels = [self.roots()]
+        for _, _, first, _ in self.levels[1:]:
+            low, high = np.minimum.reduceat(labels[-1], first[:-1]), np.maximum.reduceat(labels[-1], first[:-1])
+            labels.append(np.where(low == high, low, -1))
+        return labels
+
+    def components(self) -> np.ndarray:
+        """Each row's component once all pairs within the radius are linked."""
+        if len(self.levels) == 1:
+            return self.roots()
+        top = np.arange(len(self.levels[-1][0]))
+        todo = [(len(self.levels) - 1, top, top, np.zeros(len(top), np.int64))]
+        labels = self._labels()
+        while todo:
+            level, a, b, known = todo.pop()
+            one = (labels[level][a] == labels[level][b]) & (labels[level][a] >= 0)
+            a, b, known = a[~one], b[~one], known[~one]
+            if not len(a):
+                continue
+            first = self.levels[level][2]
+            counts = (first[a + 1] - first[a]) * (first[b + 1] - first[b])
+            fits = max(1, int(np.searchsorted(np.cumsum(counts), PAIRS)))
+            if fits < len(a):
+                todo.append((level, a[fits:], b[fits:], known[fits:]))
+                a, b, known, counts = a[:fits], b[:fits], known[:fits], counts[:fits]
+            i, j, seen = self._children(level, a, b, known, counts)
+            if level == 1:
+                self._join(i, j)
+                if len(i):
+                    labels = self._labels()
+            else:
+                todo.append((level - 1, i, j, seen))
+        return self.roots()
+
+    def _children(self, level: int, a: np.ndarray, b: np.ndarray, known: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of children within the radius, with the differences accumulated so far."""
+        pattern, loose, first, _ = self.levels[level]
+        below, below_loose = self.levels[level - 1][:2]
+        of = np.repeat(np.arange(len(a)), counts)
+        at = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+        width = (first[b + 1] - first[b])[of]
+        i, j = first[a][of] + at // width, first[b][of] + at % width
+        ordered = i < j if level == 1 else i <= j  # a node paired with itself gives each pair of children once
+        i, j, of = i[ordered], j[ordered], of[ordered]
+        fresh = ~(below_loose[i] | below_loose[j]) & (loose[a] | loose[b])[of]
+        seen = known[of] + np.bitwise_count((below[i] ^ below[j]) & fresh)
+        near = seen <= self.radius
+        return i[near], j[near], seen[near]
+
+
+def _hubs(node: np.ndarray, ids: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each member of a node's component with the component's smallest id."""
+    component = _Index(node, prints, radius).components()
     smallest = np.full(len(ids), np.iinfo(np.int64).max)
-    np.minimum.at(smallest, label, ids)
-    hub = smallest[label]
-    return np.stack([hub, ids], 1)[hub != ids]
+    np.minimum.at(smallest, component, ids)
+    hub = smallest[component]
+    return hub[hub != ids], ids[hub != ids]
 
 
 def _node_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """Links of every node; rows come sorted by node and Gray rank."""
 
-    def found(node: np.ndarray, ids: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
-        begin = np.append(0, np.flatnonzero(node[1:] != node[:-1]) + 1)
-        sizes = np.diff(np.append(begin, len(node)))
-        size_of = np.repeat(sizes, sizes)
-        x: list[np.ndarray] = []
-        y: list[np.ndarray] = []
-        for gap in range(1, min(FAN_OUT, sizes.max(initial=1))):
-            i = np.flatnonzero((node[:-gap] == node[gap:]) & (size_of[:-gap] <= FAN_OUT))
-            i = i[np.bitwise_count(prints[i] ^ prints[i + gap]).sum(-1) <= radius]
-            x.append(i)
-            y.append(i + gap)
-        hubs = _hubs(ids, *(np.concatenate(z) if z else np.empty(0, np.int64) for z in (x, y)))
-        a, b = [hubs[:, 0]], [hubs[:, 1]]
-        for at, size in zip(begin[sizes > FAN_OUT].tolist(), sizes[sizes > FAN_OUT].tolist()):
-            pairs = _Grouped(ids[at : at + size], prints[at : at + size], radius).links()
-            a.append(pairs[:, 0])
-            b.append(pairs[:, 1])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(z), pa.int64()) for z in (a, b)], ["a", "b"])
-
-    held: tuple[np.ndarray, ...] | None = None
+    def found(node: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        pairs = _hubs(node, ids, ids.view(np.uint64), radius)
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs], ["a", "b"])
+
+    held: tuple[np.ndarray, np.ndarray] | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        parts = (
-            batch.column("node").to_numpy(zero_copy_only=False),
-            batch.column("id").to_numpy(zero_copy_only=False),
-            batch.column("prints").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, 1),
-        )
+        parts = tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "id"))
         if held is not None:
             parts = tuple(np.concatenate(x) for x in zip(held, parts))
         cut = int(np.searchsorted(parts[0], parts[0][-1]))  # the last node may go on in the next batch
@@ -232,22 +230,15 @@ def _node_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.R
 
 
 def links(prints: DataFrame, radius: int = RADIUS, node_cap: int = NODE_CAP) -> DataFrame:
-    """Links ``(a, b)`` that connect distinct one-word fingerprints ``prints(id, prints)``, exact for the radius."""
-    root = F.lit(0).cast("long")
-    bits, found = 64, None
-    children, free = _pigeonholes(root, F.col("prints")[0], bits, radius + 1)
+    """Links ``(a, b)`` that connect the distinct fingerprints ``prints(id)``, exact for the radius."""
+    found = None
+    children, free = _pigeonholes(F.lit(0).cast("long"), F.col("id"), 64, radius + 1)
     while True:
-        level = prints_below(prints, children)
-        hot = level.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > node_cap).select("node")
-        hot = durable(hot)
+        level = prints.select("id", F.explode(children).alias("child")).select("id", "child.node", "child.rest")
+        hot = durable(level.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > node_cap).select("node"))
         deeper = not hot.isEmpty() and free > 14
         here = level.join(hot, "node", "left_anti") if deeper else level
-        pairs = (
-            here.repartition("node")
-            .sortWithinPartitions("node", gray_rank(F.col("prints")[0]))
-            .select("node", "id", "prints")
-            .mapInArrow(lambda it: _node_links(it, radius), "a long, b long")
-        )
+        pairs = here.select("node", "id").repartition("node").sortWithinPartitions("node", gray_rank(F.col("id"))).mapInArrow(lambda it: _node_links(it, radius), "a long, b long")
         found = pairs if found is None else found.unionByName(pairs)
         if not deeper:
             return found
@@ -255,10 +246,6 @@ def links(prints: DataFrame, radius: int = RADIUS, node_cap: int = NODE_CAP) ->
         children, free = _pigeonholes(F.col("node"), F.col("rest"), free, radius + 1)
 
 
-def prints_below(prints: DataFrame, children: Column) -> DataFrame:
-    return prints.select("id", "prints", F.explode(children).alias("child")).select("id", "prints", "child.node", "child.rest")
-
-
 def components(edges: DataFrame) -> DataFrame:
     """``(id, root)`` of all ends of ``edges(a, b)``; the root is a component's smallest id.
 
@@ -277,17 +264,16 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
-def component_roots(rows: DataFrame, radius: int = RADIUS, node_cap: int = NODE_CAP) -> DataFrame:
-    """``(id, root)`` for every distinct id of durable ``rows(id, prints)``."""
-    distinct = rows.groupBy("id").agg(F.first("prints").alias("prints"))
-    roots = components(links(durable(distinct), radius, node_cap))
-    return distinct.select("id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+def component_roots(ids: DataFrame, radius: int = RADIUS, node_cap: int = NODE_CAP) -> DataFrame:
+    """``(id, root)`` for every distinct fingerprint of durable ``ids(id)``."""
+    distinct = durable(ids.select("id").distinct())
+    roots = components(links(distinct, radius, node_cap))
+    return distinct.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
 def op5(spark: SparkSession, sf_dir: str, node_cap: int = NODE_CAP) -> DataFrame:
     """Fingerprint and component of every document."""
-    prints = fingerprints(whole_text(), SHINGLE)
-    rows = durable(documents(spark, sf_dir).select("doc_id", prints.alias("prints")).withColumn("id", F.col("prints")[0]))
+    rows = durable(documents(spark, sf_dir).select("doc_id", fingerprints(whole_text(), SHINGLE).alias("id")))
     roots = durable(component_roots(rows, RADIUS, node_cap))
     smallest = rows.groupBy("id").agg(F.min("doc_id").alias("least"))
     named = roots.join(smallest, "id").groupBy("root").agg(F.min("least").alias("component_id"))

@@ -6,12 +6,20 @@ each of them. An Aho-Corasick automaton enumerates the pieces that end at a plac
 first; dynamic programming keeps the best score up to the place and the number of pieces
 on its path. Ties follow the public ``tokenizers`` library: the path whose last piece
 starts first wins, as a later one must score strictly more. A character that is no piece
-costs the least score less 10 and counts as its UTF-8 bytes (byte fallback).
+costs the least score less 10 and counts as its UTF-8 bytes (byte fallback). Control,
+unknown and byte pieces of the file never match text.
+
+No public unigram vocabulary is at hand and tokenizers are not trained here, so the default
+file is that of a BPE tokenizer: its scores are merge ranks, read as log-probabilities. The
+counts are those of the unigram model over that vocabulary, not of the file's own encoder,
+which merges pairs and gives fewer pieces. Any unigram file of the same format gives its
+own tokenizer's counts.
 
 The vocabulary (one file, a few MB) is read on the driver and broadcast. Segments repeat
 between texts, so each is counted once per ``CACHE`` segments.
 
-Defined cases: null and empty texts have no tokens; repeated rows count alike.
+Defined cases: null and empty texts have no tokens; repeated rows count alike; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,11 +38,12 @@ CACHE = 1_000_000
 
 
 def vocabulary(path: str = MODEL) -> list[tuple[str, float]]:
-    """Pieces and scores of a SentencePiece file, in id order."""
+    """Pieces that text can match, and their scores, of a SentencePiece file in id order."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
+    own = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
+    return [(model.id_to_piece(i), model.get_score(i)) for i in own]
 
 
 class SegmentCounts(dict):

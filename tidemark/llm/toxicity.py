@@ -5,8 +5,10 @@ is the mean of their embeddings, so a misspelling that was never seen shares mos
 vector with the word it spells. A document is the mean of its words' vectors, weighted by
 the square root of their numbers and drawn to zero by ``PAD`` empty words, under a linear
 softmax over clean and toxic. Embeddings and softmax are trained together in numpy
-with Adam in batches on a bounded sample of labelled rows: the ``TRAIN_ROWS`` rows of smallest seeded
-hash, texts of at most ``TRAIN_CHARS`` characters.
+with Adam in batches on a bounded sample of labelled rows: those of smallest seeded hash, up to
+``TRAIN_ROWS`` rows and ``TRAIN_CHARS`` characters together, whichever comes first. A word of
+fewer than ``MIN_DOCS`` of them adds nothing to the fit, as it would let n-grams learn single
+documents by heart; at scoring it has a vector like any other.
 
 The model is linear in the bags, so scoring needs one number per bucket: the embedding
 times the difference of the softmax rows. That table of fixed size is what executors get.
@@ -31,7 +33,7 @@ from .common import documents, packed, whole_text
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 3, 1
 TRAIN_ROWS = 12_000
-TRAIN_CHARS = 20_000
+TRAIN_CHARS = 100_000_000
 BUCKETS = 1 << 18
 GRAMS = (3, 4, 5)
 DIM = 4
@@ -40,7 +42,7 @@ BATCH = 500
 RATE = 0.1
 PENALTY = 3e-4
 SCALE = 2000.0
-MIN_DOCS = 5
+MIN_DOCS = 2
 PAD = 20
 SEED = 7
 
@@ -197,20 +199,23 @@ def fold(doc_id: str | Column = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> tuple[np.ndarray, float]:
-    """Fit on the ``rows`` labelled documents outside the held-out fold that hash lowest.
+    """Fit on labelled documents outside the held-out fold, in order of a seeded hash of their ids.
 
-    The sample is chosen by ids alone, before any text is read. Of an id's repeated rows the
-    least text and the larger label count. One task fits; the driver gets the finished table.
+    The sample is chosen by ids alone, before any text is read; texts are taken in the same
+    order until ``chars`` is reached. Of an id's repeated rows the least text and the larger
+    label count. One task fits; the driver gets the finished table.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & (fold() != HELD_OUT)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sample = known.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(rows)
-    read = docs.select("doc_id", whole_text().alias("text")).where(F.length("text") <= chars)
-    found = read.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    sample = known.withColumn("h", F.xxhash64(F.lit(SEED), "doc_id")).orderBy("h", "doc_id").limit(rows)
+    read = docs.select("doc_id", whole_text().alias("text"))
+    found = read.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "h").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [b for b in batches if len(b)]
         if parts:
-            table = pd.concat(parts).sort_values("doc_id")
+            table = pd.concat(parts).sort_values(["h", "doc_id"])
+            size = table["text"].str.len()
+            table = table[size.cumsum() - size < chars].sort_values("doc_id")
             scores, bias = fit(table["text"].tolist(), table["toxic"].tolist())
             yield pd.DataFrame({"scores": [scores.tobytes()], "bias": [bias]})
 
