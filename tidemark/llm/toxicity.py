@@ -37,7 +37,7 @@ TRAIN_CHARS = 100_000_000
 BUCKETS = 1 << 18
 GRAMS = (3, 4, 5)
 DIM = 4
-EPOCHS, LEAST_STEPS = 16, 80
+EPOCHS, LEAST_STEPS = 6, 80
 BATCH = 500
 RATE = 0.1
 PENALTY = 3e-4
