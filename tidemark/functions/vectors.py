@@ -19,7 +19,21 @@ def norm(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))
+    """Cosine of two vectors; 0 if either has no length."""
+    return F.coalesce(F.try_divide(dot(a, b), norm(a) * norm(b)), F.when(a.isNotNull() & b.isNotNull(), F.lit(0.0)))
+
+
+def unit_vector(x: Column) -> Column:
+    """The vector at length 1; one without length stays as it is."""
+    n = norm(x)
+    return F.when(n > 0, F.transform(x, lambda v: v / n)).otherwise(x)
+
+
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson correlation as an aggregate; NaN where either column is constant, null without rows."""
+    a, b = (F.when(x.isNotNull() & y.isNotNull(), x.cast("double")) for x, y in ((a, b), (b, a)))
+    r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    return F.when(F.count(a) > 0, F.coalesce(r, F.lit(float("nan"))))
 
 
 def squared_distance(a: Column, b: Column) -> Column:

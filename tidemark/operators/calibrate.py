@@ -2,18 +2,24 @@
 
 A threshold is a DataFrame of one row (or one row per group). Rows come with ``s`` (score),
 ``c`` (consistency), ``y`` and ``split``; calibration rows are those of split ``cal`` and
-test rows those of split ``test``. Statistics are single rows joined by broadcast.
+test rows those of split ``test``. Statistics are numbers on the driver, taken several at a
+time, and stand as literals in the plans that follow.
+
+Defined cases: no calibration rows give a null threshold; no admitted test rows leave the
+calibration rows alone; ties at the pool's cap are ranked by id; rows whose consistency is
+null are not admitted.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, fields
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.distribution import distribution, lower_quantiles, order_statistic, quantiles, running, weighted_quantile
+from ..functions.distribution import at_rank, distribution, interpolated, lower, lower_quantiles, one_row_of, order_statistic, quantiles, running, select, weighted_quantile, weighted_select
 from ..functions.lineage import durable
 from ..functions.metrics import effective_size
 
@@ -61,10 +67,9 @@ def cal_rows(rows: DataFrame, robust: bool = False) -> DataFrame:
     cal = rows.where("split = 'cal'")
     if not robust:
         return cal.where("y = 0")
-    middle = lower_quantiles(cal, "c", {"med": 0.5})
-    off = one_row(cal, middle).withColumn("off", F.abs(F.col("c") - F.col("med")))
-    spread = lower_quantiles(off, "off", {"mad": 0.5})
-    return one_row(off, spread).where(F.col("c") >= F.col("med") - 2 * 1.4826 * F.col("mad")).drop("med", "off", "mad")
+    middle = select(cal, {"med": lower(F.col("c"), 0.5)})["med"]
+    spread = select(cal, {"mad": lower(F.abs(F.col("c") - F.lit(middle)), 0.5)})["mad"]
+    return cal.where(F.col("c") >= F.lit(middle) - 2 * 1.4826 * F.lit(spread))
 
 
 def split_threshold(cal: DataFrame, alpha: float | Column = 0.05, by: tuple[str, ...] = ()) -> DataFrame:
@@ -74,40 +79,54 @@ def split_threshold(cal: DataFrame, alpha: float | Column = 0.05, by: tuple[str,
     return order_statistic(cal, "s", rank, "threshold", by)
 
 
+def largest(rows: DataFrame, value: str, cap: int, key: str = "node_id") -> DataFrame:
+    """The ``cap`` rows of largest value; those tied at the edge are taken by id."""
+    found = select(rows, {"edge": at_rank(F.negative(F.col(value)), lambda n: max(1, min(n, cap)))})
+    if found["n_edge"] <= cap:
+        return rows.where(F.col(value).isNotNull())
+    if cap < 1:
+        return rows.limit(0)
+    edge = -found["edge"]
+    above = rows.where(F.col(value) > F.lit(edge))
+    return above.unionByName(rows.where(F.col(value) == F.lit(edge)).orderBy(key).limit(cap - above.count()))
+
+
+def limits(cal: DataFrame, p: Calibration) -> dict[str, float]:
+    """Of the calibration rows: ``tau``, ``s_upper``, their number and the pool's cap."""
+    gamma = 1.0 if p.score_quantile is None else 4 * (1 - p.score_quantile)
+    found = select(cal, {"tau": interpolated(F.col("c"), p.tau_quantile)}, top=F.max("s"), sd=F.stddev_samp("s"), n=F.count(F.lit(1)))
+    upper = None if found["top"] is None else found["top"] + gamma * max(found["sd"] or 0.0, 1e-6)
+    return {"tau": found["tau"], "s_upper": upper, "n": found["n"], "cap": int(found["n"] * p.max_pseudo_ratio)}
+
+
 def admit(rows: DataFrame, p: Calibration) -> DataFrame:
     """Pool of calibration and pseudo-normal test rows: ``(node_id, s, c, y, is_pseudo)``.
 
     Admission limits come from calibration rows only. The cap keeps the most consistent
-    admitted rows; the few rows at the cap's edge are ranked by id. The pool is stored, as
-    weights, quantile and summary all read it.
+    admitted rows. ``rows`` are read several times and should be stored.
     """
     cal = cal_rows(rows, p.robust)
-    gamma = 1.0 if p.score_quantile is None else 4 * (1 - p.score_quantile)
-    stats = quantiles(cal, "c", {"tau": p.tau_quantile}).crossJoin(cal.agg((F.max("s") + gamma * F.greatest(F.coalesce(F.stddev_samp("s"), F.lit(0.0)), F.lit(1e-6))).alias("s_upper"), F.floor(F.count(F.lit(1)) * p.max_pseudo_ratio).alias("cap")))
-    pseudo = one_row(rows.where("split = 'test'"), stats).where("c >= tau AND s <= s_upper")
+    at = limits(cal, p)
+    pseudo = rows.where("split = 'test'").where((F.col("c") >= F.lit(at["tau"])) & (F.col("s") <= F.lit(at["s_upper"])))
     if p.ppr_quantile is not None:
-        pseudo = one_row(pseudo, quantiles(pseudo, "ppr", {"tau_ppr": p.ppr_quantile})).where("ppr >= tau_ppr")
+        pseudo = pseudo.where(F.col("ppr") >= F.lit(select(pseudo, {"q": interpolated(F.col("ppr"), p.ppr_quantile)})["q"]))
     if p.clean_pool:
         pseudo = pseudo.where("y = 0")
-    pseudo = durable(pseudo.select("node_id", "s", "c", "y", "cap"))
-    # Rows above the consistency at which the cap is reached stay; those at it fill what is left.
-    levels = running(durable(distribution(pseudo, F.negative("c"))), "v", ["n"]).select((-F.col("v")).alias("lc"), F.col("cum_n").alias("upto"), F.col("n").alias("at"))
-    placed = pseudo.join(levels, F.col("c") == F.col("lc")).withColumn("left", F.col("cap") - (F.col("upto") - F.col("at"))).where("left > 0")
-    edge = placed.where("upto > cap").withColumn("rn", F.row_number().over(Window.partitionBy("c").orderBy("node_id"))).where("rn <= left").drop("rn")
-    kept = placed.where("upto <= cap").unionByName(edge)
     cols = ["node_id", "s", "c", "y"]
-    return durable(cal.select(*cols, F.lit(False).alias("is_pseudo")).unionByName(kept.select(*cols, F.lit(True).alias("is_pseudo"))))
+    kept = largest(pseudo.select(*cols), "c", at["cap"])
+    return cal.select(*cols, F.lit(False).alias("is_pseudo")).unionByName(kept.select(*cols, F.lit(True).alias("is_pseudo")))
 
 
 def consistency_weights(pool: DataFrame, reference: DataFrame, p: Calibration) -> DataFrame:
     """Add ``w``: exp of the standardised consistency, clipped, over its mean. ``reference`` gives median and deviation."""
-    stats = lower_quantiles(reference, "c", {"ref": 0.5}).crossJoin(reference.agg(F.stddev_samp("c").alias("sd")))
-    raw = one_row(pool, stats).withColumn("w", F.exp((F.col("c") - F.col("ref")) / (F.col("sd") + 1e-8)))
+    at = select(reference, {"ref": lower(F.col("c"), 0.5)}, sd=F.stddev_samp("c"))
+    w = F.exp((F.col("c") - F.lit(at["ref"])) / F.lit((at["sd"] or 0.0) + 1e-8))
     if p.clip_ratio is not None:
-        raw = one_row(raw, raw.agg(F.avg("w").alias("mw"))).withColumn("w", F.greatest(p.clip_ratio * F.col("mw"), F.least(F.col("w"), F.col("mw") / p.clip_ratio))).drop("mw")
+        mean = pool.agg(F.avg(w)).first()[0] or 0.0
+        w = F.greatest(F.lit(p.clip_ratio * mean), F.least(w, F.lit(mean / p.clip_ratio)))
     elif p.clip_range is not None:
-        raw = raw.withColumn("w", F.greatest(F.lit(float(p.clip_range[0])), F.least(F.col("w"), F.lit(float(p.clip_range[1])))))
-    return one_row(raw, raw.agg(F.avg("w").alias("mean_w"))).withColumn("w", F.col("w") / F.col("mean_w")).drop("ref", "sd", "mean_w")
+        w = F.greatest(F.lit(float(p.clip_range[0])), F.least(w, F.lit(float(p.clip_range[1]))))
+    return pool.withColumn("w", w / F.lit(pool.agg(F.avg(w)).first()[0] or 1.0))
 
 
 def weigh(pool: DataFrame, rows: DataFrame, p: Calibration) -> DataFrame:
@@ -121,49 +140,68 @@ def weigh(pool: DataFrame, rows: DataFrame, p: Calibration) -> DataFrame:
     return out.withColumn("w", F.when(F.col("is_pseudo"), F.col("w") * p.pseudo_discount).otherwise(F.col("w")))
 
 
-def pool_summary(pool: DataFrame) -> DataFrame:
-    """One row about a weighted pool: sizes, extremes, effective sizes and the bias bound."""
+#: Columns about a weighted pool: sizes, extremes, effective sizes and the bias bound.
+SUMMARY = {
+    "n": "long", "n_pseudo": "long", "w_min": "double", "w_max": "double", "ess": "double", "ess_pseudo": "double", "decay": "double", "bias_bound": "double",
+}
+
+
+def pool_threshold(pool: DataFrame, alpha: Callable[[dict], float]) -> dict[str, float]:
+    """Threshold and summary of a weighted pool; the level may depend on the summary."""
     pseudo = F.when(F.col("is_pseudo"), F.col("w"))
-    s = pool.agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("is_pseudo")).alias("n_pseudo"), F.min("w").alias("w_min"), F.max("w").alias("w_max"),
-        effective_size("w").alias("ess"), F.coalesce(F.try_divide(F.pow(F.sum(pseudo), 2), F.sum(pseudo * pseudo)), F.lit(0.0)).alias("ess_pseudo"),
+    sums = dict(
+        n_pseudo=F.count_if(F.col("is_pseudo")), w_min=F.min("w"), w_max=F.max("w"), ess=effective_size("w"),
+        ess_pseudo=F.coalesce(F.try_divide(F.pow(F.sum(pseudo), 2), F.sum(pseudo * pseudo)), F.lit(0.0)),
     )
-    decay = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("ess") / F.greatest(F.col("n"), F.lit(1))))
-    return s.withColumn("decay", decay).withColumn("bias_bound", F.least(F.lit(1.0), F.col("decay") / 2 + 1 / (F.col("n") + 1)))
+    found = pool.agg(F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in sums.items()]).first().asDict()
+    n = found["n"]
+    found["decay"] = max(0.0, min(1.0, 1 - (found["ess"] or 0.0) / max(n, 1)))
+    found["bias_bound"] = min(1.0, found["decay"] / 2 + 1 / (n + 1))
+    found["alpha_eff"] = alpha(found)
+    found["threshold"] = weighted_select(pool, F.col("s"), F.col("w"), lambda m: min(1.0, (1 - found["alpha_eff"]) * (m + 1) / m))["threshold"]
+    return found
 
 
 def level(alpha: Column) -> Column:
     return F.least(F.lit(1.0), (1 - alpha) * (F.col("n") + 1) / F.col("n"))
 
 
+def stored(rows: DataFrame, *more: str) -> DataFrame:
+    """The columns that thresholds read, stored once."""
+    return durable(rows.select("node_id", "s", "c", "y", "split", *more))
+
+
+def weighted_pool(rows: DataFrame, p: Calibration) -> DataFrame:
+    rows = stored(rows, *(["ppr"] if p.ppr_quantile is not None else []))
+    return weigh(admit(rows, p), rows, p)
+
+
 def weighted_threshold(rows: DataFrame, p: Calibration = Calibration()) -> DataFrame:
     """The weighted quantile of the admitted pool, with the pool's summary."""
-    pool = durable(weigh(admit(rows, p), rows, p))
-    t = weighted_quantile(pool, "s", "w", level(F.lit(p.alpha))).select("threshold")
-    return t.crossJoin(pool_summary(pool))
+    found = pool_threshold(weighted_pool(rows, p), lambda s: p.alpha)
+    return one_row_of(rows, {k: found[k] for k in ("threshold", *SUMMARY)}, SUMMARY)
 
 
 def adaptive_threshold(rows: DataFrame, p: Calibration = Calibration(score_quantile=0.75)) -> DataFrame:
     """The same at a level that grows to ``alpha_max`` as weights concentrate."""
-    pool = durable(weigh(admit(rows, p), rows, p))
-    summary = pool_summary(pool).withColumn("alpha_eff", F.least(F.lit(p.alpha_max), p.alpha + (p.alpha_max - p.alpha) * F.col("decay")))
-    rated = one_row(pool, summary.select("alpha_eff"))
-    by_level = weighted_quantile(rated, "s", "w", level(F.col("alpha_eff")), by=("alpha_eff",)).select("threshold")
-    return by_level.crossJoin(summary)
+    found = pool_threshold(weighted_pool(rows, p), lambda s: min(p.alpha_max, p.alpha + (p.alpha_max - p.alpha) * s["decay"]))
+    return one_row_of(rows, {k: found[k] for k in ("threshold", *SUMMARY, "alpha_eff")}, SUMMARY)
 
 
 def soft_threshold(rows: DataFrame, p: Calibration = Calibration()) -> DataFrame:
     """All test rows join at a discount; the third of least weight leaves."""
+    rows = stored(rows)
     cal, test = cal_rows(rows, p.robust), rows.where("split = 'test'")
     if p.weight_mode == "contrastive":
         weighted = [d.withColumn("w", F.col("c") + 1e-8) for d in (cal, test)]
     else:
         weighted = [consistency_weights(d, test, p) for d in (cal, test)]
-    loose = durable(weighted[1].withColumn("w", F.col("w") * p.soft_discount))
-    kept = one_row(loose, quantiles(loose, "w", {"least": 0.3})).where("w >= least")
+    loose = weighted[1].withColumn("w", F.col("w") * p.soft_discount)
+    kept = loose.where(F.col("w") >= F.lit(select(loose, {"least": interpolated(F.col("w"), 0.3)})["least"]))
     cols = ["node_id", "s", "w"]
-    pool = durable(weighted[0].select(*cols, F.lit(False).alias("is_pseudo")).unionByName(kept.select(*cols, F.lit(True).alias("is_pseudo"))))
-    return weighted_quantile(pool, "s", "w", level(F.lit(p.alpha))).select("threshold").crossJoin(pool_summary(pool))
+    pool = weighted[0].select(*cols, F.lit(False).alias("is_pseudo")).unionByName(kept.select(*cols, F.lit(True).alias("is_pseudo")))
+    found = pool_threshold(pool, lambda s: p.alpha)
+    return one_row_of(rows, {k: found[k] for k in ("threshold", *SUMMARY)}, SUMMARY)
 
 
 def normal_limit(rows: DataFrame, beta: float | Column = 0.05, by: tuple[str, ...] = ()) -> DataFrame:
@@ -194,19 +232,17 @@ def density_ratio(at: DataFrame, a: DataFrame, b: DataFrame, value: str, bins: i
 
 def generic_weighted_threshold(rows: DataFrame, p: Calibration = Calibration(), proxy: str = "proxy") -> DataFrame:
     """Covariate-shift weights from a one-dimensional proxy instead of structure."""
+    rows = durable(rows.select("node_id", "s", "y", "split", proxy))
     cal, test = cal_rows(rows), rows.where("split = 'test'")
     gamma = 1.0 if p.score_quantile is None else 4 * (1 - p.score_quantile)
-    tau = quantiles(density_ratio(cal, cal, test, proxy), "ratio", {"tau": p.tau_quantile})
-    stats = tau.crossJoin(cal.agg((F.max("s") + gamma * F.greatest(F.stddev_samp("s"), F.lit(1e-6))).alias("s_upper"), F.floor(F.count(F.lit(1)) * p.max_pseudo_ratio).alias("cap")))
-    admitted = durable(one_row(density_ratio(test, test, cal, proxy), stats).where("ratio >= tau AND s <= s_upper"))
-    levels = running(durable(distribution(admitted, F.negative("ratio"))), "v", ["n"]).select((-F.col("v")).alias("lr"), F.col("cum_n").alias("upto"), F.col("n").alias("at"))
-    placed = admitted.join(levels, F.col("ratio") == F.col("lr")).withColumn("left", F.col("cap") - (F.col("upto") - F.col("at"))).where("left > 0")
-    edge = placed.where("upto > cap").withColumn("rn", F.row_number().over(Window.partitionBy("ratio").orderBy("node_id"))).where("rn <= left").drop("rn")
-    pseudo = placed.where("upto <= cap").unionByName(edge)
-    pool = cal.select("node_id", "s", proxy, F.lit(False).alias("is_pseudo")).unionByName(pseudo.select("node_id", "s", proxy, F.lit(True).alias("is_pseudo")))
+    at = select(density_ratio(cal, cal, test, proxy), {"tau": interpolated(F.col("ratio"), p.tau_quantile)}, top=F.max("s"), sd=F.stddev_samp("s"), n=F.count(F.lit(1)))
+    upper = F.lit(at["top"]) + gamma * max(at["sd"] or 0.0, 1e-6)
+    admitted = durable(density_ratio(test, test, cal, proxy).where((F.col("ratio") >= F.lit(at["tau"])) & (F.col("s") <= upper)))
+    pseudo = largest(admitted, "ratio", int(at["n"] * p.max_pseudo_ratio))
+    pool = durable(cal.select("node_id", "s", proxy, F.lit(False).alias("is_pseudo")).unionByName(pseudo.select("node_id", "s", proxy, F.lit(True).alias("is_pseudo"))))
     w = F.greatest(F.lit(0.05), F.least(F.lit(20.0), F.col("ratio"))) * F.when(F.col("is_pseudo"), p.pseudo_discount).otherwise(1.0)
-    weighted = durable(density_ratio(pool, pool, cal, proxy).withColumn("w", w))
-    return weighted_quantile(weighted, "s", "w", level(F.lit(p.alpha))).select("threshold").crossJoin(pool_summary(weighted))
+    found = pool_threshold(durable(density_ratio(pool, pool, cal, proxy).withColumn("w", w)), lambda s: p.alpha)
+    return one_row_of(rows, {k: found[k] for k in ("threshold", *SUMMARY)}, SUMMARY)
 
 
 def temperature_threshold(rows: DataFrame, alpha: float = 0.05) -> DataFrame:
@@ -219,7 +255,7 @@ def temperature_threshold(rows: DataFrame, alpha: float = 0.05) -> DataFrame:
 
 def distance_threshold(rows: DataFrame, proxy: str = "proxy", alpha: float = 0.05) -> DataFrame:
     """``(node_id, threshold)``: the interpolated quantile near the normals, a little more beyond their median distance."""
-    cal = cal_rows(rows)
+    cal = durable(cal_rows(rows))
     n = cal.agg(F.count(F.lit(1)).alias("n"))
     q = F.least(F.lit(1.0), F.ceil(F.round((F.col("n") + 1) * (1 - alpha), 6)) / F.col("n"))
     seen = one_row(running(distribution(cal, "s"), "v", ["n"]).drop("n"), n)
@@ -235,7 +271,7 @@ def walk_threshold(rows: DataFrame, alpha: float = 0.05, weight: str = "ppr") ->
     cal = rows.where("split = 'cal'")
     total = cal.agg(F.sum(weight).alias("all_w"), F.count(F.lit(1)).alias("m"))
     pool = one_row(cal, total).select("s", (F.col(weight) / F.greatest("all_w", F.lit(1e-12))).alias("w"))
-    atom = total.select(F.lit(float("inf")).alias("s"), (1 / F.col("m")).alias("w"))
+    atom = total.select(F.lit(float("inf")).alias("s"), F.try_divide(F.lit(1.0), F.col("m")).alias("w")).where("m > 0")
     return weighted_quantile(pool.unionAll(atom), "s", "w", F.lit(1 - alpha)).select("threshold")
 
 
@@ -280,7 +316,8 @@ def stress_pool(pool: DataFrame, anomalies: DataFrame, rate: float) -> DataFrame
 
 def externally_weighted_threshold(rows: DataFrame, external: str, p: Calibration = Calibration()) -> DataFrame:
     """Admission as usual, weights from an external column, each side over its mean."""
-    pool = admit(rows, p).join(rows.select("node_id", F.col(external).alias("w")), "node_id")
+    rows = stored(rows, external)
+    pool = durable(admit(rows, p).join(rows.select("node_id", F.col(external).alias("w")), "node_id"))
     sides = pool.groupBy("is_pseudo").agg(F.avg("w").alias("mean_w"))
     weighted = pool.join(F.broadcast(sides), "is_pseudo").withColumn("w", F.col("w") / F.greatest("mean_w", F.lit(1e-12)) * F.when(F.col("is_pseudo"), p.pseudo_discount).otherwise(1.0))
     return weighted_quantile(weighted, "s", "w", level(F.lit(p.alpha))).select("threshold")

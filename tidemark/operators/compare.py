@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distribution import average_ranks, ecdf_gap, quantiles
-from ..functions.vectors import hash_uniform, squared_distance
+from ..functions.vectors import correlation, hash_uniform, squared_distance
 
 
 def over_seeds(results: DataFrame, keys: tuple[str, ...] = ("dataset", "method", "metric")) -> DataFrame:
@@ -55,8 +55,8 @@ def bootstrap_interval(values: DataFrame, value: str, key: str, draws: int = 100
 def correlations(rows: DataFrame, a: str, b: str, z: str) -> DataFrame:
     """Pearson, Spearman and partial correlation of ``a`` and ``b``, and partial given ``z`` on ranks."""
     ranked = average_ranks(average_ranks(average_ranks(rows, a, "ra"), b, "rb"), z, "rz")
-    c = ranked.agg(*[F.corr(x, y).alias(n) for x, y, n in ((a, b, "pearson"), (a, z, "az"), (b, z, "bz"), ("ra", "rb", "spearman"), ("ra", "rz", "raz"), ("rb", "rz", "rbz"))])
-    part = lambda ab, az, bz: (F.col(ab) - F.col(az) * F.col(bz)) / F.sqrt((1 - F.col(az) * F.col(az)) * (1 - F.col(bz) * F.col(bz)))
+    c = ranked.agg(*[correlation(F.col(x), F.col(y)).alias(n) for x, y, n in ((a, b, "pearson"), (a, z, "az"), (b, z, "bz"), ("ra", "rb", "spearman"), ("ra", "rz", "raz"), ("rb", "rz", "rbz"))])
+    part = lambda ab, az, bz: F.try_divide(F.col(ab) - F.col(az) * F.col(bz), F.sqrt(F.greatest(F.lit(0.0), (1 - F.col(az) * F.col(az)) * (1 - F.col(bz) * F.col(bz)))))
     return c.select("pearson", "spearman", part("pearson", "az", "bz").alias("partial"), part("spearman", "raz", "rbz").alias("rank_partial"))
 
 

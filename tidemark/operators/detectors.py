@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distribution import quantiles
-from ..functions.vectors import cosine, dot, long_form, mean_vector, norm, sigmoid, wide_form
+from ..functions.vectors import cosine, dot, long_form, mean_vector, norm, sigmoid, unit_vector, wide_form
 from .graph import both_ways, neighbour_stack, topology_score
 from .split import min_max
 
@@ -61,7 +61,7 @@ class Direction(Detector):
     """Half of one less the cosine to the mean direction of the training normals."""
 
     def fit(self, nodes: DataFrame, edges: DataFrame | None = None) -> Direction:
-        unit = nodes.where("split = 'train' AND y = 0").select(F.transform("x", lambda v: v / norm(F.col("x"))).alias("x"))
+        unit = nodes.where("split = 'train' AND y = 0").select(unit_vector(F.col("x")).alias("x"))
         self.mu = mean_vector(unit)
         return self
 

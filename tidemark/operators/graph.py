@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.distribution import lower_quantiles, quantiles, running
+from ..functions.distribution import cuts_of, in_range, lower_quantiles, quantiles, running
 from ..functions.lineage import durable
-from ..functions.vectors import cosine, dot, long_form, mean_vector, norm, sigmoid, wide_form
+from ..functions.vectors import cosine, dot, long_form, mean_vector, norm, sigmoid, unit_vector, wide_form
 from .neighbours import both_ways
 
 
@@ -92,7 +92,7 @@ def neighbour_scores(knn: DataFrame, scores: DataFrame) -> DataFrame:
 
 def neighbour_centroids(knn: DataFrame, nodes: DataFrame, include_self: bool = True, unit: bool = False) -> DataFrame:
     """``(node_id, centroid)``: mean vector of the members, of unit vectors if asked."""
-    x = nodes.select(F.col("node_id").alias("j"), (F.transform("x", lambda v: v / norm(F.col("x"))) if unit else F.col("x")).alias("x"))
+    x = nodes.select(F.col("node_id").alias("j"), (unit_vector(F.col("x")) if unit else F.col("x")).alias("x"))
     members = knn if include_self else knn.where("i <> j")
     means = members.join(x, "j").select("i", F.posexplode("x").alias("dim", "val")).groupBy(F.col("i").alias("node_id"), "dim").agg(F.avg("val").alias("val"))
     return wide_form(means, x="centroid")
@@ -115,7 +115,7 @@ def consistency(nodes: DataFrame, knn: DataFrame, scores: DataFrame, parts: bool
 
 def contrastive_consistency(nodes: DataFrame, knn: DataFrame) -> DataFrame:
     """``(node_id, c)``: sigmoid agreement with the neighbourhood times that with the calibration normals."""
-    unit = nodes.where("split = 'cal' AND y = 0").select(F.transform("x", lambda v: v / norm(F.col("x"))).alias("x"))
+    unit = nodes.where("split = 'cal' AND y = 0").select(unit_vector(F.col("x")).alias("x"))
     mu = mean_vector(unit)
     near = nodes.join(neighbour_centroids(knn, nodes), "node_id").crossJoin(F.broadcast(mu))
     return near.select("node_id", (sigmoid(cosine(F.col("x"), F.col("centroid"))) * sigmoid(cosine(F.col("x"), F.col("mu")))).alias("c"))
@@ -225,14 +225,23 @@ def pagerank(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, restart: floa
 
 
 def rank01(rows: DataFrame, value: str, key: str = "node_id", name: str = "r") -> DataFrame:
-    """Add the rank of ``value`` over the number of rows, in (0, 1]; ties by key."""
-    ordered = rows.withColumn("_o", F.struct(F.col(value), F.col(key)))
-    cuts = durable(rows.agg(F.percentile_approx(value, [i / 32 for i in range(1, 32)], 2000).alias("_cuts")))
-    dealt = ordered.crossJoin(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
-    per = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = per.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
-    within = Window.partitionBy("_range").orderBy("_o")
-    return dealt.join(offsets, "_range").withColumn(name, (F.row_number().over(within) + F.col("_before")) / F.col("_all")).drop("_o", "_range", "_before", "_all")
+    """Add the rank of ``value`` over the number of rows, in (0, 1]; ties by key.
+
+    Values and, where one holds more than a range, keys cut the rows, so ties of one value
+    are ranked in several tasks.
+    """
+    rows = durable(rows)
+    cuts = cuts_of(rows, value)
+    dealt = rows.withColumn("_range", in_range(cuts, F.col(value)))
+    keyed = F.col(key) if dict(rows.dtypes)[key] in ("bigint", "int") else F.lit(0)
+    keys = cuts_of(rows.select(keyed.alias("k")), "k") if cuts else []
+    # Below a range's first value nothing is cut; a value that fills ranges alone is cut by key.
+    at_cut = F.when(F.array_contains(F.array(*map(F.lit, cuts)), F.col(value)), in_range(keys, keyed)).otherwise(F.lit(-1)) if cuts else F.lit(-1)
+    dealt = dealt.withColumn("_part", at_cut)
+    per = dealt.groupBy("_range", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = per.select("_range", "_part", (F.sum("_n").over(Window.orderBy("_range", "_part")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    within = Window.partitionBy("_range", "_part").orderBy(value, key)
+    return dealt.join(offsets, ["_range", "_part"]).withColumn(name, (F.row_number().over(within) + F.col("_before")) / F.col("_all")).drop("_range", "_part", "_before", "_all")
 
 
 def structure_score(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, **walk) -> DataFrame:

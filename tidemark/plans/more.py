@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import distribution as D
-from ..functions.vectors import dot, hash_uniform, norm
+from ..functions.vectors import correlation, dot, hash_uniform, norm
 from ..operators import calibrate as C
 from ..operators import compare as P
 from ..operators import detectors as M
@@ -27,7 +27,7 @@ def a17(t: Tables) -> DataFrame:
 
 @query("a18_pooled_correlation", "judged", "SELECT lang, count(*) AS n, round(corr(s, quality), 6) AS pearson FROM judged GROUP BY 1")
 def a18(t: Tables) -> DataFrame:
-    return t.judged.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), r6(F.corr("s", F.col("quality").cast("double")), "pearson"))
+    return t.judged.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), r6(correlation(F.col("s"), F.col("quality")), "pearson"))
 
 
 @query("a33_bootstrap_interval", "results", """

@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import durable
 from ..functions.vectors import as_doubles
 from ..operators.detectors import Direction
 from ..operators.graph import contrastive_consistency
@@ -19,7 +20,7 @@ K = 10
 
 @dataclass
 class Tables:
-    """Frames of one query; what several parts of it read is persisted."""
+    """Frames of one query; what several parts of it read is stored once, in the shared folder."""
 
     spark: SparkSession
     sf_dir: str
@@ -30,7 +31,7 @@ class Tables:
     @cached_property
     def nodes(self) -> DataFrame:
         base = self.table("embeddings").select(F.col("vec_id").alias("node_id"), as_doubles(F.col("embedding")).alias("x"), F.col("label").alias("cluster"), (F.col("label") == 0).cast("int").alias("y"))
-        return split_nodes(base).select("node_id", "x", "y", "cluster", "is_novel", "split").persist()
+        return durable(split_nodes(base).select("node_id", "x", "y", "cluster", "is_novel", "split"))
 
     @cached_property
     def scores(self) -> DataFrame:
@@ -38,7 +39,7 @@ class Tables:
 
     @cached_property
     def knn(self) -> DataFrame:
-        return knn_graph(self.nodes, K).persist()
+        return durable(knn_graph(self.nodes, K))
 
     @cached_property
     def edges(self) -> DataFrame:
@@ -47,13 +48,13 @@ class Tables:
     @cached_property
     def scored(self) -> DataFrame:
         """Nodes without vectors, with score."""
-        return self.nodes.drop("x").join(self.scores, "node_id").persist()
+        return durable(self.nodes.drop("x").join(self.scores, "node_id"))
 
     @cached_property
     def rows(self) -> DataFrame:
         """Scored nodes with contrastive consistency."""
         c = contrastive_consistency(self.nodes, self.knn).withColumn("c", F.round("c", 9))
-        return self.scored.join(c, "node_id").persist()
+        return durable(self.scored.join(c, "node_id"))
 
     @cached_property
     def trade(self) -> DataFrame:
