@@ -332,3 +332,22 @@ def binned_quantile_threshold(rows: DataFrame, proxy: str = "proxy", alpha: floa
     binned = one_row(cal, cuts).withColumn("cell", cell)
     per_cell = quantiles(binned, "s", {"threshold": 1 - alpha}, by=("cell",))
     return one_row(rows.where("split = 'test'"), cuts).withColumn("cell", cell).join(F.broadcast(per_cell), "cell", "left").select("node_id", "cell", "threshold")
+
+
+def grid_temperature(rows: DataFrame, grid: list[float], target: float = 0.05, cut: float = 0.5) -> DataFrame:
+    """One row ``(temperature, fpr)``: the temperature of logits whose false alarms among calibration normals come nearest the target."""
+    cal = cal_rows(rows).select(F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("s"))).alias("p")).select(F.log(F.col("p") / (1 - F.col("p"))).alias("z"))
+    temperatures = F.explode(F.array(*[F.lit(float(t)) for t in grid])).alias("temperature")
+    rates = cal.select("z", temperatures).groupBy("temperature").agg(F.avg((1 / (1 + F.exp(-F.col("z") / F.col("temperature"))) > cut).cast("double")).alias("fpr"))
+    return rates.orderBy(F.abs(F.col("fpr") - target), "temperature").limit(1)
+
+
+def total_level_threshold(cal: DataFrame, weight: str, alpha: float = 0.05) -> DataFrame:
+    """The weighted quantile at the level ceil((n + 1)(1 - alpha)) / n of all weight; the largest score if that is above 1."""
+    at = F.least(F.lit(1.0), F.ceil(F.round((F.col("n") + 1) * (1 - alpha), 6)) / F.col("n"))
+    return weighted_quantile(cal, "s", weight, at).select("threshold")
+
+
+def support(normals: DataFrame, anomalies: DataFrame) -> DataFrame:
+    """Ids of either side, each once."""
+    return normals.select("node_id").union(anomalies.select("node_id")).distinct()

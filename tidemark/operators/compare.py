@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distribution import average_ranks, ecdf_gap, quantiles
+from ..functions.lineage import durable
 from ..functions.vectors import correlation, hash_uniform, squared_distance
 
 
@@ -14,14 +17,67 @@ def over_seeds(results: DataFrame, keys: tuple[str, ...] = ("dataset", "method",
     return results.groupBy(*keys).agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.stddev_samp(v).alias("std_samp"), F.min(v).alias("min"), F.max(v).alias("max"), F.count(v).alias("n"))
 
 
-#: Two-sided 95 % quantiles of Student's t by degrees of freedom, 1 to 10.
-T_975 = (12.706205, 4.302653, 3.182446, 2.776445, 2.570582, 2.446912, 2.364624, 2.306004, 2.262157, 2.228139)
+def t_tail(t: Column, df: Column) -> Column:
+    """Two-sided p-value of Student's t for whole degrees of freedom, by the finite series in the angle."""
+
+    def series(theta: Column, n: Column) -> Column:
+        cos2 = F.pow(F.cos(theta), 2)
+        odd = n % 2 == 1
+        # Terms 1, 1/2 cos^2, ... for even and 1, 2/3 cos^2, ... for odd degrees of freedom.
+        steps = F.when(n >= 2, F.sequence(F.lit(1), F.greatest(F.floor(n / 2).cast("int") - 1, F.lit(1)))).otherwise(F.array(F.lit(1)))
+        ratio = lambda k: F.when(odd, 2.0 * k / (2 * k + 1)).otherwise((2.0 * k - 1) / (2 * k))
+        terms = F.aggregate(
+            F.filter(steps, lambda k: k <= F.floor((n - 2) / 2)), F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum")),
+            lambda a, k: F.struct((a["term"] * ratio(k) * cos2).alias("term"), (a["sum"] + a["term"] * ratio(k) * cos2).alias("sum")), lambda a: a["sum"],
+        )
+        inside = F.when(n == 1, 2 * theta / math.pi).when(odd, 2 / math.pi * (theta + F.sin(theta) * F.cos(theta) * terms)).otherwise(F.sin(theta) * terms)
+        return F.greatest(F.lit(0.0), 1 - inside)
+
+    return F.when(df >= 1, series(F.atan(F.abs(t) / F.sqrt(F.greatest(df, F.lit(1)))), df))
+
+
+def t_quantile(n: Column, level: float = 0.95) -> Column:
+    """The two-sided quantile for ``n - 1`` degrees of freedom, by halving an interval of its arc tangent."""
+
+    def halve(ends: Column, _: Column) -> Column:
+        middle = (ends["low"] + ends["high"]) / 2
+        above = t_tail(F.tan(middle) * F.sqrt(n - 1), n - 1) > 1 - level
+        return F.struct(F.when(above, middle).otherwise(ends["low"]).alias("low"), F.when(above, ends["high"]).otherwise(middle).alias("high"))
+
+    start = F.struct(F.lit(0.0).alias("low"), F.lit(math.pi / 2).alias("high"))
+    return F.when(n > 1, F.aggregate(F.sequence(F.lit(1), F.lit(60)), start, halve, lambda e: F.tan(e["low"]) * F.sqrt(n - 1)))
 
 
 def t_interval(summary: DataFrame) -> DataFrame:
-    """Add ``half``: half the width of the 95 % t interval, for up to 11 seeds."""
-    t = F.get(F.array(*[F.lit(x) for x in T_975]), (F.col("n") - 2).cast("int"))
-    return summary.withColumn("half", t * F.col("std_samp") / F.sqrt("n"))
+    """Add ``half``: half the width of the 95 % t interval; null for one seed."""
+    return summary.withColumn("half", t_quantile(F.col("n")) * F.col("std_samp") / F.sqrt("n"))
+
+
+def wilcoxon_p(diffs: DataFrame, keys: tuple[str, ...] = ("dataset", "metric"), most: int = 14) -> DataFrame:
+    """``(keys, p_greater)``: exact one-sided p-value of the signed rank sum, over all signs of at most ``most`` differences; null beyond."""
+    group = Window.partitionBy(*keys)
+    ranked = diffs.where("diff <> 0").withColumn("rank", F.rank().over(group.orderBy(F.abs("diff"))) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, F.abs("diff"))) - 1) / 2)
+    pairs = ranked.groupBy(*keys).agg(F.collect_list("rank").alias("ranks"), F.sum(F.when(F.col("diff") > 0, F.col("rank")).otherwise(0.0)).alias("w"))
+    signs = F.expr("sequence(0, CAST(pow(2, size(ranks)) AS INT) - 1)")
+    weight = lambda s: F.aggregate(F.zip_with("ranks", F.sequence(F.lit(0), F.size("ranks") - 1), lambda r, i: F.when(F.get(F.split(F.reverse(F.bin(s)), ""), i) == "1", r).otherwise(0.0)), F.lit(0.0), lambda a, b: a + b)
+    share = F.aggregate(signs, F.lit(0.0), lambda a, s: a + F.when(weight(s) >= F.col("w") - 1e-9, 1.0).otherwise(0.0)) / F.pow(F.lit(2.0), F.size("ranks"))
+    return pairs.select(*keys, F.when(F.size("ranks") <= most, share).alias("p_greater"))
+
+
+def ks_test(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
+    """One row ``(ks, p)``: the two-sample statistic and its asymptotic p-value."""
+    n, m = a.where(F.col(value).isNotNull()).count(), b.where(F.col(value).isNotNull()).count()
+    root = math.sqrt(n * m / (n + m)) if n and m else 0.0
+    x = (root + 0.12 + (0.11 / root if root else 0.0)) * F.col("ks")
+    tail = 2 * F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda s, k: s + F.when(k % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2.0 * k * k * x * x))
+    return ks_statistic(a, b, value).select("ks", F.when(x < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), tail))).alias("p"))
+
+
+def dominance_monitor(cal: DataFrame, mixed: DataFrame, value: str, threshold: float, share: float) -> DataFrame:
+    """Label-free: the excess of calibration over what the mixed rows' distribution would be without a share of anomalies."""
+    grid = ecdf_gap(cal, mixed, value)
+    clean = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("fb") - share) / max(1e-12, 1 - share)))
+    return grid.where(F.col("v") >= threshold).agg(F.max(F.col("fa") - clean).alias("excess"))
 
 
 def paired(results: DataFrame, a: str, b: str) -> DataFrame:
@@ -43,12 +99,23 @@ def paired_tests(diffs: DataFrame, keys: tuple[str, ...] = ("dataset", "metric")
 
 
 def bootstrap_interval(values: DataFrame, value: str, key: str, draws: int = 1000, seed: int = 1) -> DataFrame:
-    """Percentile interval of the mean: every draw weighs rows by hash-drawn indices, rows joined by their index."""
-    numbered = values.select(F.col(value).alias("v"), (F.row_number().over(Window.orderBy(key)) - 1).alias("k"))
-    n = numbered.agg(F.count(F.lit(1)).alias("n"))
-    spark = values.sparkSession
-    picks = spark.range(draws).withColumnRenamed("id", "draw").crossJoin(F.broadcast(n)).withColumn("slot", F.explode(F.expr("sequence(1L, n)"))).withColumn("k", F.floor(hash_uniform("draw", "slot", F.lit(seed)) * F.col("n")))
-    means = picks.join(F.broadcast(numbered), "k").groupBy("draw").agg(F.avg("v").alias("m"))
+    """Percentile interval of the mean over resamples.
+
+    Every draw takes as many rows as there are, by hash-drawn indices. Rows get their index in
+    hash-free order of ``key`` by ranges, so none of it is one task's work; rows and picks
+    meet in an ordinary join that may be broadcast if it is small.
+    """
+    from .graph import rank01
+
+    rows = durable(values.select(F.col(value).alias("v"), F.col(key).alias("node_id")).withColumn("one", F.lit(0.0)))
+    n = rows.count()
+    if not n:
+        return values.sparkSession.createDataFrame([(None, None, None)], "low double, high double, mean double")
+    numbered = rank01(rows, "one").select("v", (F.round(F.col("r") * n) - 1).cast("long").alias("k"))
+    draws_of = values.sparkSession.range(draws).withColumnRenamed("id", "draw").withColumn("slot", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long"))))
+    picks = draws_of.withColumn("k", F.floor(hash_uniform("draw", "slot", F.lit(seed)) * n))
+    counted = picks.groupBy("draw", "k").agg(F.count(F.lit(1)).alias("times"))
+    means = counted.join(numbered, "k").groupBy("draw").agg((F.sum(F.col("v") * F.col("times")) / F.sum("times")).alias("m"))
     return means.agg(F.percentile("m", [0.025, 0.975]).alias("ends"), F.avg("m").alias("mean")).select(F.col("ends")[0].alias("low"), F.col("ends")[1].alias("high"), "mean")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import distribution as D
 from ..functions import metrics as M
+from ..functions.lineage import durable
 from ..functions.vectors import long_form
 from ..operators import calibrate as C
 from ..operators import graph as G
@@ -61,6 +62,15 @@ def j10(t: Tables) -> DataFrame:
     return t.traders.select("node_id", "nation").join(touched, "node_id", "left_anti")
 
 
+@query("j10_outside_pool", "cal test", """, st AS (SELECT quantile_cont(c, 0.5) AS tau, max(s) + greatest(stddev_samp(s), 1e-6) AS s_upper, count(*) AS cap FROM cal),
+ps AS (SELECT node_id FROM (SELECT test.node_id, row_number() OVER (ORDER BY test.c DESC, node_id) AS rn, cap FROM test, st WHERE test.c >= tau AND test.s <= s_upper) WHERE rn <= cap)
+SELECT node_id, y FROM test WHERE node_id NOT IN (FROM ps)""")
+def j10p(t: Tables) -> DataFrame:
+    """Test rows that the pool does not hold."""
+    pool = C.admit(t.rows, C.Calibration()).where("is_pseudo").select("node_id")
+    return t.rows.where("split = 'test'").join(pool, "node_id", "left_anti").select("node_id", "y")
+
+
 @query("j11_negative_edges", "nodes edges", """
 , r AS (SELECT node_id, row_number() OVER (ORDER BY md5(concat(node_id, ':11')), node_id) AS rn, count(*) OVER () AS n FROM nodes),
 p AS (SELECT DISTINCT least(a.node_id, b.node_id) AS src, greatest(a.node_id, b.node_id) AS dst FROM (SELECT *, unnest([3, 7, 13, 29]) AS st FROM r) a JOIN r b ON b.rn = (a.rn - 1 + st) % a.n + 1 WHERE a.node_id <> b.node_id)
@@ -325,7 +335,13 @@ def t6(t: Tables) -> DataFrame:
     return all_r6(C.dual_threshold(t.rows, C.Calibration(weight_mode="contrastive")))
 
 
-@query("t6_dual_metrics")
+@query("t6_dual_metrics", "cal test rows_", _ADMIT.format(gamma=1.0) + _WEIGH["contrastive"] + _SUM + """, lim AS (SELECT
+(SELECT s FROM (SELECT s, row_number() OVER (ORDER BY s) AS rn, count(*) OVER () AS k FROM rows_ WHERE split = 'cal' AND y = 1) WHERE rn = least(k, greatest(1, ceil(round(0.05 * (k + 1), 6))))) AS ln,
+coalesce((SELECT min(s) FROM cum WHERE f >= least(1, 0.95 * (s3.n + 1) / s3.n)), (SELECT max(s) FROM cum)) AS la FROM s3),
+p AS (SELECT y, CASE WHEN s >= la AND s > ln THEN 1 WHEN s <= ln AND s < la THEN 0 ELSE 2 END AS p FROM test, lim)
+SELECT round(count(*) FILTER (y = 0 AND p = 1) / greatest(count(*) FILTER (y = 0), 1), 6) AS fpr, round(count(*) FILTER (y = 1 AND p = 0) / greatest(count(*) FILTER (y = 1), 1), 6) AS fnr,
+ round(count(*) FILTER (y = 1 AND p = 1) / greatest(count(*) FILTER (y = 1), 1), 6) AS tpr, round(avg((p = 2)::INT), 6) AS abstain_rate,
+ round(count(*) FILTER (y = 0 AND p = 1) / nullif(count(*) FILTER (y = 0 AND p <> 2), 0), 6) AS fpr_decided, round(count(*) FILTER (y = 1 AND p = 1) / nullif(count(*) FILTER (y = 1 AND p <> 2), 0), 6) AS tpr_decided, count(*) AS n FROM p""")
 def t6m(t: Tables) -> DataFrame:
     both = C.one_row(t.rows.where("split = 'test'"), C.dual_threshold(t.rows, C.Calibration(weight_mode="contrastive")))
     return all_r6(M.prediction_set_metrics(both.withColumn("pred", M.prediction_set(F.col("s"), F.col("lambda_normal"), F.col("lambda_anomaly")))))
@@ -337,7 +353,7 @@ def _proxied(t: Tables) -> DataFrame:
 
     mu = mean_vector(t.nodes.where("split = 'cal' AND y = 0"))
     proxy = t.nodes.crossJoin(F.broadcast(mu)).select("node_id", F.round(F.sqrt(squared_distance(F.col("x"), F.col("mu"))), 9).alias("proxy"))
-    return t.scored.join(proxy, "node_id").withColumn("c", F.lit(1.0)).persist()
+    return durable(t.scored.join(proxy, "node_id").withColumn("c", F.lit(1.0)))
 
 
 _PROXY = """
@@ -416,7 +432,9 @@ def t22(t: Tables) -> DataFrame:
     return C.contaminated(t.rows, 0.1).select("node_id", r6("s"), "replaced")
 
 
-@query("t23_stressed_pool")
+@query("t23_stressed_pool", "cal test", _ADMIT.format(gamma=1.0) + """
+, nrm AS (SELECT node_id, s, c, y FROM pool WHERE is_pseudo AND y = 0), an AS (SELECT node_id, s, c, y, row_number() OVER (ORDER BY md5(concat(node_id, ':3')), node_id) AS rn FROM test WHERE y = 1)
+SELECT node_id, round(s, 6) AS s, round(c, 6) AS c, y FROM nrm UNION ALL SELECT node_id, round(s, 6), round(c, 6), y FROM an WHERE rn <= (SELECT round(0.1 * count(*) / 0.9) FROM nrm)""")
 def t23(t: Tables) -> DataFrame:
     pool = C.admit(t.rows, C.Calibration())
     return all_r6(C.stress_pool(pool, t.rows.where("split = 'test' AND y = 1"), 0.1))
@@ -428,7 +446,13 @@ def h3(t: Tables) -> DataFrame:
     return all_r6(C.alpha_curve(t.scored, [0.01, 0.05, 0.1, 0.2]))
 
 
-@query("r1_batched_recalibration")
+@query("r1_batched_recalibration", "cal test", """
+, b AS (SELECT *, ntile(4) OVER (ORDER BY md5(concat(node_id, ':42')), node_id)::INT AS batch FROM test), st AS (SELECT quantile_cont(c, 0.5) AS tau, max(s) + greatest(stddev_samp(s), 1e-6) AS s_upper, count(*) AS cap FROM cal),
+ps AS (SELECT * FROM (SELECT b.batch, b.s, b.c, row_number() OVER (PARTITION BY batch ORDER BY b.c DESC, node_id) AS rn, cap FROM b, st WHERE b.c >= tau AND b.s <= s_upper) WHERE rn <= cap),
+pl AS (SELECT batch, s, c + 1e-8 AS w FROM cal, (SELECT DISTINCT batch FROM b) UNION ALL SELECT batch, s, (c + 1e-8) * 0.5 FROM ps),
+cm AS (SELECT batch, s, sum(w) OVER (PARTITION BY batch ORDER BY s RANGE UNBOUNDED PRECEDING) / sum(w) OVER (PARTITION BY batch) AS f, count(*) OVER (PARTITION BY batch) AS n FROM pl),
+th AS (SELECT batch, coalesce(min(s) FILTER (f >= least(1, 0.95 * (n + 1) / n)), max(s)) AS t FROM cm GROUP BY 1)
+SELECT batch, node_id, round(t, 6) AS threshold, s > t AS alarm FROM b JOIN th USING (batch)""")
 def r1(t: Tables) -> DataFrame:
     """Alarms of test batches, each calibrated by its own rows only."""
     from functools import reduce
@@ -436,7 +460,7 @@ def r1(t: Tables) -> DataFrame:
     from ..operators.split import batches
     from ..streaming.recalibrate import recalibrate_batch
 
-    test = batches(t.rows.where("split = 'test'"), "node_id", 4).persist()
+    test = durable(batches(t.rows.where("split = 'test'"), "node_id", 4))
     cal = t.rows.where("split = 'cal'")
     p = C.Calibration(weight_mode="contrastive")
     parts = [recalibrate_batch(cal, test.where(F.col("batch") == b), p).select("batch", "node_id", r6("threshold"), "alarm") for b in range(1, 5)]

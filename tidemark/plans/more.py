@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import distribution as D
+from ..functions.lineage import durable
 from ..functions.vectors import correlation, dot, hash_uniform, norm
 from ..operators import calibrate as C
 from ..operators import compare as P
@@ -69,7 +70,8 @@ def t13(t: Tables) -> DataFrame:
     """Alarms on scores averaged over neighbours, against a quantile of averaged calibration scores."""
     open_nodes = t.nodes.where("split <> 'train'")
     near = N.nearest(open_nodes, open_nodes, 6).join(t.scored.select(F.col("node_id").alias("j"), "s"), "j")
-    smoothed = near.groupBy(F.col("i").alias("node_id")).agg(F.round(F.avg("s"), 9).alias("z")).join(t.scored.drop("s"), "node_id").persist()
+    smoothed = near.groupBy(F.col("i").alias("node_id")).agg(F.round(F.avg("s"), 9).alias("z")).join(t.scored.drop("s"), "node_id")
+    smoothed = durable(smoothed)
     limit = D.quantiles(smoothed.where("split = 'cal' AND y = 0"), "z", {"q": 0.95})
     return C.one_row(smoothed.where("split = 'test'"), limit).select("node_id", r6("z"), (F.col("z") > F.col("q")).alias("alarm"))
 
@@ -119,15 +121,86 @@ def m4(t: Tables) -> DataFrame:
     return M.attention(t.edges, t.nodes, rng.normal(0, 0.3, (4, 64)), rng.normal(0, 1, 4), rng.normal(0, 1, 4)).select("node_id", r6(dot(F.col("x"), F.col("x")), "square"))
 
 
-@query("m6_reconstruction_scores")
+@query("m6_reconstruction_scores", "nodes cent edges", """
+, e AS (SELECT src, dst, 1 - 1 / (1 + exp(-list_dot_product(a.centroid, b.centroid))) AS e FROM edges JOIN cent a ON a.node_id = src JOIN cent b ON b.node_id = dst),
+i AS (SELECT node_id, avg(e) AS e FROM (SELECT unnest([src, dst]) AS node_id, e FROM e) GROUP BY 1)
+SELECT node_id, round(0.8 * sqrt(list_sum(list_transform(list_zip(x, centroid), lambda p: (p[1] - p[2]) ** 2))) + 0.2 * coalesce(i.e, 0), 6) AS s FROM nodes JOIN cent USING (node_id) LEFT JOIN i USING (node_id)""")
 def m6(t: Tables) -> DataFrame:
     """Errors of a reconstruction by neighbours' mean vectors."""
     from ..operators.graph import neighbour_centroids
 
     rebuilt = neighbour_centroids(t.knn, t.nodes).withColumnRenamed("centroid", "x")
-    return M.reconstruction_scores(t.nodes, rebuilt, t.edges)
+    return all_r6(M.reconstruction_scores(t.nodes, rebuilt, t.edges))
 
 
 @query("m17_pseudo_classes")
 def m17(t: Tables) -> DataFrame:
     return M.pseudo_classes(t.nodes)
+
+
+@query("t10_grid_temperature", "scored", """
+, z AS (SELECT ln(p / (1 - p)) AS z FROM (SELECT greatest(1e-6, least(1 - 1e-6, s)) AS p FROM scored WHERE split = 'cal' AND y = 0)), r AS (SELECT t::DOUBLE AS temperature, avg((1 / (1 + exp(-z / t)) > 0.45)::INT) AS fpr FROM z, (SELECT unnest([0.5, 1.0, 2.0, 4.0]) AS t) GROUP BY 1)
+SELECT temperature, round(fpr, 6) AS fpr FROM r ORDER BY abs(fpr - 0.05), temperature LIMIT 1""")
+def t10(t: Tables) -> DataFrame:
+    return all_r6(C.grid_temperature(t.scored, [0.5, 1.0, 2.0, 4.0], cut=0.45))
+
+
+@query("t18_total_level", "rows_", """
+, k AS (SELECT s, c AS w FROM rows_ WHERE split = 'cal' AND y = 0), f AS (SELECT s, sum(w) OVER (ORDER BY s RANGE UNBOUNDED PRECEDING) / sum(w) OVER () AS f, count(*) OVER () AS n FROM k)
+SELECT round(coalesce(min(s) FILTER (f >= least(1, ceil(round((n + 1) * 0.95, 6)) / n)), max(s)), 6) AS threshold FROM f""")
+def t18(t: Tables) -> DataFrame:
+    return all_r6(C.total_level_threshold(C.cal_rows(t.rows), "c"))
+
+
+@query("u5_support", "nodes", "SELECT node_id FROM nodes WHERE (split = 'train' AND y = 0) OR y = 1")
+def u5(t: Tables) -> DataFrame:
+    return C.support(t.nodes.where("split = 'train' AND y = 0"), t.nodes.where("y = 1"))
+
+
+@query("k5_random_masks", "e", """
+SELECT node_id, trial::INT AS trial, CASE WHEN rn <= floor(0.4 * n) THEN 'train' ELSE 'test' END AS split FROM (SELECT node_id, trial, row_number() OVER (PARTITION BY trial ORDER BY md5(concat(trial, '/', node_id, ':42')), concat(trial, '/', node_id)) AS rn, count(*) OVER (PARTITION BY trial) AS n
+ FROM e, (SELECT unnest(range(0, 5)) AS trial))""")
+def k5(t: Tables) -> DataFrame:
+    from ..sources.readers import random_masks
+
+    return random_masks(t.nodes, 5)
+
+
+@query("s9_coordinates", "", "SELECT o_custkey AS node_id, [count(*) FILTER (year(o_orderdate) = 1992 + d)::DOUBLE for d in range(0, 4)] AS x FROM orders GROUP BY 1".replace("[count(*) FILTER (year(o_orderdate) = 1992 + d)::DOUBLE for d in range(0, 4)]", "[" + ", ".join(f"count(*) FILTER (year(o_orderdate) = {1992 + d})::DOUBLE" for d in range(4)) + "]") + " HAVING count(*) FILTER (year(o_orderdate) < 1996) > 0")
+def s9(t: Tables) -> DataFrame:
+    """Orders per customer and year as vectors from coordinates."""
+    from ..sources.readers import from_coordinates
+
+    entries = t.table("orders").select("o_custkey", (F.year("o_orderdate") - 1992).alias("year"), F.lit(1.0).alias("one")).where("year < 4")
+    return from_coordinates(entries, 4, "o_custkey", "year", "one")
+
+
+@query("h20_agreement_by_cut", "judged", "SELECT cut::DOUBLE AS cut, round(avg(((s >= cut)::INT = y)::INT), 6) AS agreement, count(*) AS n FROM judged, (SELECT unnest([500.0, 2000.0, 8000.0]) AS cut) GROUP BY 1")
+def h20(t: Tables) -> DataFrame:
+    from ..operators.harness import agreement_by_cut
+
+    return all_r6(agreement_by_cut(t.judged, "s", "y", [500.0, 2000.0, 8000.0]))
+
+
+@query("a25_label_free_monitor", "scored", """
+, g AS (SELECT s AS v, sum((split = 'cal')::INT) AS a, sum((split = 'test')::INT) AS b FROM scored WHERE split <> 'train' GROUP BY 1), f AS (SELECT v, sum(a) OVER (ORDER BY v) / sum(a) OVER () AS fa, sum(b) OVER (ORDER BY v) / sum(b) OVER () AS fb FROM g)
+SELECT round(max(fa - greatest(0, least(1, (fb - 0.05) / 0.95))), 6) AS excess FROM f WHERE v >= 0.3""")
+def a25m(t: Tables) -> DataFrame:
+    return all_r6(P.dominance_monitor(t.scored.where("split = 'cal'"), t.scored.where("split = 'test'"), "s", 0.3, 0.05))
+
+
+@query("h1_compare_methods")
+def h1(t: Tables) -> DataFrame:
+    """Three methods on one detector as a sweep."""
+    from ..operators import harness as H
+
+    rows = t.rows
+    cells = H.grid(method=["split", "weighted", "adaptive"])
+    return H.sweep(cells, lambda method: H.evaluate(rows, method), t.spark)
+
+
+@query("m8_sampled_walks")
+def m8(t: Tables) -> DataFrame:
+    from ..operators.walks import sampled_walks
+
+    return sampled_walks(t.edges, t.seeds, 4, 2)
