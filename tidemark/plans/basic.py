@@ -211,7 +211,7 @@ def a15(t: Tables) -> DataFrame:
     return all_r6(P.over_seeds(t.results))
 
 
-@query("a16_t_interval", "results", "SELECT dataset, method, round(2.446912 * stddev_samp(value) / sqrt(count(*)), 6) AS half, count(*) AS n FROM results GROUP BY 1, 2 HAVING count(*) = 7")
+@query("a16_t_interval", "results", "SELECT dataset, method, round(2.4469118511449692 * stddev_samp(value) / sqrt(count(*)), 6) AS half, count(*) AS n FROM results GROUP BY 1, 2 HAVING count(*) = 7")
 def a16(t: Tables) -> DataFrame:
     return P.t_interval(P.over_seeds(t.results)).where("n = 7").select("dataset", "method", r6("half"), "n")
 

@@ -122,9 +122,9 @@ def m4(t: Tables) -> DataFrame:
 
 
 @query("m6_reconstruction_scores", "nodes cent edges", """
-, e AS (SELECT src, dst, 1 - 1 / (1 + exp(-list_dot_product(a.centroid, b.centroid))) AS e FROM edges JOIN cent a ON a.node_id = src JOIN cent b ON b.node_id = dst),
-i AS (SELECT node_id, avg(e) AS e FROM (SELECT unnest([src, dst]) AS node_id, e FROM e) GROUP BY 1)
-SELECT node_id, round(0.8 * sqrt(list_sum(list_transform(list_zip(x, centroid), lambda p: (p[1] - p[2]) ** 2))) + 0.2 * coalesce(i.e, 0), 6) AS s FROM nodes JOIN cent USING (node_id) LEFT JOIN i USING (node_id)""")
+, er AS (SELECT src, dst, 1 - 1 / (1 + exp(-list_dot_product(a.centroid, b.centroid))) AS e FROM edges JOIN cent a ON a.node_id = src JOIN cent b ON b.node_id = dst),
+inc AS (SELECT node_id, avg(e) AS e FROM (SELECT unnest([src, dst]) AS node_id, e FROM er) GROUP BY 1)
+SELECT node_id, round(0.8 * sqrt(list_sum(list_transform(list_zip(x, centroid), lambda p: (p[1] - p[2]) ** 2))) + 0.2 * coalesce(inc.e, 0), 6) AS s FROM nodes JOIN cent USING (node_id) LEFT JOIN inc USING (node_id)""")
 def m6(t: Tables) -> DataFrame:
     """Errors of a reconstruction by neighbours' mean vectors."""
     from ..operators.graph import neighbour_centroids
@@ -166,13 +166,13 @@ def k5(t: Tables) -> DataFrame:
     return random_masks(t.nodes, 5)
 
 
-@query("s9_coordinates", "", "SELECT o_custkey AS node_id, [count(*) FILTER (year(o_orderdate) = 1992 + d)::DOUBLE for d in range(0, 4)] AS x FROM orders GROUP BY 1".replace("[count(*) FILTER (year(o_orderdate) = 1992 + d)::DOUBLE for d in range(0, 4)]", "[" + ", ".join(f"count(*) FILTER (year(o_orderdate) = {1992 + d})::DOUBLE" for d in range(4)) + "]") + " HAVING count(*) FILTER (year(o_orderdate) < 1996) > 0")
+@query("s9_coordinates", "", "SELECT o_custkey AS node_id, " + ", ".join(f"count(*) FILTER (year(o_orderdate) = {1992 + d})::DOUBLE AS x{d}" for d in range(4)) + " FROM orders GROUP BY 1 HAVING count(*) FILTER (year(o_orderdate) < 1996) > 0")
 def s9(t: Tables) -> DataFrame:
     """Orders per customer and year as vectors from coordinates."""
     from ..sources.readers import from_coordinates
 
     entries = t.table("orders").select("o_custkey", (F.year("o_orderdate") - 1992).alias("year"), F.lit(1.0).alias("one")).where("year < 4")
-    return from_coordinates(entries, 4, "o_custkey", "year", "one")
+    return from_coordinates(entries, 4, "o_custkey", "year", "one").select("node_id", *[F.get("x", d).alias(f"x{d}") for d in range(4)])
 
 
 @query("h20_agreement_by_cut", "judged", "SELECT cut::DOUBLE AS cut, round(avg(((s >= cut)::INT = y)::INT), 6) AS agreement, count(*) AS n FROM judged, (SELECT unnest([500.0, 2000.0, 8000.0]) AS cut) GROUP BY 1")
