@@ -45,6 +45,9 @@ SCALE = 2000.0
 MIN_DOCS = 2
 PAD = 20
 SEED = 7
+#: Words whose n-grams are taken at once, and characters of the texts that are scored at once.
+WORDS = 1 << 13
+CHARS = 1 << 21
 
 _EDGE = string.punctuation
 
@@ -59,7 +62,12 @@ def bags(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     Every word is read as ``<word>``: n-grams of 3 to 5 characters, then the word itself.
     """
     if not words:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.int32), np.empty(0, np.int64)
+    buckets, counts = zip(*(_bags(words[i : i + WORDS]) for i in range(0, len(words), WORDS)))
+    return np.concatenate(buckets), np.concatenate(counts)
+
+
+def _bags(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     line = "<" + "><".join(words) + ">"
     codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
@@ -83,7 +91,7 @@ def bags(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     mixed, of = np.concatenate(parts), np.concatenate(owners)
     mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     order = np.argsort(of, kind="stable")
-    return ((mixed >> np.uint64(64 - 18)).astype(np.int64) % BUCKETS)[order], np.bincount(of, minlength=len(words))
+    return ((mixed >> np.uint64(64 - 18)).astype(np.int32) % BUCKETS)[order], np.bincount(of, minlength=len(words))
 
 
 def _means(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -182,8 +190,9 @@ def score_texts(texts: list[str | None], scores: np.ndarray, bias: float) -> np.
     """Probability of label 1 of each text; a word's bag is read once for all texts."""
     ids: dict[str, int] = {}
     per_text = [[ids.setdefault(w, len(ids)) for w in words_of(t)] for t in texts]
-    bucket, count = bags(list(ids))
-    word_score = _means(scores[bucket].astype(np.float64), count) if len(count) else np.empty(0)
+    names = list(ids)
+    parts = (_bags(names[i : i + WORDS]) for i in range(0, len(names), WORDS))
+    word_score = np.concatenate([np.empty(0), *(_means(scores[bucket].astype(np.float64), count) for bucket, count in parts)])
     sizes = np.fromiter(map(len, per_text), np.int64, len(per_text))
     words = np.fromiter((i for x in per_text for i in x), np.int64, int(sizes.sum()))
     pairs, n = np.unique(np.repeat(np.arange(len(sizes)), sizes) * max(1, len(ids)) + words, return_counts=True)
@@ -231,8 +240,10 @@ def toxicity(text: Column, model: tuple[np.ndarray, float], spark: SparkSession)
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scores, bias = sent.value
         for texts in batches:
-            parts = [score_texts(texts.iloc[i : i + 500].tolist(), scores, bias) for i in range(0, len(texts), 500)]
-            yield pd.Series(np.concatenate(parts) if parts else np.empty(0))
+            # A text counts as some thousand characters at least, so that a share's rows are bounded too.
+            share = (texts.str.len() + (CHARS >> 9)).cumsum().to_numpy(np.int64) // CHARS
+            parts = np.split(texts.to_numpy(object), np.flatnonzero(np.diff(share)) + 1)
+            yield pd.Series(np.concatenate([score_texts(x.tolist(), scores, bias) for x in parts]) if len(texts) else np.empty(0))
 
     return scored(text)
 
