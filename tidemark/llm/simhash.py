@@ -49,7 +49,8 @@ PAIRS = 1 << 19
 #: Near-duplicate stage: sets of five words, compared exactly (jaccard.py).
 STAGE_SHINGLE = 5
 
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+_SPACE = SPACE_CHARS.encode()
+_PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + _SPACE, b"abcdefghijklmnopqrstuvwxyz" + b" " * len(_SPACE))
 _CHUNK = 1 << 16
 
 
@@ -57,17 +58,22 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     """XXH64 of every shingle as unsigned 64-bit numbers, in the order of the text."""
     from xxhash import xxh64_intdigest
 
-    tokens = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not tokens:
+    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass").translate(_PLAIN), np.uint8)
+    ink = raw != 32
+    joined = raw[ink | np.append(False, ink[:-1])].tobytes().rstrip(b" ")
+    if not joined:
         return np.empty(0, np.uint64)
-    joined = b" ".join(tokens)
-    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
-    ends = np.cumsum(sizes + 1) - 1
-    starts = ends - sizes
-    width = min(shingle, len(tokens))
-    n = len(tokens) - width + 1
-    a, b = starts[:n].tolist(), ends[width - 1 :].tolist()
-    return np.fromiter((xxh64_intdigest(joined[x:y], HASH_SEED) for x, y in zip(a, b)), np.uint64, n)
+    gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    starts, ends = np.append(0, gaps + 1), np.append(gaps, len(joined))
+    width = min(shingle, len(ends))
+    starts, ends = starts[: len(ends) - width + 1], ends[width - 1 :]
+    out = np.empty(len(starts), np.uint64)
+    # Numbers of Python's own take more memory than a long text; so few at a time.
+    for at in range(0, len(out), _CHUNK):
+        spans = zip(starts[at : at + _CHUNK].tolist(), ends[at : at + _CHUNK].tolist())
+        part = out[at : at + _CHUNK]
+        part[:] = np.fromiter((xxh64_intdigest(joined[x:y], HASH_SEED) for x, y in spans), np.uint64, len(part))
+    return out
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -287,14 +293,14 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = STAGE_SHINGLE, **blocks
     Near-duplicates have sets of ``shingle`` words with a Jaccard similarity of 0.8 or more;
     ``blocks`` are the sizes of blocks in a task, which change no result.
     """
-    from .jaccard import shingle_sets, similar_roots
+    from .jaccard import set_size, similar_roots
 
     keys = [F.col("row.doc_id").alias("doc_id"), F.xxhash64("row.text").alias("text_key")]
     rows = packed(docs)
     trimmed = F.btrim(whole_text("row.text"), F.lit(SPACE_CHARS))
     texts = rows.select(F.xxhash64(trimmed).alias("id"), trimmed.alias("text"))
     # Sets are computed again where they are needed: stored they would be larger than the texts.
-    narrow = durable(rows.select(*keys, F.xxhash64(trimmed).alias("id"), F.size(shingle_sets(trimmed, shingle)).cast("long").alias("n")))
+    narrow = durable(rows.select(*keys, F.xxhash64(trimmed).alias("id"), set_size(trimmed, shingle).alias("n")))
     sizes = durable(narrow.groupBy("id").agg(F.first("n").alias("n")))
     roots = similar_roots(texts, sizes, shingle, **blocks)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("kept")
