@@ -12,7 +12,7 @@ from tidemark.operators import harness as H
 from tidemark.operators import spectrum as S
 from tidemark.operators import walks as W
 from tidemark.operators.detectors import build
-from tidemark.operators.graph import rank01
+from tidemark.operators.graph import rank01, topology_score
 from tidemark.operators.neighbours import knn_graph
 from tidemark.sources import models, readers
 
@@ -225,3 +225,49 @@ def test_files_round_trip(spark, tmp_path):
     assert n.count() == 40 and e.where("src >= dst").count() == 0
     with pytest.raises(ValueError):
         readers.block_model(spark, (readers.MOST_BLOCK_NODES, 1))
+
+
+def small_graph(spark):
+    """Five nodes of a path with one repeated edge; node 3 has no length, node 4 no edge."""
+    x = np.array([[1.0, 0.0], [1.0, 1.0], [0.0, 2.0], [0.0, 0.0], [3.0, 1.0]])
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node_id long, x array<double>")
+    edges = spark.createDataFrame([(0, 1), (1, 0), (1, 2), (2, 3)], "src long, dst long")
+    return x, nodes, edges
+
+
+def test_topology_score_against_brute_force(spark):
+    x, nodes, edges = small_graph(spark)
+    near = {0: [1], 1: [0, 2], 2: [1, 3], 3: [2], 4: []}
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    u = np.divide(x, length, out=np.zeros_like(x), where=length > 0)
+    ld = np.log1p([len(near[i]) for i in range(5)])
+    sign = np.array([1 - np.mean([u[i] @ u[j] for j in near[i]]) if near[i] else 1.0 for i in range(5)])
+    away = np.minimum(np.abs(ld - np.median(ld)) / ld.std(), 5)
+    around = np.minimum([abs(ld[i] - (np.mean(ld[near[i]]) if near[i] else ld[i])) / ld.std() for i in range(5)], 5)
+    want = np.mean([(c - c.min()) / (c.max() - c.min()) for c in (sign, away, around)], axis=0)
+    got = {r.node_id: r.topo for r in topology_score(edges, nodes).collect()}
+    assert np.allclose([got[i] for i in range(5)], want, atol=1e-9)
+
+
+def test_wavelet_network_against_dense_matrices(spark):
+    x, nodes, edges = small_graph(spark)
+    rng = np.random.default_rng(1)
+    shapes = {"w1": (3, 2), "w2": (3, 3), "f0": (2, 3), "f1": (2, 3), "f2": (2, 3), "w3": (3, 6), "w4": (2, 3)}
+    w = {k: rng.normal(size=s) for k, s in shapes.items()}
+    w |= {("fb" + k[1:] if k[0] == "f" else "b" + k[1:]): rng.normal(size=s[0]) for k, s in shapes.items()}
+    a = np.eye(5)
+    for i, j in ((0, 1), (1, 0), (1, 2), (2, 3)):
+        a[i, j] += 1
+        a[j, i] += 1
+    d = a.sum(1)
+    lap = np.eye(5) - a / np.sqrt(np.outer(d, d))
+    layer = lambda h, k, b: h @ w[k].T + w[b]
+    h = np.maximum(layer(np.maximum(layer(x, "w1", "b1"), 0), "w2", "b2"), 0)
+    power = np.linalg.matrix_power
+    beta = {0: 1 / 3, 1: 1 / 6, 2: 1 / 3}  # B(p + 1, q + 1) of p + q = 2
+    bands = [power(lap, p) @ power(2 * np.eye(5) - lap, 2 - p) @ h / (8 * beta[p]) for p in range(3)]
+    z = np.hstack([np.maximum(layer(b, f"f{p}", f"fb{p}"), 0) for p, b in enumerate(bands)])
+    o = layer(np.maximum(layer(z, "w3", "b3"), 0), "w4", "b4")
+    want = 1 / (1 + np.exp(o[:, 0] - o[:, 1]))
+    got = {r.node_id: r.s for r in build("wavelet", weights=w).score(nodes, edges).collect()}
+    assert np.allclose([got[i] for i in range(5)], want, atol=1e-9)

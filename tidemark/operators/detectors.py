@@ -202,7 +202,10 @@ def wavelets(adjacency: DataFrame, long: DataFrame, degree: int = 2) -> DataFram
 
 @register("wavelet")
 class Wavelet(Detector):
-    """Beta-wavelet network: two dense layers, filters, two dense layers, softmax of two."""
+    """Beta-wavelet network: two dense layers, a filter and a dense layer per band, two dense layers, softmax of two.
+
+    ``weights`` has ``w1`` to ``w4`` with ``b1`` to ``b4``, and ``f0``, ``fb0`` and so on for the bands.
+    """
 
     def __init__(self, weights: dict[str, np.ndarray], degree: int = 2):
         self.w, self.degree = weights, degree
@@ -212,7 +215,15 @@ class Wavelet(Detector):
         h = nodes.select("node_id", dense(dense(F.col("x"), w["w1"], w["b1"], True), w["w2"], w["b2"], True).alias("x"))
         width = len(w["b2"])
         bands = wavelets(normalised_adjacency(edges, nodes), long_form(h), self.degree).withColumn("dim", F.col("band") * width + F.col("dim"))
-        z = wide_form(bands.select("node_id", "dim", "val"), x="z").select("node_id", dense(dense(F.col("z"), w["w3"], w["b3"], True), w["w4"], w["b4"]).alias("o"))
+        # The bands' own layers side by side are one layer of a block-diagonal matrix.
+        filters = [np.asarray(w[f"f{p}"]) for p in range(self.degree + 1)]
+        joint = np.zeros((sum(map(len, filters)), width * len(filters)))
+        for p, f in enumerate(filters):
+            top = sum(map(len, filters[:p]))
+            joint[top : top + len(f), p * width : (p + 1) * width] = f
+        shift = np.concatenate([w[f"fb{p}"] for p in range(self.degree + 1)])
+        filtered = dense(F.col("z"), joint, shift, True)
+        z = wide_form(bands.select("node_id", "dim", "val"), x="z").select("node_id", dense(dense(filtered, w["w3"], w["b3"], True), w["w4"], w["b4"]).alias("o"))
         return z.select("node_id", sigmoid(F.get("o", 1) - F.get("o", 0)).alias("s"))
 
 

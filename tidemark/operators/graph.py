@@ -181,11 +181,16 @@ def incident_error(edges: DataFrame, errors: DataFrame) -> DataFrame:
 
 
 def topology_score(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(node_id, topo)``: mean of three min-max scaled signs of a node that is unlike its surroundings."""
+    """``(node_id, topo)``: mean of three min-max scaled signs of a node that is unlike its surroundings.
+
+    The first sign is one less the mean cosine to the neighbours; it is 1 without neighbours or length.
+    """
     ways = both_ways(edges).where("src <> dst").distinct()
     deg = nodes.select("node_id").join(ways.groupBy(F.col("src").alias("node_id")).agg(F.count(F.lit(1)).alias("deg")), "node_id", "left").select("node_id", F.log1p(F.coalesce("deg", F.lit(0))).alias("ld"))
-    means = ways.join(nodes.select(F.col("node_id").alias("dst"), "x"), "dst").select("src", F.posexplode("x").alias("dim", "val")).groupBy(F.col("src").alias("node_id"), "dim").agg(F.avg("val").alias("val"))
-    unlike = nodes.join(wide_form(means, x="m"), "node_id", "left").select("node_id", F.coalesce(1 - cosine(F.col("x"), F.col("m")), F.lit(0.0)).alias("a"))
+    unit = nodes.select("node_id", unit_vector(F.col("x")).alias("u"))
+    pairs = ways.join(unit.toDF("src", "a"), "src").join(unit.toDF("dst", "b"), "dst")
+    like = pairs.groupBy(F.col("src").alias("node_id")).agg(F.avg(dot(F.col("a"), F.col("b"))).alias("like"))
+    unlike = nodes.select("node_id").join(like, "node_id", "left").select("node_id", (1 - F.coalesce("like", F.lit(0.0))).alias("a"))
     stats = quantiles(deg, "ld", {"mid": 0.5}).crossJoin(deg.agg(F.greatest(F.stddev_pop("ld"), F.lit(1e-6)).alias("sd")))
     around = ways.join(deg.select(F.col("node_id").alias("dst"), F.col("ld").alias("nd")), "dst").groupBy(F.col("src").alias("node_id")).agg(F.avg("nd").alias("nd"))
     parts = unlike.join(deg, "node_id").join(around, "node_id", "left").crossJoin(F.broadcast(stats)).select(

@@ -210,15 +210,15 @@ def a38(t: Tables) -> DataFrame:
     return all_r6(G.incident_error(t.edges, errors))
 
 
-_TOPO = f"""
+_TOPO = """
 , d AS (SELECT node_id, ln(1 + coalesce(k, 0)) AS ld FROM nodes LEFT JOIN (SELECT src AS node_id, count(*) AS k FROM ways GROUP BY 1) USING (node_id)),
-m AS (SELECT node_id, list(v ORDER BY dim) AS mv FROM (SELECT w.src AS node_id, dim, avg(val) AS v FROM ways w JOIN lng ON w.dst = lng.node_id GROUP BY 1, 2) GROUP BY 1),
+m AS (SELECT src AS node_id, avg(list_dot_product(a.u, b.u)) AS alike FROM ways JOIN nodes a ON a.node_id = src JOIN nodes b ON b.node_id = dst GROUP BY 1),
 n AS (SELECT src AS node_id, avg(ld) AS nd FROM ways JOIN d ON dst = d.node_id GROUP BY 1), k AS (SELECT quantile_cont(ld, 0.5) AS mid, greatest(stddev_pop(ld), 1e-6) AS sd FROM d),
-p AS (SELECT node_id, coalesce(1 - {_COS.format('x', 'mv')}, 0) AS a, least(abs(ld - mid) / sd, 5) AS b, least(abs(ld - coalesce(nd, ld)) / sd, 5) AS c FROM nodes JOIN d USING (node_id) LEFT JOIN m USING (node_id) LEFT JOIN n USING (node_id), k)
+p AS (SELECT node_id, 1 - coalesce(alike, 0) AS a, least(abs(ld - mid) / sd, 5) AS b, least(abs(ld - coalesce(nd, ld)) / sd, 5) AS c FROM nodes JOIN d USING (node_id) LEFT JOIN m USING (node_id) LEFT JOIN n USING (node_id), k)
 SELECT node_id, round(((a - min(a) OVER ()) / (max(a) OVER () - min(a) OVER ()) + (b - min(b) OVER ()) / (max(b) OVER () - min(b) OVER ()) + (c - min(c) OVER ()) / (max(c) OVER () - min(c) OVER ())) / 3, 6) AS topo FROM p"""
 
 
-@query("a35_topology_score", "ways lng nodes", _TOPO)
+@query("a35_topology_score", "ways nodes", _TOPO)
 def a35(t: Tables) -> DataFrame:
     return all_r6(G.topology_score(t.edges, t.nodes))
 

@@ -106,7 +106,7 @@ def _weights(shapes: dict[str, tuple[int, ...]]) -> dict[str, np.ndarray]:
 
 @query("m1_wavelet_scores")
 def m1(t: Tables) -> DataFrame:
-    weights = _weights({"w1": (8, 64), "b1": (8,), "w2": (8, 8), "b2": (8,), "w3": (8, 24), "b3": (8,), "w4": (2, 8), "b4": (2,)})
+    weights = _weights({"w1": (8, 64), "b1": (8,), "w2": (8, 8), "b2": (8,), "f0": (8, 8), "fb0": (8,), "f1": (8, 8), "fb1": (8,), "f2": (8, 8), "fb2": (8,), "w3": (8, 24), "b3": (8,), "w4": (2, 8), "b4": (2,)})
     return M.build("wavelet", weights=weights).score(t.nodes, t.edges)
 
 
