@@ -92,6 +92,32 @@ def test_quotas_are_those_of_highest_quotients(spark):
     assert got == dict(want)
 
 
+def test_many_small_sources_win_nothing_and_a_large_one_all(spark):
+    """A source worth 1,000 seats beside 1,000 sources worth 0.49 each: highest quotients give the large one far more than its quota."""
+    rows = [("big", 1000.0)] + [(f"s{i:04d}", 0.49) for i in range(1000)]
+    goals = spark.createDataFrame(rows, "source string, target double").withColumn("all_words", F.lit(1490).cast("long")).withColumn("block", F.lit(1).cast("long"))
+    got = {r["source"]: r["n"] for r in M.seats(goals).groupBy("source").agg(F.count("*").alias("n")).collect()}
+    assert got == {s: n for s, n in apportioned(dict(rows), 1490, 1).items() if n} and got["big"] == 1020 and sum(got.values()) == 1490
+
+
+def test_shards_take_their_quotas(spark):
+    rnd = random.Random(4)
+    sources = rnd.choices("abc", [6, 3, 1], k=300)
+    df = docs(spark, ["w " * rnd.randint(0, 90) for _ in sources], sources)
+    rows = M.durable(df.select("doc_id", "source", M.count_words().alias("size")))
+    want, reach, most = {}, defaultdict(int), {r["source"]: 3 * r["n"] for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()}
+    for r in sorted(M.quotas(M.targets(rows.select("source", "size"), blocks=300)).collect()):
+        before = min(most[r.source], reach[r.source])
+        reach[r.source] += r.words
+        want[r.source, r["shard"]] = min(most[r.source], reach[r.source]) - before
+    got = defaultdict(int)
+    for r in M.mix(rows, blocks=300).collect():
+        assert r.taken == sum(r.by_shard) <= 3 * r.size
+        for h, n in enumerate(r.by_shard):
+            got[r.source, h] += n
+    assert {k: n for k, n in got.items() if n} == {k: n for k, n in want.items() if n} and len({h for _, h in want}) == SHARDS
+
+
 def test_larger_blocks_decide_what_is_taken(spark):
     """With twenty blocks for all words, the words taken are whole blocks and differ from the targets."""
     rnd = random.Random(12)

@@ -39,6 +39,7 @@ TEXTS = [
     None, "", "no data", "mail bob@example.com now", "a@b.c@d.e", "x@y a.b@c.d.", "1.2.3.4 and 1.2.3.4.5.6.7.8", "256.1.1.1 001.002.003.0255 10.0.0.1", "4111 1111 1111 1111",
     "4111-1111-1111-1112", "+49 (30) 1234567", "+1 2", "call +1.555.123.4567.", "é+33 1 23 45 67 89é bob@é.com", "5" * 40, "0" * 16, "9" * 100_000, "a" * 100_000 + "@b.c", "x" * 200_000, "1 " * 50_000,
     "1.1.1.1.1", "4111 1111 1111 1111 4111 1111 1111 1111", "card 4111111111111111, ip 8.8.8.8, phone +12025550123", "@ @ a@b", "%%%@-.-", "🙂 bob@example.com 🙂 1.2.3.4", "token 0123456789abcdef0123456789abcdef",
+    "+1.........2.........3.........4.........5.........6.........7.........8.........9", "x +4          9 - - - - - - - - - - 30 (((((((((((( 1234567 ))))))))))) y", "+1" + " " * 5000 + "23456789", "b" * 70 + " at example dot com",
 ]
 
 

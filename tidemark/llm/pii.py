@@ -50,9 +50,9 @@ BASE = {
 _DOT = r"(?: ?(?:\.|\(dot\)|\[dot\]) ?| dot )"
 _WORD_DOT = r"(?: ?(?:\(dot\)|\[dot\]) ?| dot )"
 GENERATORS = {
-    "mail": rf"(?<!{_MAIL}){_MAIL}{{1,64}}+(?: ?@ ?[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)*+| ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++| at [A-Za-z0-9-]++(?:{_WORD_DOT}[A-Za-z0-9-]++)++)",
+    "mail": rf"(?<!{_MAIL}){_MAIL}++(?: ?@ ?[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)*+| ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++| at [A-Za-z0-9-]++(?:{_WORD_DOT}[A-Za-z0-9-]++)++)",
     "number": r"(?<![0-9])\+?\(?[0-9][0-9\x20()./-]{5,}[0-9]",
-    "secret": r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]{0,40}[0-9])[A-Za-z0-9_/+-]{20,}+",
+    "secret": r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*+[0-9])[A-Za-z0-9_/+-]{20,}+",
 }
 WORDS = {
     "phone": r"(?i)(?:phone|tel|call|mobile|fax|contact|reach)",
@@ -66,6 +66,7 @@ PLANTS = 9_000
 TREES, DEPTH = 12, 4
 PRECISION = 0.9
 SEED = 31
+#: Characters in front of a candidate that its features see.
 CONTEXT = 24
 _PLACE = "struct<start:int,end:int,m:string,before:string,after:string>"
 _SPAN = "struct<start:int,rank:int,end:int,score:double>"
@@ -362,8 +363,10 @@ def span_text(spans: Column) -> Column:
 def find(docs: DataFrame, model: PiiModel, text: str = "text") -> DataFrame:
     """The rows with ``base_spans`` and ``all_spans``: arrays of start, kind's rank, end and score."""
     none = F.array().cast(f"array<{_SPAN}>")
-    # Every format holds an @, two digits near each other, a disguised @ or a long run.
-    open_text = F.col("whole").rlike(r"@|[0-9][^0-9]{0,8}[0-9]|\((?:at)\)|\[at\]| at .{0,64} dot ") | GATES["secret"](F.col("whole"))
+    # All formats' gates as one expression; a text behind none of them has no match of any.
+    whole = F.col("whole")
+    signs = whole.rlike(r"@|[0-9][\x20.-]?[0-9]|\+[0-9]|[0-9][0-9\x20()./-]{5}|\(at\)|\[at\]")
+    open_text = signs | (whole.contains(" at ") & whole.contains(" dot ")) | GATES["secret"](whole)
     rows = packed(docs).withColumn("whole", whole_text(F.col(f"row.`{text}`"))).withColumn("open", open_text)
     rows = rows.withColumn("base_spans", F.when(F.col("open"), base_spans(F.col("whole"))).otherwise(none))
     more = F.array_sort(F.concat("base_spans", added_spans(F.col("whole"), F.col("base_spans"), model)))
