@@ -55,3 +55,12 @@ def h7(t: Tables) -> DataFrame:
     """Thresholds of every site on every site."""
     found = W.transfer(sited(t), CELLS, "site")
     return all_r6(found.select("source", "site", "cell", "threshold", "tp", "fp", "fn", "tn", "fpr", "tpr"))
+
+
+@query("t11_boosted_threshold")
+def t11(t: Tables) -> DataFrame:
+    """Test nodes' own thresholds by boosted quantile regression on their vectors; trees are beyond SQL, tests hold them against plain loops."""
+    from ..operators.boosting import boosted_quantile_threshold
+
+    limits = boosted_quantile_threshold(t.nodes, t.scores)
+    return all_r6(t.scored.select("node_id", "s").join(limits, "node_id").select("node_id", "threshold", (F.col("s") > F.col("threshold")).alias("alarm")))
