@@ -14,7 +14,7 @@ from ..operators import graph as G
 from ..operators import neighbours as N
 from ..operators.cells import report as cell_report
 from ..operators.graph import rank01
-from .registry import all_r6, query, r6
+from .registry import ORACLES, all_r6, query, r6
 from .tables import Tables
 
 DICT = "list_dot_product"
@@ -454,17 +454,50 @@ cm AS (SELECT batch, s, sum(w) OVER (PARTITION BY batch ORDER BY s RANGE UNBOUND
 th AS (SELECT batch, coalesce(min(s) FILTER (f >= least(1, 0.95 * (n + 1) / n)), max(s)) AS t FROM cm GROUP BY 1)
 SELECT batch, node_id, round(t, 6) AS threshold, s > t AS alarm FROM b JOIN th USING (batch)""")
 def r1(t: Tables) -> DataFrame:
-    """Alarms of test batches, each calibrated by its own rows only."""
-    from functools import reduce
+    """Alarms of test batches, each calibrated by its own rows only, as one plan."""
+    return batch_alarms(t).select("batch", "node_id", r6("threshold"), "alarm")
 
+
+def batch_alarms(t: Tables) -> DataFrame:
     from ..operators.split import batches
-    from ..streaming.recalibrate import recalibrate_batch
+    from ..streaming.stateful import alarms_by_batch
 
     test = durable(batches(t.rows.where("split = 'test'"), "node_id", 4))
-    cal = t.rows.where("split = 'cal'")
-    p = C.Calibration(weight_mode="contrastive")
-    parts = [recalibrate_batch(cal, test.where(F.col("batch") == b), p).select("batch", "node_id", r6("threshold"), "alarm") for b in range(1, 5)]
-    return reduce(DataFrame.unionByName, parts)
+    return alarms_by_batch(t.rows.where("split = 'cal'"), test)
+
+
+@query("r2_pooled_confusion", "", "WITH r AS (" + ORACLES["r1_batched_recalibration"] + """)
+SELECT count(*) FILTER (alarm AND label = 0) AS tp, count(*) FILTER (alarm AND label <> 0) AS fp, count(*) FILTER (NOT alarm AND label = 0) AS fn, count(*) FILTER (NOT alarm AND label <> 0) AS tn FROM r JOIN embeddings ON vec_id = node_id""")
+def r2(t: Tables) -> DataFrame:
+    """One confusion over all batches."""
+    return M.confusion(batch_alarms(t), F.col("alarm")).select("tp", "fp", "fn", "tn")
+
+
+@query("r3_inductive_batches", "nodes scored", """
+, nb AS (SELECT i, j FROM (SELECT a.node_id AS i, b.node_id AS j, row_number() OVER (PARTITION BY a.node_id ORDER BY CASE WHEN a.node_id = b.node_id THEN -1 ELSE round(1 - list_dot_product(a.u, b.u), 9) END, b.node_id) AS rn FROM nodes a, nodes b WHERE a.split IN ('cal', 'test') AND b.split = 'cal') WHERE rn <= 10),
+mem AS (SELECT DISTINCT i, j FROM (SELECT i, j FROM nb UNION ALL SELECT node_id, node_id FROM nodes WHERE split IN ('cal', 'test'))),
+ct AS (SELECT i AS node_id, list(m ORDER BY d) AS g FROM (SELECT i, d, avg(v) AS m FROM (SELECT i, unnest(x) AS v, generate_subscripts(x, 1) AS d FROM mem JOIN nodes ON j = node_id) GROUP BY 1, 2) GROUP BY 1),
+mm AS (SELECT list(m ORDER BY d) AS mu FROM (SELECT d, avg(v) AS m FROM (SELECT unnest(u) AS v, generate_subscripts(u, 1) AS d FROM nodes WHERE split = 'cal' AND y = 0) GROUP BY d))
+SELECT node_id, round(1 / (1 + exp(-list_dot_product(u, g) / sqrt(list_dot_product(g, g)))) / (1 + exp(-list_dot_product(u, mu) / sqrt(list_dot_product(mu, mu)))), 6) AS c FROM nodes JOIN ct USING (node_id), mm WHERE split = 'test'""")
+def r3(t: Tables) -> DataFrame:
+    """Consistency of test rows that sees calibration rows only, as a stream's batches are judged."""
+    from ..streaming.stateful import inductive_rows
+
+    found = inductive_rows(t.nodes.where("split = 'cal'"), t.nodes.where("split = 'test'"))
+    return found.join(t.nodes.where("split = 'test'").select("node_id"), "node_id").select("node_id", r6("c"))
+
+
+@query("x_window_drift", "", """
+WITH w AS (SELECT user_id, time_bucket(INTERVAL '1 day', ts) AS day, count(*) AS n, sum(value) AS total, sum(value * value) AS sq FROM events WHERE value IS NOT NULL GROUP BY 1, 2),
+b AS (SELECT *, sum(n) OVER o AS bn, sum(total) OVER o AS bt, sum(sq) OVER o AS bs FROM w WINDOW o AS (PARTITION BY user_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+v AS (SELECT *, CASE WHEN bn >= 2 THEN (bs - bt * bt / bn) / (bn - 1) END AS spread FROM b)
+SELECT user_id, day, n, round(total / n, 6) AS mean, round(CASE WHEN spread > 1e-12 THEN (total / n - bt / bn) / sqrt(spread / n) END, 6) AS deviation FROM v""")
+def x_drift(t: Tables) -> DataFrame:
+    """Daily means of each user against all days before."""
+    from ..streaming.stateful import window_drift_batch
+
+    found = window_drift_batch(t.table("events"))
+    return found.select("user_id", F.col("window_start").cast("timestamp_ntz").alias("day"), "n", r6("mean"), F.round("deviation", 6).alias("deviation"))
 
 
 @query("x_windowed_rates", "", "SELECT time_bucket(INTERVAL '1 day', ts) AS day, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, round(avg(value), 6) AS mean_value FROM events GROUP BY 1")
