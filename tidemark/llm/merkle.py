@@ -81,18 +81,23 @@ def cell_starts(cells: DataFrame, top: int, bottom: int) -> DataFrame:
 
 
 def radix_ranks(rows: DataFrame, key: Column, most: int = MOST) -> DataFrame:
-    """Add ``rank`` from 0 of each row of durable ``rows`` by ``key`` within ``g``; both are strings and not null."""
+    """Add ``rank`` from 0 of each row of durable ``rows`` by ``key`` within ``g``, both strings and not null, and ``below``, the rows of its ``g``."""
     left = rows.withColumn("key", key).withColumn("base", F.lit(0).cast("long"))
     n, low, high, longest = left.agg(F.count("*"), F.min("key"), F.max("key"), F.max(F.length("key"))).first()
     if not n:
-        return rows.withColumn("rank", F.lit(0).cast("long"))
+        return rows.withColumn("rank", F.lit(0).cast("long")).withColumn("below", F.lit(0).cast("long"))
     top, ranked = common_beginning(low, high), []
     while True:
         levels = max(1, math.ceil(math.log(max(1, n / most), 16**DIGITS)))
         bottom = top + DIGITS * levels
         celled = left.withColumn("p", F.substring("key", 1, bottom))
-        cells = durable(cell_starts(durable(celled.groupBy("g", "base", "p").agg(F.count("*").alias("n"))), top, bottom))
-        at = cells.select(F.col("g").alias("c_g"), F.col("base").alias("c_base"), F.col("p").alias("c_p"), "start", F.col("n").alias("c_n"))
+        counts = durable(celled.groupBy("g", "base", "p").agg(F.count("*").alias("n")))
+        cells, found = cell_starts(counts, top, bottom), ["start"]
+        if "below" not in left.columns:
+            # Sizes of groups join the cells; the rows get them by their cell, which is no hot key.
+            cells, found = cells.join(counts.groupBy("g").agg(F.sum("n").alias("below")), "g"), ["start", "below"]
+        cells = durable(cells)
+        at = cells.select(F.col("g").alias("c_g"), F.col("base").alias("c_base"), F.col("p").alias("c_p"), *found, F.col("n").alias("c_n"))
         placed = celled.join(at, F.expr("g = c_g AND base = c_base AND p = c_p")).drop("c_g", "c_base", "c_p", "base", "p")
         last = bottom >= longest
         n = 0 if last else cells.where(F.col("n") > most).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -177,21 +182,19 @@ def manifest(rows: DataFrame, key: str, group: str, digest: Column, carry: dict[
     leaves = durable(rows.select(digits(F.col(group), kinds[group]).alias("g"), F.col(key).alias("id"), digest.alias("digest"), *[c.alias(k) for k, c in carry.items()]))
     # The row's number tells equal rows apart; stored rows keep theirs.
     full = F.concat(digits(F.col("id"), kinds[key]), F.substring("digest", 1, 16), F.lpad(F.hex(F.monotonically_increasing_id()), 16, "0"))
-    sizes = durable(leaves.groupBy("g").agg(F.count("*").alias("below")))
-    largest = sizes.agg(F.coalesce(F.max("below"), F.lit(0))).first()[0]
-    ranked = radix_ranks(leaves, full, most)
-    first = grow(ranked.join(sizes, "g"), largest, fanout)
+    largest = leaves.groupBy("g").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    first = grow(radix_ranks(leaves, full, most), largest, fanout)
     ends = tops(first, fanout)
     subroots = ends[0]
     for t in ends[1:]:
         subroots = subroots.unionByName(t)
     subroots = durable(subroots.withColumnsRenamed({"g": "lang_key"}).withColumn("g", F.lit("")))
-    groups = sizes.count()
-    last = grow(radix_ranks(subroots, F.col("lang_key"), most).withColumn("below", F.lit(groups).cast("long")), groups, fanout)
+    groups = subroots.count()
+    last = grow(radix_ranks(subroots, F.col("lang_key"), most), groups, fanout)
     top = last[-1].first()
     root = F.lit(top and top["digest"]).cast("string")
     none = F.slice(F.array(F.struct(F.lit("").alias("left"), F.lit("").alias("right"))), 1, 0)
-    roots = descend(last, sizes.sparkSession.range(1).select(F.lit("").alias("g"), root.alias("subroot"), none.alias("steps")), fanout)
+    roots = descend(last, rows.sparkSession.range(1).select(F.lit("").alias("g"), root.alias("subroot"), none.alias("steps")), fanout)
     roots = durable(roots.select(F.col("m.lang_key").alias("g"), F.col("m.digest").alias("subroot"), "steps"))
     found = descend(first, roots, fanout)
     return found.select(F.col("m.id").alias(key), *[F.col(f"m.{k}").alias(k) for k in carry], F.col("m.digest").alias("leaf"), "subroot", root.alias("root"), "steps")
