@@ -16,7 +16,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.distribution import quantiles
@@ -130,7 +130,8 @@ class Boosted(Detector):
         self.rounds, self.trees, self.depth, self.seed = rounds, trees, depth, seed
 
     def table(self, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-        d = F.max("dim").over(Window.partitionBy()) + 1
+        first = nodes.select(F.size("x").alias("d")).first()
+        d = first["d"] if first else 1
         stacked = neighbour_stack(edges, nodes, self.rounds).withColumn("dim", F.col("round") * d + F.col("dim"))
         return wide_form(stacked.select("node_id", "dim", "val"), x="stack").select("node_id", array_to_vector("stack").alias("features"))
 

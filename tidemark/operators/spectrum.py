@@ -8,9 +8,11 @@ fewer than two nodes has no gap.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,15 +27,32 @@ def _vector(values) -> Column:
 
 
 def covariance(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """Mean, covariance (over n - 1) and number of the vectors, by sums of products per pair of dimensions."""
-    mu = np.array(mean_vector(nodes).first()["mu"])
-    centred = F.zip_with("x", _vector(mu), lambda a, b: a - b)
-    pairs = nodes.select(centred.alias("z")).select(F.posexplode("z").alias("a", "va"), "z").select("a", "va", F.posexplode("z").alias("b", "vb"))
-    sums = pairs.groupBy("a", "b").agg(F.sum(F.col("va") * F.col("vb")).alias("s"), F.count(F.lit(1)).alias("n")).collect()
-    out = np.zeros((len(mu), len(mu)))
-    for r in sums:
-        out[r["a"], r["b"]] = r["s"] / max(1, r["n"] - 1)
-    return mu, out, sums[0]["n"] if sums else 0
+    """Mean, covariance (over n - 1) and number of the vectors.
+
+    Every partition sums the products of its centred vectors as one matrix and hands over a
+    row for each dimension, so what is shuffled doesn't grow with the vectors.
+    """
+    found = mean_vector(nodes).first()["mu"]
+    mu = np.array(found or [])
+    width = len(mu)
+
+    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros((width, width)), 0
+        for b in batches:
+            z = np.array(b.column("x").flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, width) - mu
+            total += z.T @ z
+            n += len(z)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(width), pa.int32()), pa.array(np.full(width, n)), pa.array(list(total), pa.list_(pa.float64()))], ["a", "n", "sums"])
+
+    out, n = np.zeros((width, width)), 0
+    if width:
+        parts = nodes.where("x IS NOT NULL").select("x").mapInArrow(scatter, "a int, n long, sums array<double>")
+        cells = parts.select("a", F.when(F.col("a") == 0, F.col("n")).otherwise(0).alias("n"), F.posexplode("sums").alias("b", "v")).groupBy("a", "b")
+        for r in cells.agg(F.sum("v").alias("v"), F.sum("n").alias("n")).collect():
+            out[r["a"], r["b"]] = r["v"]
+            n = max(n, r["n"])
+    return mu, out / max(1, n - 1), n
 
 
 @dataclass
@@ -86,29 +105,67 @@ def covariance_aligned(nodes: DataFrame, source: DataFrame, target: DataFrame, f
     return nodes.select("node_id", z.alias("z")).select("node_id", F.array(*[dot(F.col("z"), _vector(move[:, j])) + F.lit(float(mu_t[j])) for j in range(len(mu_t))]).alias("x"))
 
 
-def spectral_gap(nodes: DataFrame, knn: DataFrame, rounds: int = 60) -> float | None:
-    """Second smallest eigenvalue of the hypergraph Laplacian, by power iteration beside the first eigenvector.
+def shape_aligned(nodes: DataFrame, target: DataFrame, steps: int = 20, rate: float = 0.1, rounds_rate: float = 0.05) -> DataFrame:
+    """``(node_id, x)``: vectors scaled to mean and deviations of ``target``, then moved towards its covariance in steps.
+
+    A step takes rate x rounds_rate of the centred vectors times the pseudo-inverse of the
+    difference of covariances away. Means stay, so a step is a matrix and the next covariance
+    follows from it: all steps are one matrix of d x d, and the rows are read once.
+    """
+    (mu_s, cov_s, n_s), (mu_t, cov_t, n_t) = covariance(nodes), covariance(target)
+    spread = lambda cov, n: np.sqrt(np.diag(cov) * (n - 1) / max(1, n)) + 1e-8
+    move = np.diag(spread(cov_t, n_t) / spread(cov_s, n_s))
+    tiny = 1e-6 * np.eye(len(mu_s))
+    for _ in range(steps):
+        now = move.T @ cov_s @ move
+        move = move @ (np.eye(len(mu_s)) - rate * rounds_rate * np.linalg.pinv(now - cov_t + tiny))
+    z = F.zip_with("x", _vector(mu_s), lambda a, b: a - b)
+    return nodes.select("node_id", z.alias("z")).select("node_id", F.array(*[dot(F.col("z"), _vector(move[:, j])) + F.lit(float(mu_t[j])) for j in range(len(mu_t))]).alias("x"))
+
+
+def lanczos_gap(nodes: DataFrame, knn: DataFrame, rounds: int = 60, tolerance: float = 1e-6) -> tuple[float, float] | None:
+    """Second smallest eigenvalue of the hypergraph Laplacian, and a bound of its error.
 
     The smoothing operator is symmetric with eigenvalue 1 along the square roots of the
-    degrees; what is left after that direction is taken out shrinks by the next eigenvalue.
+    degrees. Lanczos vectors start across that direction and are kept across it and each
+    other; a node's entries of all of them are one array, so a round is one smoothing and two
+    sums of products. The largest eigenvalue of the small tridiagonal matrix is within the
+    last coefficient times the last entry of its eigenvector.
     """
     degrees = durable(hypergraph_degrees(knn))
-    first = degrees.select("node_id", F.sqrt("d_v").alias("one"))
-    now = nodes.select("node_id").join(first, "node_id").withColumn("val", F.pmod(F.xxhash64("node_id"), F.lit(1000)) / 1000.0 - 0.5)
-    value = None
-    for i in range(rounds + 1):
-        along = now.agg((F.sum(F.col("val") * F.col("one")) / F.sum(F.col("one") * F.col("one"))).alias("a")).first()["a"]
-        if along is None:
-            return None
-        apart = durable(now.withColumn("val", F.col("val") - F.lit(along) * F.col("one")))
-        size = apart.agg(F.sqrt(F.sum(F.col("val") * F.col("val"))).alias("n")).first()["n"]
-        if not size:
-            return 1.0 if i else None
-        unit = apart.withColumn("val", F.col("val") / F.lit(size))
-        long = unit.select("node_id", F.lit(0).alias("dim"), "val")
-        low = smooth(long, knn, degrees).select("node_id", "val")
-        if i == rounds:
-            value = unit.select("node_id", F.col("val").alias("v")).join(low, "node_id").agg(F.sum(F.col("v") * F.col("val")).alias("r")).first()["r"]
-            return 1.0 - value
-        now = low.join(first, "node_id")
-    return value
+    first = nodes.select("node_id").join(degrees.select("node_id", F.sqrt("d_v").alias("one")), "node_id").withColumn("val", F.pmod(F.xxhash64("node_id"), F.lit(1000)) / 1000.0 - 0.5)
+    sums = first.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("one") * F.col("one")).alias("size")).first()
+    if sums["n"] < 2:
+        return None
+    basis = first.select("node_id", "val", F.array(F.col("one") / F.lit(sums["size"] ** 0.5)).alias("q"))
+
+    def across(rows: DataFrame, k: int) -> tuple[DataFrame, np.ndarray, float]:
+        """``val`` less its parts along the ``k`` vectors, these parts, and its length before."""
+        found = rows.agg(*[F.sum(F.col("val") * F.get("q", i)).alias(f"c{i}") for i in range(k)], F.sum(F.col("val") * F.col("val")).alias("size")).first()
+        parts = np.array([found[f"c{i}"] for i in range(k)])
+        return rows.withColumn("val", F.col("val") - dot(F.col("q"), _vector(parts))), parts, found["size"]
+
+    main, side, best = [], [], None
+    for j in range(min(rounds, sums["n"] - 1) + 1):
+        once, along, whole = across(basis, j + 1)
+        again, more, size = across(once, j + 1)
+        length = max(0.0, size - float(more @ more)) ** 0.5
+        if j:
+            main.append(float(along[-1] + more[-1]))
+            values, vectors = np.linalg.eigh(np.diag(main) + np.diag(side[1:], 1) + np.diag(side[1:], -1))
+            best = (1.0 - float(values[-1]), length * abs(float(vectors[-1, -1])))
+            if best[1] <= tolerance:
+                break
+        if length <= 1e-12 * max(1.0, whole) ** 0.5:
+            break
+        side.append(length)
+        basis = again.select("node_id", F.concat("q", F.array(F.col("val") / F.lit(length))).alias("q"))
+        low = smooth(basis.select("node_id", F.lit(0).alias("dim"), F.get("q", j + 1).alias("val")), knn, degrees).select("node_id", "val")
+        basis = durable(basis.join(low, "node_id", "left").select("node_id", F.coalesce("val", F.lit(0.0)).alias("val"), "q"))
+    return best or (1.0, 0.0)
+
+
+def spectral_gap(nodes: DataFrame, knn: DataFrame, rounds: int = 60) -> float | None:
+    """Second smallest eigenvalue of the hypergraph Laplacian; nothing for fewer than two nodes."""
+    found = lanczos_gap(nodes, knn, rounds)
+    return None if found is None else found[0]

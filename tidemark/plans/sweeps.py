@@ -64,3 +64,25 @@ def t11(t: Tables) -> DataFrame:
 
     limits = boosted_quantile_threshold(t.nodes, t.scores)
     return all_r6(t.scored.select("node_id", "s").join(limits, "node_id").select("node_id", "threshold", (F.col("s") > F.col("threshold")).alias("alarm")))
+
+
+@query("a39_covariance", "nodes", """
+, l AS (SELECT node_id, unnest(x) AS v, generate_subscripts(x, 1) - 1 AS d FROM nodes WHERE split = 'train')
+SELECT a.d::INT AS a, b.d::INT AS b, round(covar_samp(a.v, b.v), 6) AS cov FROM l a JOIN l b USING (node_id) GROUP BY 1, 2""")
+def a39(t: Tables) -> DataFrame:
+    """Covariances of the training vectors' dimensions, from partial sums of matrices."""
+    from ..operators.spectrum import covariance
+
+    _, cov, _ = covariance(t.nodes.where("split = 'train'"))
+    rows = [(a, b, round(float(v), 6) + 0.0) for a, line in enumerate(cov) for b, v in enumerate(line)]
+    return t.spark.createDataFrame(rows, "a int, b int, cov double")
+
+
+@query("m15_shape_alignment")
+def m15(t: Tables) -> DataFrame:
+    """Test vectors moved to the calibration normals' mean and shape; tests hold the steps against loops over all rows."""
+    from ..functions.vectors import norm
+    from ..operators.spectrum import shape_aligned
+
+    moved = shape_aligned(t.nodes.where("split = 'test'"), t.nodes.where("split = 'cal' AND y = 0"))
+    return moved.select("node_id", F.round(norm(F.col("x")), 6).alias("length"))
