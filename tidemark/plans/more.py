@@ -98,21 +98,19 @@ def m11(t: Tables) -> DataFrame:
     return M.build("boosted", trees=5, depth=3).fit(t.nodes, t.edges).score(t.nodes, t.edges)
 
 
-def _weights(shapes: dict[str, tuple[int, ...]]) -> dict[str, np.ndarray]:
-    """Fixed weights of a network for inference."""
-    rng = np.random.default_rng(0)
-    return {k: rng.normal(0, 0.3, s) if len(s) == 2 else np.zeros(s) for k, s in shapes.items()}
-
-
 @query("m1_wavelet_scores")
 def m1(t: Tables) -> DataFrame:
-    weights = _weights({"w1": (8, 64), "b1": (8,), "w2": (8, 8), "b2": (8,), "f0": (8, 8), "fb0": (8,), "f1": (8, 8), "fb1": (8,), "f2": (8, 8), "fb2": (8,), "w3": (8, 24), "b3": (8,), "w4": (2, 8), "b4": (2,)})
-    return M.build("wavelet", weights=weights).score(t.nodes, t.edges)
+    """Scores of a network trained on the training nodes; learning is beyond SQL, tests hold its gradients against finite differences."""
+    from ..operators.training import train
+
+    return train("wavelet", t.nodes, t.edges, hidden=8, epochs=10)[0].score(t.nodes, t.edges)
 
 
 @query("m3_convolution_scores")
 def m3(t: Tables) -> DataFrame:
-    return M.build("convolution", weights=_weights({"w1": (8, 64), "b1": (8,), "w2": (2, 8), "b2": (2,)})).score(t.nodes, t.edges)
+    from ..operators.training import train
+
+    return train("convolution", t.nodes, t.edges, hidden=8, epochs=10)[0].score(t.nodes, t.edges)
 
 
 @query("m4_attention_vectors")
@@ -204,3 +202,26 @@ def m8(t: Tables) -> DataFrame:
     from ..operators.walks import sampled_walks
 
     return sampled_walks(t.edges, t.seeds, 4, 2)
+
+
+_TOP_EPS = 1e-4
+_DIFFUSION = f"""
+, d AS (SELECT src AS node_id, count(*)::DOUBLE AS deg FROM ways GROUP BY 1),
+w AS (SELECT src, dst, d.deg AS to_deg FROM ways JOIN d ON d.node_id = dst),
+state AS (WITH RECURSIVE st AS (
+ SELECT node_id AS seed, node_id, coalesce(deg, 0) AS deg, 0.0::DOUBLE AS mass, 1.0::DOUBLE AS rest, 0 AS r FROM nodes LEFT JOIN d USING (node_id) WHERE split = 'cal' AND y = 0
+ UNION ALL
+ SELECT seed, node_id, max(deg), sum(mass), sum(rest), r + 1 FROM (
+  SELECT seed, node_id, deg, mass + CASE WHEN rest > {_TOP_EPS} * deg THEN CASE WHEN deg = 0 THEN rest ELSE 0.15 * rest END ELSE 0 END AS mass, CASE WHEN rest > {_TOP_EPS} * deg THEN 0 ELSE rest END AS rest, r FROM st
+  UNION ALL SELECT seed, dst, to_deg, 0, 0.85 * rest / deg, r FROM st JOIN w ON st.node_id = src WHERE rest > {_TOP_EPS} * deg)
+ WHERE EXISTS (SELECT 1 FROM st WHERE rest > {_TOP_EPS} * deg) GROUP BY seed, node_id, r)
+ SELECT * FROM st WHERE r = (SELECT max(r) FROM st))
+SELECT seed, node_id, round(mass, 6) AS mass, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY round(mass, 9) DESC, node_id) AS rank FROM state WHERE node_id <> seed AND mass > 0) WHERE rank <= 10"""
+
+
+@query("m8_diffusion_top", "nodes ways", _DIFFUSION)
+def m8_top(t: Tables) -> DataFrame:
+    """The ten nodes nearest to each calibration normal by diffusion; the twin pushes in the same rounds."""
+    from ..operators.diffusion import diffusion_top
+
+    return all_r6(diffusion_top(t.edges, t.seeds, 10, eps=_TOP_EPS).select("seed", "node_id", "mass", "rank"))
