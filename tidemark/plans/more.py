@@ -225,3 +225,11 @@ def m8_top(t: Tables) -> DataFrame:
     from ..operators.diffusion import diffusion_top
 
     return all_r6(diffusion_top(t.edges, t.seeds, 10, eps=_TOP_EPS).select("seed", "node_id", "mass", "rank"))
+
+
+@query("m7_contrastive_scores")
+def m7(t: Tables) -> DataFrame:
+    """Scores of a discriminator trained on walks; learning is beyond SQL, tests hold its gradient against finite differences."""
+    from ..operators.contrastive import Contrastive
+
+    return Contrastive(hidden=8, epochs=5, rounds=16, train_rounds=5).fit(t.nodes, t.edges).score(t.nodes, t.edges)
