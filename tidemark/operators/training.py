@@ -100,6 +100,11 @@ def labelled(nodes: DataFrame, hold: float, seed: int) -> DataFrame:
     return rows.select("node_id", "x", F.coalesce("y", F.lit(0)).cast("double").alias("y"), weight.alias("t"), "fold")
 
 
+def filled(values: pd.Series, width: int) -> np.ndarray:
+    """Vectors of a column as rows; a null is a row of zeros."""
+    return np.array([np.zeros(width) if v is None else v for v in values], np.float64).reshape(len(values), width)
+
+
 def glorot(rng: np.random.Generator, out: int, into: int) -> np.ndarray:
     return rng.uniform(-1, 1, (out, into)) * np.sqrt(6 / (out + into))
 
@@ -109,6 +114,11 @@ class Network(ABC):
 
     name: str
     parameters: dict
+    rows: DataFrame
+
+    @property
+    def spark(self) -> SparkSession:
+        return self.rows.sparkSession
 
     @abstractmethod
     def first(self, hidden: int, seed: int) -> Weights: ...
@@ -311,6 +321,27 @@ def stored_run(spark: SparkSession, path: str) -> Run | None:
     return Run(sets["weights"], (sets["first"], sets["second"]), sets["best"], last, rating, [tuple(h) for h in head["history"]])
 
 
+def descend(net: Network, start: Weights, epochs: int, rate: float, decay: float = 0.0, check: int = 10, path: str | None = None) -> Run:
+    """A run of ``epochs`` steps that keeps the last weights; ``history`` holds every epoch's loss.
+
+    With ``path`` the state is stored after every ``check`` epochs and after the last, and a
+    later call with the same path goes on from it.
+    """
+    run = stored_run(net.spark, path) if path else None
+    if run is None:
+        run = Run(dict(start), (_zeros(start), _zeros(start)), dict(start))
+    while run.epoch < epochs:
+        out = net.forward(run.weights).persist()
+        loss, gradient = net.backward(run.weights, out)
+        adam(run, gradient, rate, decay)
+        out.unpersist()
+        run.best = run.weights
+        run.history.append((run.epoch, loss, None))
+        if path and (run.epoch % check == 0 or run.epoch == epochs):
+            store_run(net.spark, run, path)
+    return run
+
+
 def train(
     name: str, nodes: DataFrame, edges: DataFrame, hidden: int = 64, epochs: int = 100, rate: float = 0.01, decay: float = 0.0,
     hold: float = 0.2, check: int = 10, seed: int = 42, degree: int = 2, path: str | None = None,

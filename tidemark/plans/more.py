@@ -119,6 +119,29 @@ def m4(t: Tables) -> DataFrame:
     return M.attention(t.edges, t.nodes, rng.normal(0, 0.3, (4, 64)), rng.normal(0, 1, 4), rng.normal(0, 1, 4)).select("node_id", r6(dot(F.col("x"), F.col("x")), "square"))
 
 
+@query("m5_autoencoder_scores")
+def m5(t: Tables) -> DataFrame:
+    """Scores of the neighbourhood autoencoder; tests hold its losses and gradients against dense loops."""
+    return M.build("autoencoder", epochs=10).fit(t.nodes, t.edges).score(t.nodes, t.edges)
+
+
+@query("m5_neighbourhood_loss", "lng knn ways", """
+, near AS (SELECT src AS node_id, dim, avg(val) AS m, ln(greatest(avg(val * val) - avg(val) ** 2, 1e-6)) AS lv FROM ways JOIN lng ON dst = lng.node_id GROUP BY 1, 2),
+own AS (SELECT i AS node_id, dim, avg(val) AS m, ln(greatest(avg(val * val) - avg(val) ** 2, 1e-6)) AS lv FROM knn JOIN lng ON j = lng.node_id GROUP BY 1, 2),
+d AS (SELECT src AS node_id, count(*) AS n FROM ways GROUP BY 1)
+SELECT node_id, round(0.8 * avg((own.m - val) ** 2) + 0.5 * (ln(12) - ln(1 + any_value(n))) ** 2 + 0.001 * sum(0.5 * (near.lv - own.lv + (exp(own.lv) + (own.m - near.m) ** 2) / exp(near.lv) - 1)), 6) AS s
+FROM lng JOIN own USING (node_id, dim) JOIN near USING (node_id, dim) JOIN d USING (node_id) GROUP BY 1""")
+def m5_loss(t: Tables) -> DataFrame:
+    """Loss of neighbourhoods that are rebuilt by the moments and the number of the nearest vectors."""
+    from ..operators.autoencoder import moments, neighbourhood_loss, neighbourhoods
+
+    width = 64
+    own = moments(t.knn.select(F.col("i").alias("src"), F.col("j").alias("dst"), F.lit(1 / 11).alias("w")), t.nodes, "x", width)
+    goal = t.nodes.select("node_id", "x").join(neighbourhoods(t.nodes, t.edges, "x", width), "node_id").select("node_id", F.struct("x", "d", "mu", "lv").alias("goal"))
+    rebuilt = own.select("node_id", F.struct(F.col("mu").alias("x"), F.log1p(F.lit(11)).alias("d"), "mu", "lv").alias("rebuilt"))
+    return goal.join(rebuilt, "node_id").select("node_id", r6(neighbourhood_loss("goal", "rebuilt"), "s"))
+
+
 @query("m6_reconstruction_scores", "nodes cent edges", """
 , er AS (SELECT src, dst, 1 - 1 / (1 + exp(-list_dot_product(a.centroid, b.centroid))) AS e FROM edges JOIN cent a ON a.node_id = src JOIN cent b ON b.node_id = dst),
 inc AS (SELECT node_id, avg(e) AS e FROM (SELECT unnest([src, dst]) AS node_id, e FROM er) GROUP BY 1)
