@@ -93,3 +93,18 @@ def test_passes_hold_every_item_once(spark, sf_dir):
     (a, one), (b, many) = D.passes(bench), D.passes(bench, 3000)
     one, many = list(one), list(many)
     assert a == len(one) == 1 and b == len(many) > 1 and sorted(x for p in many for x in p) == sorted(one[0])
+
+
+def test_ids_of_items_keep_their_type(spark):
+    text = "the quick brown fox jumps over the lazy dog and runs far away"
+    docs_ = spark.createDataFrame([(1, f"before {text} behind"), (2, "nothing here")], "doc_id long, text string")
+    for kind, ids in (("string", ["x1", None]), ("int", [7, None])):
+        items = spark.createDataFrame([(i, text) for i in ids], f"item_id {kind}, text string")
+        found = D.contaminations(docs_, items)
+        assert dict(found.dtypes)["item_id"] == kind
+        assert {(r.doc_id, r.item_id, r.distance) for r in found.collect()} == {(1, i, 0) for i in ids}
+        assert [r.doc_id for r in D.drop_contaminated(docs_, items).collect()] == [2]
+        # Passes of one item each give the same.
+        assert D.contaminations(docs_, items, pass_chars=20).count() == 2
+        none = D.contaminations(docs_, items.limit(0))
+        assert none.count() == 0 and dict(none.dtypes)["item_id"] == kind

@@ -123,6 +123,29 @@ def test_index_accumulates_differences_and_prunes(monkeypatch):
     assert sum(compared) < 0.65 * len(prints) * (len(prints) - 1) / 2
 
 
+def test_nodes_are_wide_and_the_index_prunes_them(spark):
+    """Nodes of every width give the components of brute force; wide ones are pruned above the rows."""
+    rng = np.random.default_rng(7)
+    prints = sorted(near_prints(rng, rng.integers(0, 2**63, 2600), 3000))
+    array = np.array(prints, np.uint64)
+    edges = [(i, int(j)) for i in range(len(array)) for j in np.flatnonzero(np.bitwise_count(array[i] ^ array[i + 1 :]) <= 3) + i + 1]
+    want = {frozenset(prints[i] for i in g) for g in _groups(len(prints), edges)}
+    rows = spark.createDataFrame([(p,) for p in array.view(np.int64).tolist()], "id long").cache()
+    for node_rows in (1, 40, 1024, 10**6):
+        groups = defaultdict(set)
+        for r in S.components(S.links(rows, node_rows=node_rows)).collect():
+            groups[r.root].add(r.id % (1 << 64))
+        assert {frozenset(g) for g in groups.values()} == {g for g in want if len(g) > 1}
+    report = {r.level: (r.met, r.kept) for r in S.pruning(rows).collect()}
+    every, levels = report.pop(-1)[0], len(report)
+    assert every > 4_000_000 and levels >= 10
+    # Few rows are compared, because nodes above them dropped theirs; all levels together meet few pairs too.
+    assert report[0][0] < 0.02 * every and sum(met for met, _ in report.values()) < 0.25 * every
+    assert all(report[level][1] < report[level][0] for level in range(6))
+    assert report[0][1] <= len(edges) * 4
+    assert S.name_bits(0) == S.name_bits(1500) == 0 and S.name_bits(9296) == 3
+
+
 def test_large_group_of_near_copies_above_the_cap(spark):
     """50,000 distinct near copies of one fingerprint are one component, whatever the cap."""
     rng = np.random.default_rng(6)

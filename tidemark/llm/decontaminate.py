@@ -18,13 +18,15 @@ bounded whatever the benchmark holds. A benchmark of one pass is streamed withou
 
 Defined cases: null and empty texts match nothing; null items and items of white space
 match nothing; equal items are reported each; repeated documents are reported each; an
-empty benchmark or no documents give no matches; other columns are kept.
+empty benchmark or no documents give no matches; other columns are kept; an item's id may be
+null, a number or a string, and keeps its type.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,13 +37,17 @@ from .common import documents, durable, packed, whole_text
 ERROR_SHARE = 0.1
 SHORT = 25
 PASS_CHARS = 2_000_000
-MATCHES = "array<struct<item_id:long,distance:int,places:int,first_end:int>>"
 
 
 def normal(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
+def matches_type(items: DataFrame) -> str:
+    """Type of the matches in a text; an item's id keeps the type it has."""
+    return f"array<struct<item_id:{items.schema['item_id'].dataType.simpleString()},distance:int,places:int,first_end:int>>"
+
+
 def budget(length: int) -> int:
     """Edits that an item of this length may have."""
     return int(length * ERROR_SHARE) if length >= SHORT else 0
@@ -117,7 +123,7 @@ def holds(read: str, diagonal: int, steps: list[tuple[int, int, dict[str, int],
     return True
 
 
-def matcher(items: list[tuple[int | None, str]]) -> Callable[[str | None], list[dict]]:
+def matcher(items: list[tuple[Any, str]]) -> Callable[[str | None], list[dict]]:
     """A function that lists the items which occur in a text."""
     import ahocorasick
 
@@ -179,13 +185,13 @@ def _stretches(diagonals: list[int], m: int, k: int) -> list[tuple[int, int]]:
     return out
 
 
-def passes(benchmark: DataFrame, pass_chars: int = PASS_CHARS) -> tuple[int, Iterator[list[tuple[int | None, str]]]]:
+def passes(benchmark: DataFrame, pass_chars: int = PASS_CHARS) -> tuple[int, Iterator[list[tuple[Any, str]]]]:
     """The number of passes, and their items; a pass is collected when its turn comes."""
-    items = benchmark.where(F.length(F.trim("text")) > 0).select(F.col("item_id").cast("long").alias("item_id"), "text")
+    items = benchmark.where(F.length(F.trim("text")) > 0).select("item_id", "text")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-total // pass_chars)
 
-    def collected() -> Iterator[list[tuple[int | None, str]]]:
+    def collected() -> Iterator[list[tuple[Any, str]]]:
         for i in range(n):
             part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) if n > 1 else items
             yield [(r.item_id, t) for r in part.collect() if (t := normal(r.text))]
@@ -193,11 +199,11 @@ def passes(benchmark: DataFrame, pass_chars: int = PASS_CHARS) -> tuple[int, Ite
     return n, collected()
 
 
-def matches(text: Column, items: list[tuple[int | None, str]], spark: SparkSession) -> Column:
-    """Array of the items that occur in ``text``, with distance and places."""
+def matches(text: Column, items: list[tuple[Any, str]], spark: SparkSession, kind: str) -> Column:
+    """Array of the items that occur in ``text``, with distance and places; ``kind`` is its type."""
     sent = spark.sparkContext.broadcast(items)
 
-    @F.pandas_udf(MATCHES)
+    @F.pandas_udf(kind)
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         match = matcher(sent.value)
         for texts in batches:
@@ -211,7 +217,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, pass_chars: int = P
     rows = packed(docs)
     n, each = passes(benchmark, pass_chars)
     for items in each:
-        rows = rows.where(F.size(matches(whole_text("row.text"), items, docs.sparkSession)) == 0)
+        rows = rows.where(F.size(matches(whole_text("row.text"), items, docs.sparkSession, matches_type(benchmark))) == 0)
         rows = durable(rows) if n > 1 else rows
     return rows.select("row.*")
 
@@ -221,9 +227,9 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, pass_chars: int = PASS
     n, each = passes(benchmark, pass_chars)
     parts = []
     for items in each:
-        found = docs.select("doc_id", F.explode(matches(whole_text(), items, docs.sparkSession)).alias("m")).select("doc_id", "m.item_id", "m.distance", "m.places", "m.first_end")
+        found = docs.select("doc_id", F.explode(matches(whole_text(), items, docs.sparkSession, matches_type(benchmark))).alias("m")).select("doc_id", "m.item_id", "m.distance", "m.places", "m.first_end")
         parts.append(durable(found) if n > 1 else found)
-    empty = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, distance int, places int, first_end int")
+    empty = docs.select("doc_id", F.explode(F.lit(None).cast(matches_type(benchmark))).alias("m")).select("doc_id", "m.*")
     return reduce(DataFrame.unionByName, parts) if parts else empty
 
 

@@ -4,10 +4,13 @@ Fingerprints. A text's shingles are hashed with XXH64; a fingerprint bit is 1 if
 set in over half of the hashes.
 
 Distribution. Two fingerprints within r bits agree on at least one of r + 1 pieces, so each
-fingerprint goes to r + 1 nodes, one a piece. A node above ``NODE_CAP`` fingerprints is not
-searched in one task; its members go one level down, where the bits that are still free
-are cut into r + 1 pieces again. Fingerprints are distinct, and after four levels no more
-than 14 bits are free, so every node ends at or below the cap and no link is lost.
+fingerprint goes to r + 1 nodes, one a piece. A node is named by the low bits of its piece,
+no more of them than leave it about ``NODE_ROWS`` fingerprints: who agree on a piece agree on
+its low bits, so nothing is lost, and nodes are wide enough for the index to do the pruning.
+A node above ``NODE_CAP`` fingerprints is not searched in one task; its members go one level
+down, where the rest of the fingerprint is cut into r + 1 pieces again, taken whole.
+Fingerprints are distinct, and levels follow until no more than 14 bits are free, so every
+node ends at or below the cap and no link is lost.
 
 Index. Within a node the fingerprints stand in Gray order. Runs of ``FAN_OUT`` neighbours,
 and runs of runs, have an index node each, up to one root: it holds the bits that all below
@@ -28,7 +31,7 @@ as a component's smallest id unless there is no other; repeated rows stay repeat
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -42,7 +45,9 @@ SHINGLE = 3
 RADIUS = 3
 HASH_SEED = 42
 NODE_CAP = 16_384
-FAN_OUT = 16
+NODE_ROWS = 1_024
+#: Two, as a run of two shares most bits: of 16,000 random fingerprints 5 % of all pairs are met, of runs of 16 a third.
+FAN_OUT = 2
 #: Rows to each side that are compared before the search, and pairs that a search expands at once.
 GAPS = 4
 PAIRS = 1 << 19
@@ -102,19 +107,24 @@ def gray_rank(word: Column) -> Column:
     return word.bitwiseXOR(F.lit(-(1 << 63)))
 
 
-def _pigeonholes(node: Column, rest: Column, bits: int, pieces: int) -> tuple[Column, int]:
-    """Child nodes of ``rest``, whose low ``bits`` are free, with what stays free below each."""
+def _pigeonholes(node: Column, rest: Column, bits: int, pieces: int, most: int = 64) -> tuple[Column, int]:
+    """Child nodes of ``rest``, whose low ``bits`` are free, with what stays free below each.
+
+    A child is named by the low ``most`` bits of its piece, or by all if there are fewer;
+    where no bits name it, one child holds all.
+    """
     width = -(-bits // pieces)
-    children = []
-    for j in range(pieces):
-        low, own = j * width, min(width, bits - j * width)
-        if own <= 0:
+    children, free = [], 0
+    for j in range(pieces if most else 1):
+        low, own = j * width, min(width, bits - j * width, most)
+        if bits - j * width <= 0:
             continue
+        free = max(free, bits - own)
         piece = F.shiftrightunsigned(rest, low).bitwiseAND(F.lit((1 << own) - 1)) if own < 64 else rest
         kept_low = rest.bitwiseAND(F.lit((1 << low) - 1))
         kept_high = F.shiftleft(F.shiftrightunsigned(rest, low + own), low) if low + own < 64 else F.lit(0).cast("long")
         children.append(F.struct(F.xxhash64(node, F.lit(j), piece).alias("node"), kept_low.bitwiseOR(kept_high).alias("rest")))
-    return F.array(*children), bits - min(width, bits - (len(children) - 1) * width)
+    return F.array(*children), free
 
 
 class _Index:
@@ -122,6 +132,8 @@ class _Index:
 
     def __init__(self, node: np.ndarray, prints: np.ndarray, radius: int):
         self.prints, self.radius, self.parent = prints, radius, np.arange(len(prints))
+        #: Of each level the pairs that the search met there, and those that it kept.
+        self.met: dict[int, list[int]] = {}
         #: Of each level: pattern, bits that are not of one mind below, first child, owner.
         self.levels = [(prints, np.zeros_like(prints), np.arange(len(prints) + 1), node)]
         while (owner := self.levels[-1][3]).size and (owner[1:] == owner[:-1]).any():
@@ -201,9 +213,20 @@ class _Index:
         fresh = ~(below_loose[i] | below_loose[j]) & (loose[a] | loose[b])[of]
         seen = known[of] + np.bitwise_count((below[i] ^ below[j]) & fresh)
         near = seen <= self.radius
+        met = self.met.setdefault(level - 1, [0, 0])
+        met[0], met[1] = met[0] + len(near), met[1] + int(near.sum())
         return i[near], j[near], seen[near]
 
 
+def _pruned(node: np.ndarray, ids: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, ...]:
+    """Levels of the index with the pairs met and kept there; all pairs of a node's rows as level -1."""
+    index = _Index(node, prints, radius)
+    index.components()
+    sizes = np.unique(node, return_counts=True)[1]
+    rows = [(-1, int((sizes * (sizes - 1) // 2).sum()), 0), *((level, *met) for level, met in index.met.items())]
+    return tuple(np.array(rows, np.int64).T)
+
+
 def _hubs(node: np.ndarray, ids: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Each member of a node's component with the component's smallest id."""
     component = _Index(node, prints, radius).components()
@@ -213,12 +236,12 @@ def _hubs(node: np.ndarray, ids: np.ndarray, prints: np.ndarray, radius: int) ->
     return hub[hub != ids], ids[hub != ids]
 
 
-def _node_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Links of every node; rows come sorted by node and Gray rank."""
+def _search(batches: Iterator[pa.RecordBatch], radius: int, of: Callable[..., tuple[np.ndarray, ...]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """What ``of`` finds in whole nodes; rows come sorted by node and Gray rank."""
 
     def found(node: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-        pairs = _hubs(node, ids, ids.view(np.uint64), radius)
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs], ["a", "b"])
+        columns = of(node, ids, ids.view(np.uint64), radius)
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names)
 
     held: tuple[np.ndarray, np.ndarray] | None = None
     for batch in batches:
@@ -235,16 +258,32 @@ def _node_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.R
         yield found(*held)
 
 
-def links(prints: DataFrame, radius: int = RADIUS, node_cap: int = NODE_CAP) -> DataFrame:
+def name_bits(n: int, node_rows: int = NODE_ROWS) -> int:
+    """Bits that deal ``n`` fingerprints to nodes of about ``node_rows``."""
+    return max(0, (n // node_rows).bit_length() - 1)
+
+
+def links(prints: DataFrame, radius: int = RADIUS, node_cap: int = NODE_CAP, node_rows: int = NODE_ROWS) -> DataFrame:
     """Links ``(a, b)`` that connect the distinct fingerprints ``prints(id)``, exact for the radius."""
-    found = None
-    children, free = _pigeonholes(F.lit(0).cast("long"), F.col("id"), 64, radius + 1)
+    return _through_nodes(prints, radius, node_cap, node_rows, _hubs, ["a", "b"])
+
+
+def pruning(prints: DataFrame, radius: int = RADIUS, node_cap: int = NODE_CAP, node_rows: int = NODE_ROWS) -> DataFrame:
+    """``(level, met, kept)``: pairs that the search met and kept at each level, 0 being the fingerprints; level -1 holds all pairs of nodes."""
+    rows = _through_nodes(prints, radius, node_cap, node_rows, _pruned, ["level", "met", "kept"])
+    return rows.groupBy("level").agg(F.sum("met").alias("met"), F.sum("kept").alias("kept"))
+
+
+def _through_nodes(prints: DataFrame, radius: int, node_cap: int, node_rows: int, of: Callable[..., tuple[np.ndarray, ...]], names: list[str]) -> DataFrame:
+    """What ``of`` finds in every node, level by level."""
+    found, schema = None, ", ".join(f"{n} long" for n in names)
+    children, free = _pigeonholes(F.lit(0).cast("long"), F.col("id"), 64, radius + 1, name_bits(prints.count(), node_rows))
     while True:
         level = prints.select("id", F.explode(children).alias("child")).select("id", "child.node", "child.rest")
         hot = durable(level.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > node_cap).select("node"))
         deeper = not hot.isEmpty() and free > 14
         here = level.join(hot, "node", "left_anti") if deeper else level
-        pairs = here.select("node", "id").repartition("node").sortWithinPartitions("node", gray_rank(F.col("id"))).mapInArrow(lambda it: _node_links(it, radius), "a long, b long")
+        pairs = here.select("node", "id").repartition("node").sortWithinPartitions("node", gray_rank(F.col("id"))).mapInArrow(lambda it: _search(it, radius, of, names), schema)
         found = pairs if found is None else found.unionByName(pairs)
         if not deeper:
             return found
