@@ -122,7 +122,9 @@ def m4(t: Tables) -> DataFrame:
 @query("m5_autoencoder_scores")
 def m5(t: Tables) -> DataFrame:
     """Scores of the neighbourhood autoencoder; tests hold its losses and gradients against dense loops."""
-    return M.build("autoencoder", epochs=10).fit(t.nodes, t.edges).score(t.nodes, t.edges)
+    from ..operators.autoencoder import Autoencoder
+
+    return Autoencoder(epochs=10).fit(t.nodes, t.edges).score(t.nodes, t.edges)
 
 
 @query("m5_neighbourhood_loss", "lng knn ways", """
@@ -154,6 +156,14 @@ def m6(t: Tables) -> DataFrame:
     return all_r6(M.reconstruction_scores(t.nodes, rebuilt, t.edges))
 
 
+@query("m9_prompt_scores")
+def m9(t: Tables) -> DataFrame:
+    """Scores of the classifier with trained prompts; tests hold its gradients against dense loops."""
+    from ..operators.prompts import Prompts
+
+    return Prompts(hidden=8, size=8, epochs=5, rate=0.01).fit(t.nodes, t.edges).score(t.nodes, t.edges)
+
+
 @query("m17_pseudo_classes")
 def m17(t: Tables) -> DataFrame:
     return M.pseudo_classes(t.nodes)
