@@ -91,3 +91,48 @@ def test_blocks_change_nothing(spark):
 def test_prefix_holds_a_shared_shingle(n):
     least = next(k for k in range(n + 1) if 5 * k >= 4 * n)
     assert J.prefix_length(n) == n - least + 1 == J.prefix_length(np.int64(n))
+
+
+def test_fingerprints_propose_and_the_rest_is_exact(spark, monkeypatch):
+    """Near copies go through the index and are not searched again; pairs that it misses and chance links end as they must."""
+    rnd = random.Random(5)
+    line = fresh(rnd, 12)
+    texts = []
+    for _ in range(8):
+        base = fresh(rnd, 400)
+        texts += [base, edited(rnd, base, 1)]  # a few bits apart
+    for _ in range(12):
+        base = fresh(rnd, 200)
+        texts += [base + " " + fresh(rnd, 24), base + " " + fresh(rnd, 23)]  # similarity 0.81, beyond the radius
+    texts += [fresh(rnd, 20) + (" " + line) * 30 for _ in range(6)]
+    prints = [S.majority(J.shingle_set(t, 5).view(np.uint64)) for t in texts]
+    apart = [(prints[i] ^ prints[i + 1]).bit_count() for i in range(0, 40, 2)]
+    shown = [i for i in range(0, 40, 2) if apart[i // 2] <= S.RADIUS]
+    assert 0 < len(shown) < 20
+    searched, proposed = [], []
+    links, candidates = S.links, J.candidates
+
+    def spied_links(found, *args):
+        searched.extend(r.id for r in found.collect())
+        return links(found, *args)
+
+    def spied_candidates(*args):
+        out = candidates(*args)
+        proposed.extend(out.collect())
+        return out
+
+    monkeypatch.setattr(S, "links", spied_links)
+    monkeypatch.setattr(J, "candidates", spied_candidates)
+    assert kept(docs(spark, texts)) == brute(dict(enumerate(texts)))
+    assert sorted(x % 2**64 for x in searched) == sorted(set(prints))
+    assert len(proposed) >= 20 - len(shown)
+    ids = dict(docs(spark, texts).selectExpr("doc_id", "xxhash64(text)").collect())
+    again = {frozenset(r) for r in proposed}
+    assert not any(frozenset((ids[i], ids[i + 1])) in again for i in shown)
+
+
+def test_classes_are_not_compared_again():
+    ids, sets = np.array([5, 3, 9]), [np.arange(10), np.arange(100, 110), np.arange(9)]
+    assert J.group_links(ids, ids, sets)[1].tolist() == [9]
+    hub, other = J.group_links(ids, np.array([3, 3, 9]), sets)
+    assert sorted(zip(hub.tolist(), other.tolist())) == [(3, 5), (3, 9)]

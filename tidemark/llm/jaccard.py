@@ -1,16 +1,27 @@
 """Exact groups of texts whose shingle sets have a Jaccard similarity of 0.8 or more.
 
-Candidates. All shingles are ordered by the number of sets that hold them, rarest first.
+Fingerprints. Each set has a SimHash fingerprint (a shingle counts once), and the Gray-order
+index of ``simhash.py`` links fingerprints within its radius. Their components are the first
+candidate groups; they are verified, and the verified links make classes.
+
+The rest. Sets of similarity 0.8 may differ in more bits than any radius allows, so an exact
+search follows for links between different classes; what fingerprints settled is neither
+proposed nor compared again. All shingles are ordered by the number of sets that hold them, rarest first.
 Two sets of similarity 0.8 share a shingle among the first n - ceil(0.8 n) + 1 of each,
 whatever the order is; so sets that share none of these are never compared, and no pair is
 lost. A shingle that a single set holds joins nothing and is dropped when shingles are
-counted. Sets that share a shingle are linked to the smallest id, a row a set, and
-connected sets make a candidate group.
+counted. Classes that share a shingle are linked to the smallest one, a row a class, and
+the sets of connected classes make a candidate group. A shingle within one class proposes
+nothing.
 
 Verification. Each pair of a candidate group is compared by its shingles, or is in one
-component already by pairs that were. A group above a block's size is cut into blocks by a
+class or component already by pairs that were. A group above a block's size is cut into blocks by a
 hash of the id and each pair of blocks goes to a task of its own; so a task's memory is
 bounded and the size of blocks changes no result.
+
+Defined cases: texts without words have the empty set and fingerprint zero; they come
+trimmed, so they are one text; texts with equal sets are similar; texts of any length are
+read whole; no rows give no groups.
 """
 
 from __future__ import annotations
@@ -24,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable
-from .simhash import components, shingle_hashes
+from .simhash import component_roots, components, majority, shingle_hashes
 
 #: Sets and shingles of a block in a task, in expectation.
 BLOCK_SETS = 1024
@@ -46,14 +57,18 @@ def shingle_sets(text: Column, shingle: int) -> Column:
     return sets(text)
 
 
-def set_size(text: Column, shingle: int) -> Column:
-    """Number of distinct shingles; the sets themselves stay in the worker."""
+def set_facts(text: Column, shingle: int) -> Column:
+    """Number of distinct shingles ``n`` and their fingerprint ``print`` as a signed long; the sets themselves stay in the worker."""
 
-    @F.pandas_udf("long")
-    def size(texts: pd.Series) -> pd.Series:
-        return pd.Series([len(shingle_set(t, shingle)) for t in texts], dtype="int64")
+    @F.pandas_udf("n long, print long")
+    def facts(texts: pd.Series) -> pd.DataFrame:
+        n, prints = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.uint64)
+        for i, text in enumerate(texts):
+            own = shingle_set(text, shingle)
+            n[i], prints[i] = len(own), majority(own.view(np.uint64))
+        return pd.DataFrame({"n": n, "print": prints.view(np.int64)})
 
-    return size(text)
+    return facts(text)
 
 
 def shingle_rows(texts: DataFrame, shingle: int) -> DataFrame:
@@ -123,19 +138,22 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return _runs(batches, lambda b: [b.column("s"), b.column("id")], found)
 
 
-def group_links(ids: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Each member of a component of similar sets with the component's smallest id, by exact comparison."""
+def group_links(ids: np.ndarray, own: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Each member of a component of similar sets with the component's smallest id, by exact comparison.
+
+    Sets of one class ``own`` are known to be in one component.
+    """
     lengths = np.fromiter(map(len, sets), np.int64, len(sets))
     order = np.argsort(lengths, kind="stable")
     _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     starts = np.cumsum(lengths) - lengths
-    label = np.arange(len(sets))
+    label = np.unique(own, return_inverse=True)[1]
     holders: dict[int, list[int]] = {}
     for i in order.tolist():
         n = lengths[i]
-        own = token[starts[i] : starts[i] + n]
-        own = own[count[own] > 1] if n else own
-        first = own[np.lexsort((own, count[own]))][: max(0, prefix_length(n) - (n - len(own)))].tolist()
+        held = token[starts[i] : starts[i] + n]
+        held = held[count[held] > 1] if n else held
+        first = held[np.lexsort((held, count[held]))][: max(0, prefix_length(n) - (n - len(held)))].tolist()
         near = [holders[t] for t in first if t in holders]
         near = np.unique(np.concatenate([np.asarray(x) for x in near])) if near else np.empty(0, np.int64)
         near = near[5 * lengths[near] >= 4 * n]
@@ -154,51 +172,63 @@ def group_links(ids: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of every task's group; rows come sorted by task."""
 
-    def found(task: pa.Array, ids: pa.Array, shingles: pa.Array) -> pa.RecordBatch:
-        key, who = task.to_numpy(zero_copy_only=False), ids.to_numpy(zero_copy_only=False)
+    def found(task: pa.Array, ids: pa.Array, own: pa.Array, shingles: pa.Array) -> pa.RecordBatch:
+        key, who, own = (x.to_numpy(zero_copy_only=False) for x in (task, ids, own))
         values, ends = shingles.flatten().to_numpy(zero_copy_only=False), np.cumsum(np.asarray(shingles.value_lengths()))
         sets = np.split(values, ends[:-1])
         a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])).tolist()
         for x, y in zip(begin, [*begin[1:], len(key)]):
-            hub, other = group_links(who[x:y], sets[x:y])
+            hub, other = group_links(who[x:y], own[x:y], sets[x:y])
             a.append(hub)
             b.append(other)
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(z), pa.int64()) for z in (a, b)], ["a", "b"])
 
-    return _runs(batches, lambda b: [b.column("task"), b.column("id"), b.column("shingles")], found)
+    return _runs(batches, lambda b: [b.column(c) for c in ("task", "id", "own", "shingles")], found)
+
+
+def fingerprint_groups(sizes: DataFrame) -> DataFrame:
+    """``(id, root, own)`` of the sets whose fingerprints share a component with those of others; each is a class of its own."""
+    prints = component_roots(sizes.select(F.col("print").alias("id"))).select(F.col("id").alias("print"), "root")
+    named = durable(sizes.join(prints, "print").select("id", "root", F.col("id").alias("own")))
+    many = named.groupBy("root").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("root")
+    return durable(named.join(many, "root", "left_semi"))
 
 
 def candidates(texts: DataFrame, sizes: DataFrame, shingle: int) -> DataFrame:
-    """Links ``(a, b)`` that connect all sets of similarity 0.8, and others."""
+    """Links ``(a, b)`` between classes that connect all sets of similarity 0.8 in different ones, and others; ``sizes(id, n, own)``."""
     shared = shingle_rows(texts, shingle).repartition("s").sortWithinPartitions("s", "id").mapInArrow(_shared, "s long, id long, sets long")
     # What a set holds alone comes first in the order.
     ranked = shared.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("sets", "s"))).alias("ranked"))
     length = F.expr("CAST(n - (4 * n + 4) div 5 + 1 - (n - size(ranked)) AS INT)")
     first = ranked.join(sizes, "id").withColumn("length", length).where("length > 0")
-    first = durable(first.select("id", F.explode(F.expr("slice(ranked, 1, length)")).alias("x")).select("id", F.col("x.s").alias("s")))
-    hubs = first.groupBy("s").agg(F.min("id").alias("a"))
-    return first.join(hubs, "s").where("a <> id").select("a", F.col("id").alias("b")).distinct()
+    first = durable(first.select("own", F.explode(F.expr("slice(ranked, 1, length)")).alias("x")).select("own", F.col("x.s").alias("s")))
+    hubs = first.groupBy("s").agg(F.min("own").alias("a"))
+    return first.join(hubs, "s").where("a <> own").select("a", F.col("own").alias("b")).distinct()
 
 
 def verified(texts: DataFrame, sizes: DataFrame, shingle: int, groups: DataFrame, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """Links ``(a, b)`` between similar sets of one group of durable ``groups(id, root)``."""
+    """Links ``(a, b)`` between similar sets of one group of durable ``groups(id, root, own)``; sets of a class ``own`` are linked already."""
     sized = groups.join(sizes, "id")
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / block_sets, F.sum("n") / block_shingles)).cast("int")
     blocks = sized.groupBy("root").agg(blocks.alias("blocks"))
     placed = groups.join(blocks, "root").withColumn("x", F.expr("CAST(pmod(xxhash64(id, 1), blocks) AS INT)"))
     others = F.expr("IF(blocks = 1, array(0), array_remove(sequence(0, blocks - 1), x))")
-    tasks = placed.withColumn("y", F.explode(others)).select("id", F.xxhash64("root", F.least("x", "y"), F.greatest("x", "y")).alias("task"))
+    tasks = placed.withColumn("y", F.explode(others)).select("id", "own", F.xxhash64("root", F.least("x", "y"), F.greatest("x", "y")).alias("task"))
     # Only texts of a candidate group are read again.
     sets = texts.join(groups.select("id"), "id", "left_semi").dropDuplicates(["id"]).select("id", shingle_sets(F.col("text"), shingle).alias("shingles"))
-    return tasks.join(sets, "id").select("task", "id", "shingles").repartition("task").sortWithinPartitions("task").mapInArrow(_verified, "a long, b long")
+    return tasks.join(sets, "id").select("task", "id", "own", "shingles").repartition("task").sortWithinPartitions("task").mapInArrow(_verified, "a long, b long")
 
 
 def similar_roots(texts: DataFrame, sizes: DataFrame, shingle: int, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """``(id, root)`` of the sets that are similar to another.
 
-    ``texts(id, text)`` may repeat an id with its text; durable ``sizes(id, n)`` has every id
-    once, with its number of shingles.
+    ``texts(id, text)`` may repeat an id with its text; durable ``sizes(id, n, print)`` has
+    every id once, with its number of shingles and its fingerprint.
     """
-    groups = components(candidates(texts, sizes, shingle))
-    return components(verified(texts, sizes, shingle, groups, block_sets, block_shingles))
+    blocks = block_sets, block_shingles
+    known = durable(verified(texts, sizes, shingle, fingerprint_groups(sizes), *blocks).distinct())
+    named = durable(sizes.join(components(known), "id", "left").select("id", "n", F.coalesce("root", "id").alias("own")))
+    groups = components(candidates(texts, named, shingle)).select(F.col("id").alias("own"), "root")
+    rest = verified(texts, sizes, shingle, durable(named.join(groups, "own").select("id", "root", "own")), *blocks)
+    return components(known.union(rest))

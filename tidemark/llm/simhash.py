@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, documents, durable, packed, whole_text
+from .common import SPACE_CHARS, documents, durable, packed, stored, whole_text
 
 SHINGLE = 3
 RADIUS = 3
@@ -51,7 +51,7 @@ FAN_OUT = 2
 #: Rows to each side that are compared before the search, and pairs that a search expands at once.
 GAPS = 4
 PAIRS = 1 << 19
-#: Near-duplicate stage: sets of five words, compared exactly (jaccard.py).
+#: Near-duplicate stage: sets of five words; fingerprints propose, exact comparison decides (jaccard.py).
 STAGE_SHINGLE = 5
 
 _SPACE = SPACE_CHARS.encode()
@@ -83,7 +83,11 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """The fingerprint as an unsigned 64-bit number."""
-    hashes = shingle_hashes(text, shingle)
+    return majority(shingle_hashes(text, shingle))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of unsigned 64-bit numbers."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), _CHUNK):
         ones += np.unpackbits(hashes[at : at + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -303,7 +307,7 @@ def components(edges: DataFrame) -> DataFrame:
         near = ends.join(roots.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
         hooked = roots.join(near, "id").select("id", F.col("root").alias("was"), F.least("root", "near").alias("root"))
         above = roots.select(F.col("id").alias("root"), F.col("root").alias("above"))
-        jumped = durable(hooked.join(above, "root").select("id", "was", F.least("root", "above").alias("root")))
+        jumped = stored(hooked.join(above, "root").select("id", "was", F.least("root", "above").alias("root")))
         roots = jumped.select("id", "root")
         if jumped.where("root < was").isEmpty():
             return roots
@@ -329,18 +333,19 @@ def op5(spark: SparkSession, sf_dir: str, node_cap: int = NODE_CAP) -> DataFrame
 def drop_near_duplicates(docs: DataFrame, shingle: int = STAGE_SHINGLE, **blocks: int) -> DataFrame:
     """The documents with one of each group of near-duplicates, that of the smallest doc_id (null last).
 
-    Near-duplicates have sets of ``shingle`` words with a Jaccard similarity of 0.8 or more;
-    ``blocks`` are the sizes of blocks in a task, which change no result.
+    Near-duplicates have sets of ``shingle`` words with a Jaccard similarity of 0.8 or more:
+    those that the index over fingerprints shows, verified, and then those that fingerprints
+    miss. ``blocks`` are the sizes of blocks in a task, which change no result.
     """
-    from .jaccard import set_size, similar_roots
+    from .jaccard import set_facts, similar_roots
 
     keys = [F.col("row.doc_id").alias("doc_id"), F.xxhash64("row.text").alias("text_key")]
     rows = packed(docs)
     trimmed = F.btrim(whole_text("row.text"), F.lit(SPACE_CHARS))
     texts = rows.select(F.xxhash64(trimmed).alias("id"), trimmed.alias("text"))
     # Sets are computed again where they are needed: stored they would be larger than the texts.
-    narrow = durable(rows.select(*keys, F.xxhash64(trimmed).alias("id"), set_size(trimmed, shingle).alias("n")))
-    sizes = durable(narrow.groupBy("id").agg(F.first("n").alias("n")))
+    narrow = durable(rows.select(*keys, F.xxhash64(trimmed).alias("id"), set_facts(trimmed, shingle).alias("set")))
+    sizes = durable(narrow.groupBy("id").agg(F.first("set").alias("set")).select("id", "set.n", "set.print"))
     roots = similar_roots(texts, sizes, shingle, **blocks)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("kept")
     rooted = narrow.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
