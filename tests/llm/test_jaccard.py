@@ -136,3 +136,52 @@ def test_classes_are_not_compared_again():
     assert J.group_links(ids, ids, sets)[1].tolist() == [9]
     hub, other = J.group_links(ids, np.array([3, 3, 9]), sets)
     assert sorted(zip(hub.tolist(), other.tolist())) == [(3, 5), (3, 9)]
+
+
+@pytest.mark.parametrize("sizes", [{}, {"packed_rows": 700, "part_rows": 300}])
+def test_only_sets_that_others_hold_go_on(spark, sizes):
+    """Four fifths of the shingles must be met elsewhere, in one text or in several; texts without words never go on."""
+    rnd = random.Random(3)
+    texts = ["", fresh(rnd, 1), *(fresh(rnd, 150) for _ in range(20))]
+    base, other = fresh(rnd, 200), fresh(rnd, 200)
+    words = base.split()
+    texts += [base, " ".join(words[:165]) + " " + fresh(rnd, 35)]  # 161 of 196
+    texts += [other, " ".join(other.split()[:155]) + " " + fresh(rnd, 45)]  # 151 of 196
+    texts += [fresh(rnd, 100) + " " + " ".join(words[:80])]
+    sets = [shingles(t) for t in texts]
+    want = [i for i, s in enumerate(sets) if s and 5 * sum(any(x in o for o in sets if o is not s) for x in s) >= 4 * len(s)]
+    assert want == [22, 23]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(5)
+    n = spark.createDataFrame([(i, len(s)) for i, s in enumerate(sets)], "id long, n long")
+    out = J.promising(df, n, 5, **sizes)
+    assert out.columns == ["id", "n"] and sorted(r.id for r in out.collect()) == want
+    none = J.promising(df.where("id < 0"), n.where("id < 0"), 5, **sizes)
+    assert none.count() == 0
+
+
+def test_sieve_keeps_all(spark):
+    """All wanted ids pass, of others few, and rows of none but wanted ids are read when there are no ids."""
+    df = spark.range(20000).selectExpr("xxhash64(id) AS id", "id AS n")
+    some = df.where("n % 100 = 0").select("id")
+    out = {r.n for r in J.sieved(df, some).collect()}
+    assert out >= set(range(0, 20000, 100)) and len(out) < 800
+    assert J.sieved(df, some, 6).count() == 20000 and J.sieved(df, some.limit(0)).count() == 0
+
+
+def test_shuffle_of_texts_that_have_no_copy(spark):
+    """The whole stage moves less than twice the texts: shingles go packed, and texts once."""
+    rnd = random.Random(8)
+    texts = [fresh(rnd, 400) for _ in range(1500)]
+    df = docs(spark, texts).localCheckpoint()
+    before = shuffled(spark)
+    assert kept(df) == list(range(1500))
+    assert shuffled(spark) - before < 2 * sum(map(len, texts))
+
+
+def shuffled(spark):
+    """Bytes that all stages so far have written to shuffles."""
+    jvm, context = spark._jvm, spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    quantiles = spark.sparkContext._gateway.new_array(jvm.double, 0)
+    stages = context.statusStore().stageList(jvm.java.util.ArrayList(), False, False, quantiles, jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))

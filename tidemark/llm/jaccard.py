@@ -6,7 +6,15 @@ candidate groups; they are verified, and the verified links make classes.
 
 The rest. Sets of similarity 0.8 may differ in more bits than any radius allows, so an exact
 search follows for links between different classes; what fingerprints settled is neither
-proposed nor compared again. All shingles are ordered by the number of sets that hold them, rarest first.
+proposed nor compared again.
+
+A set has a similar one only if others hold 0.8 of its shingles. To tell, all shingles go
+out packed: cut to as many low bits as keep nearly all apart, dealt to parts by the highest
+of these, sorted and laid out byte by byte, with a text's place in its batch instead of its
+id. A part counts for each place the shingles that occur there more than once. Bits that
+agree by chance and copies of a text only make a count too high, so no pair is lost; the
+sets that reach 0.8 go on. All shingles of these are ordered by the number of sets that hold
+them, rarest first.
 Two sets of similarity 0.8 share a shingle among the first n - ceil(0.8 n) + 1 of each,
 whatever the order is; so sets that share none of these are never compared, and no pair is
 lost. A shingle that a single set holds joins nothing and is dropped when shingles are
@@ -31,6 +39,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +51,14 @@ BLOCK_SETS = 1024
 BLOCK_SHINGLES = 1 << 21
 #: Rows of a batch that a worker sends.
 SENT_ROWS = 1 << 17
+#: Shingles that a worker packs at once (and at most so many texts, as places are two bytes), and those of a part in expectation.
+PACKED_ROWS = 1 << 21
+PACKED_TEXTS = 1 << 16
+PART_ROWS = 1 << 18
+#: Bits of a shingle beyond those that count all of them: one in 16 to 32 agrees with another by chance.
+SPARE_BITS = 4
+#: Most bits of a sieve, which is broadcast: 2 MB.
+SIEVE_BITS = 24
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -94,6 +111,107 @@ def shingle_rows(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.select("id", "text").mapInArrow(rows, "s long, id long")
 
 
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of whole numbers: all first bytes, then all second ones; sorted numbers compress well so."""
+    return values.view(np.uint8).reshape(len(values), -1)[:, :width].T.tobytes()
+
+
+def _unplaned(raw: bytes, width: int) -> np.ndarray:
+    """The numbers that ``_planes`` laid out, as unsigned longs."""
+    planes = np.frombuffer(raw, np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view(np.uint64).ravel()
+
+
+def _pack(batches: Iterator[pa.RecordBatch], shingle: int, bits: int, part_bits: int, packed_rows: int) -> Iterator[pa.RecordBatch]:
+    """Shingles of texts by part; a batch's ids go out once, with any part."""
+    low = bits - part_bits
+    width = -(-low // 8)
+    number = TaskContext.get().partitionId() << 32
+
+    def packed(sets: list[np.ndarray], ids: list[int], batch: int) -> pa.RecordBatch:
+        word = np.concatenate(sets).view(np.uint64) & np.uint64((1 << bits) - 1)
+        order = np.argsort(word)
+        word, place = word[order], np.repeat(np.arange(len(sets), dtype=np.uint16), [len(x) for x in sets])[order]
+        part = (word >> np.uint64(low)).astype(np.int64)
+        word &= np.uint64((1 << low) - 1)
+        begin = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.empty(0, np.int64)
+        spans = list(zip(begin.tolist(), [*begin[1:].tolist(), len(part)]))
+        columns = [
+            pa.array([batch % (1 << part_bits), *part[begin].tolist()], pa.int64()),
+            pa.array([batch] * (1 + len(spans)), pa.int64()),
+            pa.array([np.array(ids, np.int64).tobytes(), *[None] * len(spans)], pa.binary()),
+            pa.array([None, *(_planes(word[x:y], width) for x, y in spans)], pa.binary()),
+            pa.array([None, *(_planes(place[x:y], 2) for x, y in spans)], pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["part", "batch", "ids", "words", "places"])
+
+    sets, ids, held = [], [], 0
+    for batch in batches:
+        for who, text in zip(batch.column("id").to_pylist(), batch.column("text")):
+            sets.append(shingle_set(text.as_py(), shingle))
+            ids.append(who)
+            held += len(sets[-1])
+            if held >= packed_rows or len(sets) == PACKED_TEXTS:
+                yield packed(sets, ids, number)
+                sets, ids, held, number = [], [], 0, number + 1
+    if sets:
+        yield packed(sets, ids, number)
+
+
+def _counted(batches: Iterator[pa.RecordBatch], low: int) -> Iterator[pa.RecordBatch]:
+    """``(batch, place, id, held)``: of each place the shingles that its part met more than once; and the places' ids, with none."""
+    width = -(-low // 8)
+
+    def found(part: pa.Array, batch: pa.Array, ids: pa.Array, words: pa.Array, places: pa.Array) -> pa.RecordBatch:
+        part, batch = (x.to_numpy(zero_copy_only=False) for x in (part, batch))
+        named, data = np.flatnonzero(ids.is_valid().to_numpy(zero_copy_only=False)), np.flatnonzero(words.is_valid().to_numpy(zero_copy_only=False))
+        # A batch's place as one number.
+        numbers, seat = np.unique(batch, return_inverse=True)
+        keys = [np.empty(0, np.int64)]
+        cuts = np.flatnonzero(part[data][1:] != part[data][:-1]) + 1
+        for rows in np.split(data, cuts):
+            if not len(rows):
+                continue
+            at = [_unplaned(places[k].as_py(), 2).view(np.int64) + (int(seat[k]) << 16) for k in rows.tolist()]
+            word, at = np.concatenate([_unplaned(words[k].as_py(), width) for k in rows.tolist()]), np.concatenate(at)
+            order = np.argsort(word)
+            same = word[order][1:] == word[order][:-1]
+            keys.append(at[order[np.append(same, False) | np.append(False, same)]])
+        key, held = np.unique(np.concatenate(keys), return_counts=True)
+        own = [np.frombuffer(ids[k].as_py(), np.int64) for k in named.tolist()]
+        lengths = np.array([len(x) for x in own], np.int64)
+        columns = [
+            pa.array(np.concatenate([numbers[key >> 16], np.repeat(batch[named], lengths)])),
+            pa.array(np.concatenate([key & 0xFFFF, *(np.arange(n) for n in lengths)]).astype(np.int64)),
+            pa.concat_arrays([pa.nulls(len(key), pa.int64()), *(pa.array(x) for x in own)]),
+            pa.array(np.concatenate([held, np.zeros(lengths.sum(), np.int64)]).astype(np.int64)),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["batch", "place", "id", "held"])
+
+    return _runs(batches, lambda b: [b.column(c) for c in ("part", "batch", "ids", "words", "places")], found)
+
+
+def promising(texts: DataFrame, sizes: DataFrame, shingle: int, packed_rows: int = PACKED_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
+    """The rows of ``sizes`` of which other sets may hold 0.8 of the shingles: all of which they do, and few others."""
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bits = min(63, total.bit_length() + SPARE_BITS)
+    part_bits = min(bits - 1, (total // part_rows).bit_length())
+    packed = texts.select("id", "text").mapInArrow(lambda it: _pack(it, shingle, bits, part_bits, packed_rows), "part long, batch long, ids binary, words binary, places binary")
+    counted = packed.repartition("part").sortWithinPartitions("part").mapInArrow(lambda it: _counted(it, bits - part_bits), "batch long, place long, id long, held long")
+    held = counted.groupBy("batch", "place").agg(F.max("id").alias("id"), F.sum("held").alias("held")).groupBy("id").agg(F.max("held").alias("held"))
+    return sizes.join(held, "id").where("n > 0 AND 5 * held >= 4 * n").drop("held")
+
+
+def sieved(rows: DataFrame, ids: DataFrame, most: int = SIEVE_BITS) -> DataFrame:
+    """The rows whose ``id``, a hash, may be among durable ``ids(id)``: all that are, and few others; rows are not shuffled."""
+    bits = min(most, max(6, ids.count().bit_length() + 6))
+    word, bit = F.expr(f"shiftright(id & {(1 << bits) - 1}L, 6)"), F.expr("shiftleft(1L, CAST(id & 63L AS INT))")
+    words = ids.select(word.alias("sieve_word"), bit.alias("bit")).groupBy("sieve_word").agg(F.bit_or("bit").alias("sieve_bits"))
+    return rows.withColumn("sieve_word", word).join(F.broadcast(words), "sieve_word").where(F.col("sieve_bits").bitwiseAND(bit) != 0).select(*rows.columns)
+
+
 def similar(common: int, a: int, b: int) -> bool:
     """Jaccard similarity of 0.8 or more, in whole numbers."""
     return 9 * common >= 4 * (a + b)
@@ -196,8 +314,9 @@ def fingerprint_groups(sizes: DataFrame) -> DataFrame:
 
 
 def candidates(texts: DataFrame, sizes: DataFrame, shingle: int) -> DataFrame:
-    """Links ``(a, b)`` between classes that connect all sets of similarity 0.8 in different ones, and others; ``sizes(id, n, own)``."""
-    shared = shingle_rows(texts, shingle).repartition("s").sortWithinPartitions("s", "id").mapInArrow(_shared, "s long, id long, sets long")
+    """Links ``(a, b)`` between classes that connect all sets of similarity 0.8 in different ones, and others; durable ``sizes(id, n, own)``."""
+    sizes = durable(promising(texts, sizes, shingle))
+    shared = shingle_rows(sieved(texts, sizes), shingle).repartition("s").sortWithinPartitions("s", "id").mapInArrow(_shared, "s long, id long, sets long")
     # What a set holds alone comes first in the order.
     ranked = shared.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("sets", "s"))).alias("ranked"))
     length = F.expr("CAST(n - (4 * n + 4) div 5 + 1 - (n - size(ranked)) AS INT)")
@@ -216,7 +335,7 @@ def verified(texts: DataFrame, sizes: DataFrame, shingle: int, groups: DataFrame
     others = F.expr("IF(blocks = 1, array(0), array_remove(sequence(0, blocks - 1), x))")
     tasks = placed.withColumn("y", F.explode(others)).select("id", "own", F.xxhash64("root", F.least("x", "y"), F.greatest("x", "y")).alias("task"))
     # Only texts of a candidate group are read again.
-    sets = texts.join(groups.select("id"), "id", "left_semi").dropDuplicates(["id"]).select("id", shingle_sets(F.col("text"), shingle).alias("shingles"))
+    sets = sieved(texts, groups).dropDuplicates(["id"]).select("id", shingle_sets(F.col("text"), shingle).alias("shingles"))
     return tasks.join(sets, "id").select("task", "id", "own", "shingles").repartition("task").sortWithinPartitions("task").mapInArrow(_verified, "a long, b long")
 
 

@@ -301,7 +301,9 @@ def components(edges: DataFrame) -> DataFrame:
     Every round takes the smallest root among neighbours and then the root's root.
     Rounds end when nothing changes; each is cut off in the shared folder.
     """
-    ends = durable(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    # Both directions of one row: a union would compute the edges twice.
+    both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    ends = durable(edges.select(both.alias("end")).select("end.a", "end.b").distinct())
     roots = durable(ends.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root")).withColumn("root", F.least("id", "root")))
     while True:
         near = ends.join(roots.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
@@ -349,8 +351,11 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = STAGE_SHINGLE, **blocks
     roots = similar_roots(texts, sizes, shingle, **blocks)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("kept")
     rooted = narrow.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    kept = rooted.groupBy("root").agg(first).select(F.col("kept.doc_id").alias("k_id"), F.col("kept.text_key").alias("k_key"))
-    stays = rows.select("row", *keys).join(kept, F.expr("doc_id <=> k_id AND text_key = k_key"), "left_semi")
+    # Within a struct nulls are equal. Its key is never null on either side: of one type, it deals rows once for join and window.
+    at = F.struct("doc_id", "text_key").alias("at")
+    never_null = F.coalesce("kept.text_key", F.lit(0).cast("long")).alias("text_key")
+    kept = rooted.groupBy("root").agg(first).select(F.struct("kept.doc_id", never_null).alias("at"))
+    stays = rows.select("row", *keys).select("row", at).join(kept, "at", "left_semi")
     # Repeated rows are copies too: one of them is left.
-    one = F.row_number().over(Window.partitionBy("doc_id", "text_key").orderBy("doc_id"))
+    one = F.row_number().over(Window.partitionBy("at").orderBy("at"))
     return stays.withColumn("one", one).where("one = 1").select("row.*")
