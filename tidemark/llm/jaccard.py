@@ -161,46 +161,63 @@ def _pack(batches: Iterator[pa.RecordBatch], shingle: int, bits: int, part_bits:
 
 
 def _counted(batches: Iterator[pa.RecordBatch], low: int) -> Iterator[pa.RecordBatch]:
-    """``(batch, place, id, held)``: of each place the shingles that its part met more than once; and the places' ids, with none."""
+    """A row for each batch of texts with its places and how many of their shingles a part met more than once; ids pass through."""
     width = -(-low // 8)
 
     def found(part: pa.Array, batch: pa.Array, ids: pa.Array, words: pa.Array, places: pa.Array) -> pa.RecordBatch:
         part, batch = (x.to_numpy(zero_copy_only=False) for x in (part, batch))
-        named, data = np.flatnonzero(ids.is_valid().to_numpy(zero_copy_only=False)), np.flatnonzero(words.is_valid().to_numpy(zero_copy_only=False))
+        named, data = (np.flatnonzero(x.is_valid().to_numpy(zero_copy_only=False)) for x in (ids, words))
         # A batch's place as one number.
         numbers, seat = np.unique(batch, return_inverse=True)
         keys = [np.empty(0, np.int64)]
-        cuts = np.flatnonzero(part[data][1:] != part[data][:-1]) + 1
-        for rows in np.split(data, cuts):
+        for rows in np.split(data, np.flatnonzero(part[data][1:] != part[data][:-1]) + 1):
             if not len(rows):
                 continue
-            at = [_unplaned(places[k].as_py(), 2).view(np.int64) + (int(seat[k]) << 16) for k in rows.tolist()]
-            word, at = np.concatenate([_unplaned(words[k].as_py(), width) for k in rows.tolist()]), np.concatenate(at)
+            at = np.concatenate([_unplaned(places[k].as_py(), 2).view(np.int64) + (int(seat[k]) << 16) for k in rows.tolist()])
+            word = np.concatenate([_unplaned(words[k].as_py(), width) for k in rows.tolist()])
             order = np.argsort(word)
             same = word[order][1:] == word[order][:-1]
             keys.append(at[order[np.append(same, False) | np.append(False, same)]])
         key, held = np.unique(np.concatenate(keys), return_counts=True)
-        own = [np.frombuffer(ids[k].as_py(), np.int64) for k in named.tolist()]
-        lengths = np.array([len(x) for x in own], np.int64)
+        cuts = np.searchsorted(key, np.arange(len(numbers) + 1) << 16).tolist()
+        spans = [(n, x, y) for n, x, y in zip(numbers.tolist(), cuts, cuts[1:]) if x < y]
         columns = [
-            pa.array(np.concatenate([numbers[key >> 16], np.repeat(batch[named], lengths)])),
-            pa.array(np.concatenate([key & 0xFFFF, *(np.arange(n) for n in lengths)]).astype(np.int64)),
-            pa.concat_arrays([pa.nulls(len(key), pa.int64()), *(pa.array(x) for x in own)]),
-            pa.array(np.concatenate([held, np.zeros(lengths.sum(), np.int64)]).astype(np.int64)),
+            pa.array([*batch[named].tolist(), *(n for n, _, _ in spans)], pa.int64()),
+            pa.array([*(ids[k].as_py() for k in named.tolist()), *[None] * len(spans)], pa.binary()),
+            pa.array([*[None] * len(named), *(_planes(key[x:y], 2) for _, x, y in spans)], pa.binary()),
+            pa.array([*[None] * len(named), *(_planes(held[x:y], 4) for _, x, y in spans)], pa.binary()),
         ]
-        return pa.RecordBatch.from_arrays(columns, ["batch", "place", "id", "held"])
+        return pa.RecordBatch.from_arrays(columns, ["batch", "ids", "places", "held"])
 
     return _runs(batches, lambda b: [b.column(c) for c in ("part", "batch", "ids", "words", "places")], found)
 
 
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(id, held)`` for each text of a batch, from the counts of all parts."""
+
+    def found(batch: pa.Array, ids: pa.Array, places: pa.Array, held: pa.Array) -> pa.RecordBatch:
+        batch, named = batch.to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False)
+        own, sums = [], []
+        for rows in np.split(np.arange(len(batch)), np.flatnonzero(batch[1:] != batch[:-1]) + 1):
+            (name,) = rows[named[rows]].tolist()
+            own.append(np.frombuffer(ids[name].as_py(), np.int64))
+            sums.append(np.zeros(len(own[-1]), np.int64))
+            for k in rows[~named[rows]].tolist():
+                sums[-1][_unplaned(places[k].as_py(), 2).view(np.int64)] += _unplaned(held[k].as_py(), 4).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (own, sums)], ["id", "held"])
+
+    return _runs(batches, lambda b: [b.column(c) for c in ("batch", "ids", "places", "held")], found)
+
+
 def promising(texts: DataFrame, sizes: DataFrame, shingle: int, packed_rows: int = PACKED_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
     """The rows of ``sizes`` of which other sets may hold 0.8 of the shingles: all of which they do, and few others."""
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = min(63, total.bit_length() + SPARE_BITS)
     part_bits = min(bits - 1, (total // part_rows).bit_length())
     packed = texts.select("id", "text").mapInArrow(lambda it: _pack(it, shingle, bits, part_bits, packed_rows), "part long, batch long, ids binary, words binary, places binary")
-    counted = packed.repartition("part").sortWithinPartitions("part").mapInArrow(lambda it: _counted(it, bits - part_bits), "batch long, place long, id long, held long")
-    held = counted.groupBy("batch", "place").agg(F.max("id").alias("id"), F.sum("held").alias("held")).groupBy("id").agg(F.max("held").alias("held"))
+    counted = packed.repartition("part").sortWithinPartitions("part").mapInArrow(lambda it: _counted(it, bits - part_bits), "batch long, ids binary, places binary, held binary")
+    totals = counted.repartition("batch").sortWithinPartitions("batch").mapInArrow(_totals, "id long, held long")
+    held = totals.groupBy("id").agg(F.max("held").alias("held"))  # copies of a text have a total each
     return sizes.join(held, "id").where("n > 0 AND 5 * held >= 4 * n").drop("held")
 
 
