@@ -9,6 +9,7 @@ from tidemark.operators import neighbours
 QUERIES = [
     "a1_hypergraph_degrees",
     "a21_weighted_ks",
+    "a38_incident_error",
 ]
 
 
