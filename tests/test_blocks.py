@@ -10,6 +10,7 @@ QUERIES = [
     "a1_hypergraph_degrees",
     "a21_weighted_ks",
     "a38_incident_error",
+    "a3_smooth",
 ]
 
 
