@@ -11,6 +11,7 @@ QUERIES = [
     "a21_weighted_ks",
     "a38_incident_error",
     "a3_smooth",
+    "a5_neighbour_scores",
 ]
 
 
