@@ -12,6 +12,7 @@ QUERIES = [
     "a38_incident_error",
     "a3_smooth",
     "a5_neighbour_scores",
+    "c14_adjacency_consistency",
 ]
 
 
