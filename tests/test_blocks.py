@@ -13,6 +13,7 @@ QUERIES = [
     "a3_smooth",
     "a5_neighbour_scores",
     "c14_adjacency_consistency",
+    "c16_cosine_deviation",
 ]
 
 
