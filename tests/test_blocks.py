@@ -14,6 +14,7 @@ QUERIES = [
     "a5_neighbour_scores",
     "c14_adjacency_consistency",
     "c16_cosine_deviation",
+    "c1_consistency",
 ]
 
 
