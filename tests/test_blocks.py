@@ -15,6 +15,7 @@ QUERIES = [
     "c14_adjacency_consistency",
     "c16_cosine_deviation",
     "c1_consistency",
+    "c2_contrastive_consistency",
 ]
 
 
