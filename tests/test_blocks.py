@@ -16,6 +16,7 @@ QUERIES = [
     "c16_cosine_deviation",
     "c1_consistency",
     "c2_contrastive_consistency",
+    "c4_consistency_weights",
 ]
 
 
