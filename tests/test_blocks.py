@@ -17,6 +17,7 @@ QUERIES = [
     "c1_consistency",
     "c2_contrastive_consistency",
     "c4_consistency_weights",
+    "a26_class_homophily",
 ]
 
 
