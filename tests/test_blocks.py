@@ -18,6 +18,7 @@ QUERIES = [
     "c2_contrastive_consistency",
     "c4_consistency_weights",
     "a26_class_homophily",
+    "a28_dirichlet_energy",
 ]
 
 
