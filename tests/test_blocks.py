@@ -19,6 +19,7 @@ QUERIES = [
     "c4_consistency_weights",
     "a26_class_homophily",
     "a28_dirichlet_energy",
+    "a29_graph_energy",
 ]
 
 
