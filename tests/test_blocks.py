@@ -20,6 +20,7 @@ QUERIES = [
     "a26_class_homophily",
     "a28_dirichlet_energy",
     "a29_graph_energy",
+    "a2_neighbour_degrees",
 ]
 
 
