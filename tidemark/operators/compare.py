@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distribution import average_ranks, ecdf_gap, quantiles
 from ..functions.lineage import durable
-from ..functions.vectors import correlation, hash_uniform, squared_distance
+from ..functions.vectors import correlation, hash_uniform
+from .blocks import beside, packed, vectors
 
 
 def over_seeds(results: DataFrame, keys: tuple[str, ...] = ("dataset", "method", "metric")) -> DataFrame:
@@ -169,12 +173,42 @@ def dominance(a: DataFrame, b: DataFrame, value: str, threshold: DataFrame) -> D
     return grid.where("v >= threshold").agg(F.max(F.col("fa") - F.col("fb")).alias("excess"))
 
 
+#: Rows of a block of vectors in ``mmd``.
+MMD_ROWS = 2048
+
+
 def mmd(a: DataFrame, b: DataFrame, gamma: float = 1.0) -> DataFrame:
-    """Biased squared MMD with an RBF kernel over all pairs of two samples ``(x)``: meant for bounded samples."""
-    def mean_kernel(p: DataFrame, q: DataFrame, name: str) -> DataFrame:
-        return p.select(F.col("x").alias("p")).crossJoin(q.select(F.col("x").alias("q"))).agg(F.avg(F.exp(-gamma * squared_distance(F.col("p"), F.col("q")))).alias(name))
+    """Biased squared MMD with an RBF kernel over all pairs of two samples ``(x)``.
 
-    return mean_kernel(a, a, "aa").crossJoin(mean_kernel(b, b, "bb")).crossJoin(mean_kernel(a, b, "ab")).select((F.col("aa") - 2 * F.col("ab") + F.col("bb")).alias("mmd2"))
+    A task sums the kernel over pairs of blocks (``blocks``), each unordered pair once; vectors
+    that are null or hold nulls count nowhere, and the result is null if a sample has no others.
+    """
+    whole = [s.where("x IS NOT NULL AND NOT exists(x, v -> v IS NULL)").select(F.lit(0).alias("node_id"), "x") for s in (a, b)]
+    sides = [packed(s, MMD_ROWS, tag=tag) for tag, s in enumerate(whole)]
+    blocks = sides[0].unionAll(sides[1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for left, right, ids, xs, r_ids, r_xs in zip(*(c.to_pylist() if c.type == pa.int64() else c for c in batch.columns)):
+                p, q = vectors(ids.as_buffer(), xs.as_buffer())[1], vectors(r_ids.as_buffer(), r_xs.as_buffer())[1]
+                d = p @ q.T
+                d *= -2
+                d += (p * p).sum(1)[:, None]
+                d += (q * q).sum(1)[None]
+                np.maximum(d, 0, out=d)
+                d *= -gamma
+                np.exp(d, out=d)
+                between = left >> 60, right >> 60
+                rows.append((*between, float(d.sum()) * (2 if between[0] == between[1] and left != right else 1)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64()))], ["l", "r", "k"])
+
+    pairs = beside(blocks, blocks, each_once=True).select("block", "r_block", "ids", "xs", "r_ids", "r_xs")
+    sums = pairs.mapInArrow(run, "l long, r long, k double")
+    n = [F.lit(float(r["n"] or 0)) for r in (s.agg((F.sum(F.length("ids")) / 8).alias("n")).first() for s in sides)]
+    mean = lambda l, r: F.try_divide(F.sum(F.when((F.col("l") == l) & (F.col("r") == r), F.col("k"))), n[l] * n[r])  # noqa: E731, E741
+    return sums.agg((mean(0, 0) - 2 * mean(0, 1) + mean(1, 1)).alias("mmd2"))
 
 
 def best_methods(summary: DataFrame, lower_is_better: bool = False) -> DataFrame:
