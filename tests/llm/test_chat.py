@@ -132,3 +132,15 @@ def test_whole_and_short_prefixes_give_equal_digests(spark):
     rows = [(i % 3, i, ("user", "assistant")[i % 2], f"turn {i} <|im_end|>", "x") for i in range(200)]
     df = spark.createDataFrame(rows, SCHEMA)
     assert sorted(chat.digests(df).collect()) == sorted(chat.digests(df, work=None).collect())
+
+
+def test_digests_call_the_template_with_whole_prefixes(spark):
+    """A rewrite of a turn that lies behind the tail shows in the digests."""
+
+    def recalling(turns):
+        return chat.marked_turns([(r, "" if t == "turn 3" and turns[-1][1] == "forget" else t) for r, t in turns])
+
+    rows = [(1, i, "user", "forget" if i == 40 else f"turn {i}", "x") for i in range(41)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert [r.n_rewrites for r in chat.digests(df, template=recalling).collect()] == [1]
+    assert [r.n_rewrites for r in chat.digests(df, work=0, template=recalling).collect()] == [0]  # what a shorter prefix cannot see
