@@ -21,6 +21,7 @@ QUERIES = [
     "a28_dirichlet_energy",
     "a29_graph_energy",
     "a2_neighbour_degrees",
+    "t14_walk_threshold",
 ]
 
 
