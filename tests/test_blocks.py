@@ -22,6 +22,7 @@ QUERIES = [
     "a29_graph_energy",
     "a2_neighbour_degrees",
     "t14_walk_threshold",
+    "c10_pull_kernel",
 ]
 
 
