@@ -23,6 +23,7 @@ QUERIES = [
     "a2_neighbour_degrees",
     "t14_walk_threshold",
     "c10_pull_kernel",
+    "j3_knn_edges",
 ]
 
 
