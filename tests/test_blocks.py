@@ -24,6 +24,7 @@ QUERIES = [
     "t14_walk_threshold",
     "c10_pull_kernel",
     "j3_knn_edges",
+    "t6_dual_threshold",
 ]
 
 
