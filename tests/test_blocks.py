@@ -25,6 +25,7 @@ QUERIES = [
     "c10_pull_kernel",
     "j3_knn_edges",
     "t6_dual_threshold",
+    "t8_external_weights",
 ]
 
 
