@@ -26,6 +26,7 @@ QUERIES = [
     "j3_knn_edges",
     "t6_dual_threshold",
     "t8_external_weights",
+    "c8_pagerank_3",
 ]
 
 
