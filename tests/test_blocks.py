@@ -27,6 +27,7 @@ QUERIES = [
     "t6_dual_threshold",
     "t8_external_weights",
     "c8_pagerank_3",
+    "j11_negative_edges",
 ]
 
 
